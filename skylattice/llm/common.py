@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,10 +68,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where the texts of `column` would pass `limit` bytes; a longer text stands alone."""
+    """Cut a batch where the values of `column` would pass `limit` bytes; a longer value stands alone."""
     start = held = 0
-    for i, n in enumerate(pa.compute.binary_length(batch.column(column)).to_pylist()):
-        n = n or 0
+    values = batch.column(column)
+    if pa.types.is_string(values.type) or pa.types.is_binary(values.type):
+        sizes = [n or 0 for n in pc.binary_length(values).to_pylist()]
+    else:
+        sizes = [-(-values.nbytes // max(1, len(values)))] * len(values)
+    for i, n in enumerate(sizes):
         if held and held + n > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
@@ -89,7 +94,7 @@ def add_columns(df: DataFrame, column: str, new: T.StructType, fn: Callable[[lis
     small_batches(df.sparkSession)
     source = df.select(*[df[c] for c in kept], df[column].alias("__in"))
     schema = T.StructType([*(df.schema[c] for c in kept), *new])
-    arrow = to_arrow_schema(schema, timezone="UTC") if kept else to_arrow_schema(new)
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from . import chat, mixing
-from .common import table
+from . import bpe, chat, gif, mixing, sharding
+from .common import add_columns, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +74,55 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     return chat.read_back(chat.chat_segments(turns.unionByName(planted)))
+
+
+@registered()
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, keep=["doc_id"])
+    joined = F.array_join("token_ids", " ")
+    ids = ids.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"))
+    return bpe.decode(ids, keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@registered()
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "tokens", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+MEDIA = T.StructType(
+    [
+        T.StructField("n_bytes", T.LongType()),
+        T.StructField("payload_bytes", T.LongType()),
+        T.StructField("payload_sha256", T.StringType()),
+        T.StructField("tail_crc32", T.LongType()),
+        T.StructField("feature", T.StringType()),
+    ]
+)
+
+
+def _media_digest(values: list) -> list[list]:
+    """n_bytes, payload digests and the feature of frame lists; a payload's unpadded length comes with it."""
+    out = []
+    for n, frames in values:
+        payload = b"".join(f["rgb"][::3] for f in frames)
+        grey = [sum(x) for x in zip(*(f["histogram"][:16] for f in frames), strict=True)]
+        feature = f"frames={len(frames)};ms={sum(f['delay_ms'] for f in frames)};grey=" + ",".join(map(str, grey))
+        out.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), feature))
+    return list(zip(*out, strict=True)) if out else [[] for _ in MEDIA]
+
+
+@registered()
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    stored = gif.store_texts(docs, keep=["doc_id", "n"])
+    stored = stored.select("doc_id", "n", "gif", F.octet_length("gif").cast("long").alias("media_bytes"), F.sha2("gif", 256).alias("media_sha256"))
+    read = gif.read_frames(stored, keep=["doc_id", "n", "media_bytes", "media_sha256"])
+    read = read.select("doc_id", "media_bytes", "media_sha256", F.struct("n", "frames").alias("read"))
+    return gif_columns(read)
+
+
+def gif_columns(read: DataFrame) -> DataFrame:
+    done = add_columns(read, "read", MEDIA, lambda rows: _media_digest([(r["n"], r["frames"]) for r in rows]), ["doc_id", "media_bytes", "media_sha256"])
+    return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from .common import running
 from .mixing import word_count
 
-#: Groups above this share of a shard's bytes, tokens or rows are split over shards.
+#: Groups above this share of a shard's bytes, tokens or rows are placed first, on the driver.
 HEAVY_SHARE = 1 / 64
+#: Groups above this share can't stay whole if shards are to be equal; they are cut.
+SPLIT_SHARE = 1 / 8
 #: Groups packed together by one task.
 CELL_GROUPS = 1_000
 
@@ -36,12 +38,13 @@ def pack(needs: np.ndarray, room: np.ndarray, first: int = 0) -> np.ndarray:
 def split_heavy(heavy: list[tuple], fair: np.ndarray, n_shards: int) -> tuple[list[tuple], np.ndarray]:
     """Chunks (h1, h2, first row, end row, shard) of heavy groups, and the room they leave in each shard.
 
-    `heavy`: (h1, h2, rows, need of one row). Rows of a group are alike, so a group is cut into chunks of
-    at most HEAVY_SHARE of a shard in every dimension, and each chunk packed as a group of its own.
+    `heavy`: (h1, h2, rows, need of one row). Rows of a group are alike, so a group above SPLIT_SHARE of a shard
+    is cut into chunks of at most HEAVY_SHARE in every dimension, each packed as a group of its own.
     """
     cuts = []
     for h1, h2, rows, need in heavy:
-        step = max(1, int(HEAVY_SHARE / max(need / fair)))
+        part = max(need / fair)
+        step = rows if rows * part <= SPLIT_SHARE else max(1, int(HEAVY_SHARE / part))
         cuts += [(h1, h2, a, min(rows, a + step), need) for a in range(0, rows, step)]
     size = np.array([(b - a) * need / fair for _, _, a, b, need in cuts]).reshape(-1, len(fair))
     order = np.argsort(-size.max(axis=1), kind="stable") if cuts else []
@@ -58,9 +61,9 @@ def shard(docs: DataFrame, n_shards: int = 24, text_col: str = "text", id_col: s
     """doc_id, size, tokens, text_crc32, shard, slot of every row, with bytes, tokens and rows balanced jointly.
 
     Size is the UTF-8 bytes of the text (null: none) plus 8; tokens are words. Groups are equal texts
-    and stay together, unless one is above HEAVY_SHARE of a shard in some dimension: there are at most
-    3 * n_shards / HEAVY_SHARE of those, so they alone are brought to the driver, cut into chunks and
-    packed there. All other groups are dealt to cells of about CELL_GROUPS and packed side by side,
+    and stay together, unless one is above SPLIT_SHARE of a shard in some dimension. Groups above
+    HEAVY_SHARE are at most 3 * n_shards / HEAVY_SHARE, so they alone are brought to the driver, cut
+    where they must be, and packed there. All other groups are dealt to cells of about CELL_GROUPS and packed side by side,
     each cell against its part of what the heavy ones left. Slots count from 0 in each shard by doc_id.
 
     Null text is the group of null texts (apart from empty ones), equal rows get slots in an arbitrary

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, gif, mixing, sharding
+from . import bpe, chat, gif, mixing, quality, sharding
 from .common import add_columns, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,8 @@ def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gif_columns(read: DataFrame) -> DataFrame:
     done = add_columns(read, "read", MEDIA, lambda rows: _media_digest([(r["n"], r["frames"]) for r in rows]), ["doc_id", "media_bytes", "media_sha256"])
     return done.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+@registered()
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))

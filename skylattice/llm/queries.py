@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, fingerprint, gif, mixing, quality, sharding
+from . import bpe, chat, fingerprint, gif, mixing, neardup, quality, sharding
 from .common import add_columns, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +136,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@registered()
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))

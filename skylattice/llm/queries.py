@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, fingerprint, gif, mixing, neardup, quality, sharding
+from . import bpe, chat, fingerprint, gif, linededup, mixing, neardup, quality, sharding
 from .common import add_columns, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,36 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Runs by content: each line's least run of 50 words on and back, as a list of lines.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM d),
+w AS (SELECT *, len(regexp_extract_all(line, '[^ 	-
+]+'))::BIGINT AS w FROM x),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(w) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS fin FROM w WHERE w > 0),
+s AS (SELECT *, fin - w AS beg FROM c),
+f AS (
+  SELECT doc_id, i, list(line) OVER a AS run, max(fin) OVER a - beg AS words FROM s
+  WINDOW a AS (PARTITION BY doc_id ORDER BY beg RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)),
+b AS (
+  SELECT doc_id, i, list(line) OVER z AS run, fin - min(beg) OVER z AS words FROM s
+  WINDOW z AS (PARTITION BY doc_id ORDER BY fin RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+r AS (
+  SELECT doc_id, i, run FROM f WHERE words >= 50
+  UNION SELECT doc_id, i - len(run) + 1, run FROM b WHERE words >= 50),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS no FROM r),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + len(run))) AS i FROM o WHERE no > 1),
+k AS (
+  SELECT x.doc_id, x.pos, x.line, g.i IS NOT NULL AS gone
+  FROM x LEFT JOIN s ON x.doc_id = s.doc_id AND x.pos = s.pos LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text
+FROM k GROUP BY doc_id
+"""
+
+
+@registered(OP5_SQL)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("text"))

@@ -9,7 +9,6 @@ that is a token, and a position found dead is not tried again, so the work is li
 
 from __future__ import annotations
 
-import base64
 import functools
 import json
 import re
@@ -20,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns
@@ -270,8 +270,12 @@ def decode(df: DataFrame, column: str = "token_ids", keep: list[str] | None = No
     return add_columns(df, column, new, run, keep, limit=1 << 19)
 
 
-def packed(value: bytes) -> str:
-    return base64.b64encode(value).decode()
+def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: what `encode` and then `decode` give."""
+    ids = encode(docs.select("doc_id", text_col), text_col, ["doc_id"], path)
+    ids = ids.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"))
+    back = decode(ids, "token_ids", ["doc_id", "n_tokens", "ids_sha256"], path)
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def tokens(texts: Iterator[str], path: str) -> Iterator[list[int]]:

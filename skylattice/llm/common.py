@@ -107,12 +107,6 @@ def add_columns(df: DataFrame, column: str, new: T.StructType, fn: Callable[[lis
     return source.mapInArrow(run, schema)
 
 
-def in_buckets(df: DataFrame, keys: Sequence[str], order: Column | None, rows_per_bucket: int = 20_000, n_rows: int | None = None) -> tuple[Column, int]:
-    """How many buckets a running total over `df` needs so that no task holds more than about `rows_per_bucket` rows."""
-    n = df.count() if n_rows is None else n_rows
-    return max(1, -(-n // rows_per_bucket))
-
-
 def running(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """Adds `name`: the sum of `value` over earlier rows of the same `keys`, by `bucket` then `order`.
 

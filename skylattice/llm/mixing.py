@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import running
+from .common import cut, running
 
+#: Sources whose rows, one each, are broadcast; with more the join is dealt.
+FEW = 10_000
 #: Characters that separate words: space and \\x09-\\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -60,57 +62,54 @@ def mix(
     weights: Sequence[float] = (3, 1, 2),
     share: float = 1.5,
     cap: float = 2.0,
-    weight: Column | None = None,
+    weight: Callable[[Column], Column] = quality_weight,
     text_col: str = "text",
     seed: str = "mix",
-    rows_per_bucket: int = 4_000,
+    rows_per_bucket: int = 1_000,
 ) -> DataFrame:
     """`docs` with size, source_size, target, copies, taken: how often the mix takes each document.
 
     A source's target is spent on whole epochs first: `floor(target / source_size)` copies of every
     document. The rest goes to documents in the order of Efraimidis-Spirakis keys, -ln(u) / weight
     ascending, where u in (0, 1) is fixed by `seed`, doc_id and text; their sizes are summed until the
-    rest is reached. The document that crosses it is taken if that ends nearer to the target.
-    A document of size 0 costs nothing and follows the same order.
+    rest is reached. The document that crosses it is taken if that ends nearer to the target. All the
+    sums leave behind is the last key taken in each source, with which the rows of `docs` are compared.
 
-    Null text has size 0 and the least weight; null sources are a source; equal rows tie on their keys
-    and are told apart in an arbitrary order, which no result shows; an empty table gives none.
-    Columns of `docs` named as one of the results are replaced. A hot source is spread over key buckets
-    (`running`), of about `rows_per_bucket` rows.
+    Null text has size 0 and the least weight; a document of size 0 costs nothing and follows the same
+    order; null sources are a source; rows of equal doc_id and text are taken or left together; an
+    empty table gives none. Columns of `docs` named as one of the results are replaced. A hot source is
+    spread over key buckets (`running`) of about `rows_per_bucket` rows.
     """
-    made = {"size", "source_size", "target", "copies", "taken"}
+    made = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in docs.columns if c not in made]
-    text = F.col(text_col)
-    w = quality_weight(text) if weight is None else weight
-    u = uniform_of(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
-    d = docs.select(*keep).withColumn("size", word_count(text)).withColumn("__key", -F.log(u) / w)
-    by_source = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("__rows"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    u = uniform_of(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)))
+    keyed = docs.select(*keep, word_count(text).alias("size"), F.struct((-F.log(u) / weight(text)).alias("key"), "doc_id", F.xxhash64(text).alias("th")).alias("__key"))
+    narrow = cut(keyed.select("doc_id", "source", "size", F.col("__key.key").alias("key"), F.col("__key.th").alias("th")))
+    by_source = cut(narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")))
+    n_sources, most = by_source.agg(F.count("*"), F.max("rows")).first()
     targets = source_targets(by_source.select("source", "source_size"), weights, share, cap)
-    targets = targets.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    targets = targets.withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("__epochs", epochs).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
+    targets = cut(targets.withColumnRenamed("source", "__source"))
+    small = F.broadcast if n_sources <= FEW else (lambda x: x)
+    same = F.col("source").eqNullSafe(F.col("__source"))
     # One bucket count serves all sources; a key's bucket rises with the key.
-    most = by_source.agg(F.max("__rows")).first()[0] or 1
-    n = max(1, -(-most // rows_per_bucket))
-    spread = F.least(F.lit(n - 1), F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * n)).cast("int")
-    narrow = d.select("doc_id", "source", "size", "__key", F.xxhash64(text).alias("__text")).withColumn("__bucket", spread)
-    order = [F.col("__key"), F.col("doc_id"), F.col("__text")]
-    ranked = running(narrow, ["source"], "__bucket", order, F.col("size"), "__before")
-    t = targets.select(F.col("source").alias("__source"), "source_size", "target", "__epochs", "__rest")
-    ranked = ranked.join(F.broadcast(t) if _few(by_source) else t, F.col("source").eqNullSafe(F.col("__source")), "inner")
-    over = F.col("__before") + F.col("size") - F.col("__rest")
-    chosen = (over <= 0) | ((F.col("__before") < F.col("__rest")) & (over < F.col("__rest") - F.col("__before")))
-    copies = (F.col("__epochs") + F.when(chosen & (F.col("__rest") > 0), 1).otherwise(0)).cast("long")
-    out = ranked.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    if set(keep) <= {"doc_id", "source"}:
-        return out.select(*keep, "size", "source_size", "target", "copies", "taken")
-    # Back to the full rows: on the id and text, numbered so that equal rows meet one each.
-    out = out.select(F.col("doc_id").alias("__id"), "__text", F.col("source").alias("__s"), "size", "source_size", "target", "copies", "taken").withColumn("__no", F.row_number().over(Window.partitionBy("__id", "__text", "__s").orderBy("copies")))
-    full = docs.select(*keep).withColumn("__t2", F.xxhash64(text))
-    full = full.withColumn("__n2", F.row_number().over(Window.partitionBy("doc_id", "__t2", "source").orderBy(F.lit(0))))
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__t2") == F.col("__text")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__n2") == F.col("__no"))
-    return full.join(out, on, "inner").select(*keep, "size", "source_size", "target", "copies", "taken")
-
-
-def _few(by_source: DataFrame, limit: int = 10_000) -> bool:
-    """Whether a row a source is small enough to broadcast: counted, no further than `limit`."""
-    return by_source.select("source").limit(limit + 1).count() <= limit
+    n = max(1, -(-(most or 1) // rows_per_bucket))
+    spread = F.least(F.lit(n - 1), F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * n)).cast("int")
+    ranked = running(narrow.withColumn("bucket", spread), ["source"], "bucket", [F.col("key"), F.col("doc_id"), F.col("th")], F.col("size"), "before")
+    ranked = ranked.join(small(targets.select("__source", "__rest")), same)
+    over = F.col("before") + F.col("size") - F.col("__rest")
+    chosen = (over <= 0) | ((F.col("before") < F.col("__rest")) & (over < F.col("__rest") - F.col("before")))
+    last = ranked.where(chosen & (F.col("__rest") > 0)).groupBy("__source").agg(F.max(F.struct("key", "doc_id", "th")).alias("__last"))
+    targets = cut(targets.join(last.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")), "left").drop("__s", "__rest"))
+    full = narrow.select("doc_id", "source", "size", F.struct("key", "doc_id", "th").alias("__key")) if set(keep) <= {"doc_id", "source"} else keyed
+    out = full.join(small(targets), same)
+    copies = (F.col("__epochs") + F.when(F.col("__key") <= F.col("__last"), 1).otherwise(0)).cast("long")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *made)
+
+
+def mixed(docs: DataFrame, **how: object) -> DataFrame:
+    """The rows of `docs`, each as often as `mix` takes it."""
+    taken = mix(docs, **how)
+    return taken.withColumn("__no", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*docs.columns)

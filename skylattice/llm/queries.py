@@ -78,11 +78,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, keep=["doc_id"])
-    joined = F.array_join("token_ids", " ")
-    ids = ids.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"))
-    return bpe.decode(ids, keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @registered()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, fingerprint, gif, linededup, mixing, neardup, quality, sharding
+from . import bpe, chat, fingerprint, gif, linededup, lm, mixing, neardup, quality, sharding
 from .common import add_columns, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,8 @@ FROM k GROUP BY doc_id
 @registered(OP5_SQL)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
+
+
+@registered()
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -1,0 +1,139 @@
+"""A paged JSON web service of observations as a Python data source, one partition a station and day."""
+
+from __future__ import annotations
+
+import json
+import urllib.parse
+import urllib.request
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timedelta
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from skylattice.schema import STANDARD_COLUMNS
+
+
+@dataclass(frozen=True)
+class Service:
+    """How a service is asked, and what its fields are in standard terms."""
+
+    params: Callable[[datetime, datetime, str], dict]
+    step: timedelta | None
+    names: dict[str, str]
+
+
+#: Fixed: the two services' query fields and column names.
+SERVICES = {
+    "asos_hourly": Service(
+        lambda a, b, station: {"dataCd": "ASOS", "dateCd": "HR", "startDt": f"{a:%Y%m%d}", "startHh": f"{a:%H}", "endDt": f"{b:%Y%m%d}", "endHh": f"{b:%H}", "stnIds": station},
+        None,
+        {"tm": "datetime", "ta": "temp", "hm": "humidity", "pa": "pressure", "ws": "wind_speed", "rn": "precipitation"},
+    ),
+    "aws_minutely": Service(
+        lambda a, b, station: {"awsDt": f"{a:%Y%m%d%H%M}", "awsId": station},
+        timedelta(days=1),
+        {"awsDt": "datetime", "ta": "temp", "hm": "humidity", "ps": "pressure", "ws10M": "wind_speed", "rn60M": "precipitation"},
+    ),
+}
+
+
+def spans(service: str, start: datetime, end: datetime) -> list[tuple[datetime, datetime]]:
+    """The spans of time that are asked for one by one; both ends must have an offset."""
+    if service not in SERVICES:
+        raise ValueError(f"unsupported service {service!r}")
+    if start.tzinfo is None or end.tzinfo is None:
+        raise ValueError("start and end need time zone offsets")
+    step = SERVICES[service].step
+    if step is None:
+        return [(start, end)]
+    out, at = [], start
+    while at <= end:
+        out.append((at, min(at + step - timedelta(minutes=1), end)))
+        at += step
+    return out
+
+
+def page_of(payload: dict) -> tuple[list[dict], int | None]:
+    """Items and total count of a response; a single item may come without its list."""
+    body = (payload.get("response") or {}).get("body") or {}
+    items = (body.get("items") or {}).get("item") or [] if isinstance(body.get("items") or {}, dict) else []
+    total = body.get("totalCount")
+    return [items] if isinstance(items, dict) else list(items), None if total is None else int(total)
+
+
+def pages(fetch: Callable[[dict], dict], params: dict, page_size: int = 999) -> Iterator[dict]:
+    """Items of page after page, until one is empty or the total is reached."""
+    page = 1
+    while True:
+        items, total = page_of(fetch({**params, "pageNo": page, "numOfRows": page_size}))
+        if not items:
+            return
+        yield from items
+        if total is None or page * page_size >= total:
+            return
+        page += 1
+
+
+def normalise(raw: DataFrame, service: str) -> DataFrame:
+    """Standard columns first, missing ones null, then what else the service sent; times that can't be read are null."""
+    names = SERVICES[service].names
+    keep = {have: want for have, want in names.items() if have in raw.columns and want not in raw.columns}
+    df = raw.withColumnsRenamed(keep)
+    for c in STANDARD_COLUMNS:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string" if c in ("station_id", "quality_flag") else "double"))
+    df = df.withColumn("datetime", F.coalesce(F.try_to_timestamp("datetime"), F.try_to_timestamp("datetime", F.lit("yyyyMMddHHmm"))))
+    df = df.withColumns({c: F.col(c).try_cast("double") for c in STANDARD_COLUMNS[2:7]})
+    return df.select(*STANDARD_COLUMNS, *[c for c in df.columns if c not in STANDARD_COLUMNS])
+
+
+@dataclass
+class Span(InputPartition):
+    station: str
+    start: datetime
+    end: datetime
+
+
+class ServiceReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.options = options
+
+    def partitions(self) -> Sequence[Span]:
+        o = self.options
+        found = spans(o["service"], datetime.fromisoformat(o["start"]), datetime.fromisoformat(o["end"]))
+        return [Span(s.strip(), a, b) for s in o["stations"].split(",") for a, b in found]
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        o = self.options
+
+        def fetch(params: dict) -> dict:
+            with urllib.request.urlopen(f"{o['url']}?{urllib.parse.urlencode(params)}", timeout=60) as r:  # noqa: S310
+                return json.load(r)
+
+        asked = {**SERVICES[o["service"]].params(partition.start, partition.end, partition.station), "ServiceKey": o.get("key", ""), "dataType": "JSON"}
+        for item in pages(fetch, asked, int(o.get("pageSize", 999))):
+            yield partition.station, json.dumps(item)
+
+
+class ServiceSource(DataSource):
+    """spark.dataSource.register(ServiceSource); format("station_service") gives (station_id, item JSON)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "station_service"
+
+    def schema(self) -> str:
+        return "station_id string, item string"
+
+    def reader(self, schema) -> ServiceReader:  # noqa: ANN001
+        return ServiceReader(dict(self.options))
+
+
+def items_as_table(df: DataFrame, service: str) -> DataFrame:
+    """The source's rows in standard columns."""
+    fields = list(SERVICES[service].names)
+    parsed = df.select("station_id", F.from_json("item", ", ".join(f"`{f}` string" for f in fields)).alias("i")).select("station_id", "i.*")
+    return normalise(parsed, service)

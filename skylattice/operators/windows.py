@@ -54,7 +54,7 @@ def sliding(
     past, future = F.slice("__rows", 1, encoder_length), F.slice("__rows", encoder_length + 1, horizon)
 
     def arrays(part: Column, names: Sequence[str]) -> Column:
-        return F.transform(part, lambda x: F.array(*[x[c].cast("double") for c in names]))
+        return F.transform(part, lambda x: F.array(*[x[c].cast("double") for c in names]) if names else F.array().cast("array<double>"))
 
     return made.select(
         key, F.col("__split").alias(split), F.element_at("__rows", encoder_length + 1)[order].alias("prediction_start"),

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import add_columns, small_batches, text_of
+from .common import add_columns, cut, dropped, small_batches, text_of, written
+from .links import linked
 
 #: Slots of a fingerprint, emitted characters each covers, and the seed of walks and samples.
 SLOTS, SPAN, SEED = 128, 4, 11
@@ -273,3 +274,36 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield measured(held)
 
     return rows.mapInArrow(run, PRINTS)
+
+
+#: Slots of a band, and the least share of equal slots of near texts.
+BAND, NEAR = 4, 0.5
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id: texts whose fingerprints agree in at least NEAR of their slots share the least id of a class.
+
+    Bands of BAND slots, which sample the embedded strings at the same places, make the candidates; they
+    are verified on whole fingerprints. Equal texts share a class; null texts are empty, and empty ones
+    link to no other text. Other columns are ignored; an empty table gives no row.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).withColumn("node", F.xxhash64("text"))
+    ids = base.select("doc_id", "node")
+    first = cut(ids.groupBy("node").agg(F.min("doc_id").alias("first")))
+    prints = written(fingerprint(base.where("text <> ''"), "text", ["node"]).dropDuplicates(["node"]), "prints")
+    digits = 4 * BAND
+    bands = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda i: F.xxhash64(i, F.substr("fingerprint", i * digits + 1, F.lit(digits))))
+    members = prints.select(F.explode(bands).alias("bucket"), "node")
+
+    def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        a = prints.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa"))
+        b = prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
+        slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substr("fa", i * 4 + 1, F.lit(4)) == F.substr("fb", i * 4 + 1, F.lit(4)))
+        return pairs.join(a, "a").join(b, "b").where(F.size(F.filter(slots, lambda x: x)) >= NEAR * SLOTS)
+
+    labels = linked(members, verify)
+    nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = cut(nodes.groupBy("label").agg(F.min("first").alias("class_id")))
+    nodes = cut(nodes.join(heads, "label").select("node", "class_id"))
+    dropped(prints)
+    return ids.join(nodes, "node").select("doc_id", "class_id")

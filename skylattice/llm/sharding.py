@@ -89,6 +89,7 @@ def shard(docs: DataFrame, n_shards: int = 24, text_col: str = "text", id_col: s
     share = fair * 1.0
 
     def pack_cell(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["h1", "h2"])  # sums of floats depend on the order
         need = cell[list(dims)].to_numpy(float) / share
         # The cell's own bins: in proportion to the room left, filled by what the cell holds.
         left = np.maximum(room, 0)

@@ -1,7 +1,7 @@
 """BPE encoding by backtracking over Aho-Corasick matches, and decoding through an offset table.
 
-A word is a string of symbols: its bytes, the last one marked as the word's end. One pass of the
-automaton gives the longest token at every position. Tokens are then laid left to right; one may
+A word is a string of symbols: its bytes, the last one marked as the word's end. The automaton, run
+from where the last token ended, gives the longest token there. Tokens are so laid left to right; one may
 follow another only if the merge rules would leave the border between the two alone (`stands`), which
 the rank table of pairs decides. Where nothing fits, the last token gives way to its longest prefix
 that is a token, and a position found dead is not tried again, so the work is linear in the word.
@@ -14,10 +14,12 @@ import json
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,7 +28,7 @@ from .common import add_columns
 
 BASE = 512  # symbols: 256 bytes inside a word, 256 bytes that end one
 #: Distinct chunks of text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -66,8 +68,9 @@ class Vocabulary:
         reached = [True] * BASE
         for t in range(BASE, len(names)):
             reached.append(reached[self.left[t]] and reached[self.right[t]] and self.stands(self.left[t], self.right[t], t))
-        self.next, self.fail, self.ends = automaton((x, t) for t, x in enumerate(spelt) if reached[t])
-        self.known: dict[tuple[int, int], bool] = {}
+        self.next, self.best = automaton((x, t) for t, x in enumerate(spelt) if reached[t])
+        self.known: dict[int, bool] = {}
+        self.deepest = max(self.length)
         where = {x: t for t, x in enumerate(spelt) if reached[t]}
         self.shorter: list[int | None] = [next((where[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in where), None) for x in spelt]
         self.ids = [ids[x] for x in names]
@@ -79,6 +82,7 @@ class Vocabulary:
         parts = [shown.get(i, "").encode() for i in range(max(shown) + 1)]
         self.text = np.frombuffer(b"".join(parts) + b" ", np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+        self.words: dict[str, list[int]] = {}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -106,43 +110,43 @@ class Vocabulary:
         if not n:
             return []
         symbols = data[:-1].decode("latin-1") + chr(256 + data[-1])
-        nxt, fail, ends = self.next, self.fail, self.ends
-        longest = [0] * n
-        state = 0
-        for end, symbol in enumerate(symbols, 1):
-            while (to := nxt[state].get(symbol)) is None and state:
-                state = fail[state]
-            state = to or 0
-            for t, size in ends[state]:
-                longest[end - size] = t  # ends rise, so the longest comes last
-        length, shorter, known = self.length, self.shorter, self.known
+        nxt, best, length, known = self.next, self.best, self.length, self.known
         out: list[int] = []
-        dead = bytearray(n + 1)
-        at, t = 0, longest[0]
+        dead: set[int] = set()  # places from which the rest can't be spelt
+        at = last = 0
         while at < n:
-            end = at + length[t]
-            fits = not dead[end]
-            if fits and out:
-                fits = known.get(pair := (out[-1], t))
-                if fits is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    fits = known[pair] = self.stands(*pair)
-            if fits:
-                out.append(t)
-                at = end
-                if at < n:
-                    t = longest[at]
-                continue
-            less = shorter[t]
-            while less is None:
-                dead[at] = 1
+            # Anchored leftmost-longest search: follow the automaton until it has no way on.
+            state = 0
+            for symbol in symbols[at : at + self.deepest] if at else symbols:
+                to = nxt[state].get(symbol)
+                if to is None:
+                    break
+                state = to
+            t = best[state]
+            while True:
+                if t is not None:
+                    end = at + length[t]
+                    fits = end not in dead
+                    if fits and out:
+                        pair = last << 17 | t
+                        fits = known.get(pair)
+                        if fits is None:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            fits = known[pair] = self.stands(last, t)
+                    if fits:
+                        out.append(t)
+                        at, last = end, t
+                        break
+                    t = self.shorter[t]
+                    continue
                 if not out:
                     raise ValueError("the vocabulary can't spell this word")
+                dead.add(at)
                 t = out.pop()
+                last = out[-1] if out else 0
                 at -= length[t]
-                less = shorter[t]
-            t = less
+                t = self.shorter[t]
         ids = self.ids
         return [ids[t] for t in out]
 
@@ -154,15 +158,31 @@ class Vocabulary:
                 out.append(self.special[part])
                 continue
             # Letters are lowered one by one, so the word-final form of sigma is not used.
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower() if not part.isascii() else part.lower()
-            for piece in self.pieces.findall(part):
-                out += self.word(piece.encode())
+            part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            if part.isalpha():
+                out += self.known_word(part)
+            elif part[:-1].isalpha() and part[-1] in ".,;:!?":
+                out += self.known_word(part[:-1])
+                out += self.known_word(part[-1])
+            else:
+                for piece in self.pieces.findall(part):
+                    out += self.known_word(piece)
         return out
 
+    def known_word(self, piece: str) -> list[int]:
+        got = self.words.get(piece)
+        if got is None:
+            got = self.word(piece.encode())
+            if len(self.words) >= REMEMBERED:
+                self.words.clear()
+            if len(piece) <= 64:
+                self.words[piece] = got
+        return got
+
     def remembered(self, chunk: str) -> bytes:
         got = self.old.get(chunk)
         if got is None:
-            got = np.array(self.chunk(chunk), np.int32).tobytes()
+            got = array("i", self.chunk(chunk)).tobytes()
         if len(self.young) >= REMEMBERED:
             self.old, self.young = self.young, {}
         if len(chunk) <= 64:
@@ -194,10 +214,15 @@ _INFO = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
-def automaton(words: Iterable[tuple[str, int]]) -> tuple[list[dict], list[int], list[tuple]]:
-    """Aho-Corasick: by state, the children, the state of the longest proper suffix, and (word, length) of all that end there."""
+def automaton(words: Iterable[tuple[str, int]]) -> tuple[list[dict], list[int | None]]:
+    """The goto function of the Aho-Corasick automaton, and by state the longest word on the way to it.
+
+    Searches are anchored where the last token ended and want the longest match there, so a way that
+    ends is the answer and failure links are never followed.
+    """
     nxt: list[dict[str, int]] = [{}]
-    ends: list[tuple] = [()]
+    here: dict[int, int] = {}
+    parent = [(0, 0)]
     for word, value in words:
         state = 0
         for symbol in word:
@@ -205,20 +230,13 @@ def automaton(words: Iterable[tuple[str, int]]) -> tuple[list[dict], list[int],
             if to is None:
                 to = nxt[state][symbol] = len(nxt)
                 nxt.append({})
-                ends.append(())
+                parent.append((state, to))
             state = to
-        ends[state] = ((value, len(word)),)
-    fail = [0] * len(nxt)
-    queue = list(nxt[0].values())
-    for state in queue:  # grows while it is read: by depth
-        for symbol, to in nxt[state].items():
-            back = fail[state]
-            while symbol not in nxt[back] and back:
-                back = fail[back]
-            fail[to] = nxt[back].get(symbol, 0)
-            queue.append(to)
-        ends[state] += ends[fail[state]]
-    return nxt, fail, ends
+        here[state] = value
+    best: list[int | None] = [None]
+    for above, state in parent[1:]:  # made after what is above them
+        best.append(here.get(state, best[above]))
+    return nxt, best
 
 
 @functools.lru_cache(maxsize=2)
@@ -263,11 +281,12 @@ def decode(df: DataFrame, column: str = "token_ids", keep: list[str] | None = No
     file = vocabulary_file(df.sparkSession, path)
     new = T.StructType([T.StructField("decoded", T.StringType())])
 
-    def run(lists: list) -> tuple:
+    def run(lists: pa.ListArray) -> tuple:
         v = vocabulary(file.value)
-        return ([v.decode(np.array(x or [], np.int64)) for x in lists],)
+        ids, ends = np.asarray(lists.flatten()).astype(np.int64), np.cumsum(pc.fill_null(pc.list_value_length(lists), 0))
+        return ([v.decode(ids[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)],)
 
-    return add_columns(df, column, new, run, keep, limit=1 << 19)
+    return add_columns(df, column, new, run, keep, raw=True)
 
 
 def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:

@@ -84,8 +84,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
-def add_columns(df: DataFrame, column: str, new: T.StructType, fn: Callable[[list], Sequence[Sequence]], keep: Sequence[str] | None = None, limit: int = SLICE_BYTES) -> DataFrame:
-    """`df` with the columns `new`, which `fn` makes from a list of values of `column`, slice by slice.
+def add_columns(df: DataFrame, column: str, new: T.StructType, fn: Callable[[list], Sequence[Sequence]], keep: Sequence[str] | None = None, limit: int = SLICE_BYTES, raw: bool = False) -> DataFrame:
+    """`df` with the columns `new`, which `fn` makes from a list of values of `column` (`raw`: from the Arrow array), slice by slice.
 
     Columns of `df` named as one of `new` are replaced; `keep` names those that stay (all by default).
     """
@@ -99,7 +99,8 @@ def add_columns(df: DataFrame, column: str, new: T.StructType, fn: Callable[[lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__in", limit):
-                made = fn(part.column("__in").to_pylist())
+                values = part.column("__in")
+                made = fn(values if raw else values.to_pylist())
                 arrays = [part.column(i) for i in range(len(kept))]
                 arrays += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(kept) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in arrow])

@@ -16,7 +16,7 @@ from skylattice.functions import timefns
 from skylattice.operators import encode, gapfill, lags, merge, metrics, models, resample, scaling, spatial, windows
 from skylattice.plans import bundle, experiments, inference, training
 from skylattice.schema import require
-from skylattice.sources import kma, metadata, netcdf, observations, tables
+from skylattice.sources import metadata, netcdf, observations, tables, webservice
 
 START = datetime(2024, 1, 1)
 
@@ -160,19 +160,19 @@ def test_one_hot_levels(spark):
 
 def test_service_pages_and_normalising(spark):
     served = {1: {"response": {"body": {"totalCount": 3, "items": {"item": [{"tm": "2024-01-01 00:00", "ta": "1.5"}, {"tm": "x", "ta": ""}]}}}}, 2: {"response": {"body": {"totalCount": 3, "items": {"item": {"tm": "2024-01-01 02:00", "zz": "7"}}}}}}
-    items = list(kma.pages(lambda p: served[p["pageNo"]], {}, 2))
+    items = list(webservice.pages(lambda p: served[p["pageNo"]], {}, 2))
     assert len(items) == 3
     raw = spark.createDataFrame([("108", i.get("tm"), i.get("ta"), i.get("zz")) for i in items], "station_id string, tm string, ta string, zz string")
-    df = kma.normalise(raw, "asos_hourly")
+    df = webservice.normalise(raw, "asos_hourly")
     assert df.columns[:8] == ["station_id", "datetime", "temp", "humidity", "pressure", "wind_speed", "precipitation", "quality_flag"] and df.columns[-1] == "zz"
     rows = df.collect()
     assert rows[0].temp == 1.5 and rows[1].datetime is None and rows[1].temp is None
     tz = timezone(timedelta(hours=9))
-    assert len(kma.spans("aws_minutely", datetime(2024, 1, 1, tzinfo=tz), datetime(2024, 1, 2, 12, tzinfo=tz))) == 2
+    assert len(webservice.spans("aws_minutely", datetime(2024, 1, 1, tzinfo=tz), datetime(2024, 1, 2, 12, tzinfo=tz))) == 2
     with pytest.raises(ValueError):
-        kma.spans("asos_hourly", START, START)
+        webservice.spans("asos_hourly", START, START)
     with pytest.raises(ValueError):
-        kma.spans("other", START, START)
+        webservice.spans("other", START, START)
 
 
 def test_tables_by_suffix(spark, tmp_path):

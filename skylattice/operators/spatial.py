@@ -14,9 +14,9 @@ KEYS = ["datetime", "lat", "lon"]
 def at_stations(grid: DataFrame, stations: DataFrame, mode: str = "nearest") -> DataFrame:
     """station_id, datetime and the grid's value columns at each station and time.
 
-    A grid that has stations already passes through (J3c). A grid's geometry at one time is worked out
-    once per distinct lattice point, not per value: the station is paired with lattice points through the
-    distinct latitudes and longitudes, and values are then fetched by equi-joins.
+    A grid that has stations already passes through (J3c). Nearest meets each grid row with the station
+    dimension and keeps a minimum a time and station; bilinear finds its brackets from the distinct
+    latitudes and longitudes of each time, and fetches the four corners by equi-joins.
     """
     if {"station_id", "datetime"} <= set(grid.columns):
         return align(grid, "UTC").withColumn("station_id", F.col("station_id").cast("string"))

@@ -50,7 +50,7 @@ class Template:
         return [*self.opens.values(), self.other.partition("{role}")[0], self.closes]
 
     def escape(self, text: str) -> str:
-        """A backslash goes before each backslash and inside each control string, after its first character."""
+        """A backslash goes after each backslash, and into each control string after its first character."""
         return self._escaping().sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
     def unescape(self, text: str) -> str:

@@ -70,8 +70,11 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Multiset Jaccard of two bags; two empty bags are alike."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = np.minimum(a[1][i], b[1][j]).sum()
+    low = 0
+    if len(a[0]) and len(b[0]):
+        at = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+        both = a[0][at] == b[0]
+        low = np.minimum(a[1][at[both]], b[1][both]).sum()
     total = a[1].sum() + b[1].sum() - low
     return float(low / total) if total else 1.0
 

@@ -301,7 +301,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substr("fa", i * 4 + 1, F.lit(4)) == F.substr("fb", i * 4 + 1, F.lit(4)))
         return pairs.join(a, "a").join(b, "b").where(F.size(F.filter(slots, lambda x: x)) >= NEAR * SLOTS)
 
-    labels = linked(members, verify)
+    def sketch(nodes: DataFrame) -> DataFrame:
+        return prints.join(nodes, "node").select("node", F.unhex("fingerprint").alias("sketch"))
+
+    def at_most(one: list[bytes], two: list[bytes]) -> np.ndarray:
+        a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SLOTS) for x in (one, two))
+        return np.stack([likeness(row, b) for row in a])
+
+    labels = linked(members, verify, sketch, at_most, NEAR)
     nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = cut(nodes.groupBy("label").agg(F.min("first").alias("class_id")))
     nodes = cut(nodes.join(heads, "label").select("node", "class_id"))

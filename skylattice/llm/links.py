@@ -1,22 +1,24 @@
-"""Links between members of buckets, verified, and the classes they form; no bucket's pairs are ever all made.
+"""Links between members of buckets, verified, and the classes they form.
 
-Members of a bucket are compared with hubs, and only across classes that links have not yet joined. Every
-round compares each bucket's members with a few hubs of other classes; what links is merged, and rounds
-go on until no bucket holds an untested pair of a hub and a member of another class. Buckets of at most
-SMALL members are compared pair by pair, still only across classes.
+First each bucket's members meet one hub. Then only pairs of members that links have not yet joined count:
+buckets of at most SMALL members have them all verified; members of larger ones are laid in tiles of
+blocks, where a bound on each pair's likeness, from short sketches, tells which may link. Rounds verify the
+best of these for each class, and a last one all that are left, so that no pair of a bucket stays undecided.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Buckets of so many members have all of them as hubs; larger ones HUBS a round, one a class, the most popular first.
-SMALL, HUBS = 16, 32
+#: Buckets of so many members need no tiles; members of a block; rounds in which each class has its best pairs only.
+SMALL, BLOCK, ROUNDS = 16, 1024, 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -50,15 +52,21 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def linked(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def linked(
+    members: DataFrame,
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
+    sketch: Callable[[DataFrame], DataFrame] | None = None,
+    bound: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None,
+    least: float = 0.0,
+) -> DataFrame:
     """(node, label) of the nodes that links join; `members` is (bucket, node), `verify` keeps the linked pairs
     (a, b) and gets all nodes that may ever be in a pair besides.
 
-    A link between two texts that meet in some bucket is found unless both, in each bucket they share,
-    are joined to hubs of that bucket that have the same class: then they are in one class already.
-    In a round a node meets the hubs of one of its large buckets only, a different one each time, so
-    that a large group costs its size times HUBS. When that finds nothing new, all its buckets count, and
-    then the next HUBS classes of each bucket are the hubs, until there are none.
+    `sketch` gives (node, sketch) of some nodes, once `verify` was called, and `bound` a matrix of upper
+    bounds on the likeness of each of some sketches with each of others; a pair whose bound is below `least`
+    must be no link. Any two texts that meet in some bucket are then verified, bounded away, or in one
+    class already when their turn comes, so that the classes are those of all links within buckets.
+    A bucket's greatest class isn't compared with itself: work is its size times the members outside that class.
     """
     # A bucket's rows are never grouped, only counted, so one bucket may hold most of the table.
     m = cut(members.distinct())
@@ -66,52 +74,82 @@ def linked(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFram
     m = cut(m.join(sizes, "bucket").select("bucket", "node", "n"))
     popular = cut(m.groupBy("node").agg(F.sum("n").alias("popular")))
     nodes = popular.select("node")
-    m = cut(m.join(popular, "node"))
-    tested = edges = labels = None
-    turn = page = 0
-    all_buckets = False
+    best = F.max(F.struct("popular", "node")).alias("best")
+    hubs = m.join(popular, "node").groupBy("bucket").agg(best).select("bucket", F.col("best.node").alias("hub"))
+    tested = cut(m.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+    if tested.isEmpty():
+        return members.sparkSession.createDataFrame([], "node long, label long")
+    edges = cut(verify(tested, nodes).select("a", "b"))
+    labels = components(edges)
+    sketches = None
+    turn, whole = 0, False
     while True:
-        if labels is None:
-            now = m.withColumn("label", F.col("node"))
-            best = F.max(F.struct("popular", "node")).alias("best")
-            hubs = large = cut(now.groupBy("bucket").agg(best).select("bucket", F.col("best.node").alias("hub"), F.col("best.node").alias("hub_label")))
-        else:
-            now = m.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").drop("__node")
-            now = now.withColumn("label", F.coalesce("label", "node"))
-            mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-            now = cut(now.join(mixed, "bucket"))
-            classes = now.where(F.col("n") > SMALL).groupBy("bucket", "label").agg(F.max(F.struct("popular", "node")).alias("best"))
-            order = Window.partitionBy("bucket").orderBy(F.col("best").desc())
-            classes = classes.withColumn("no", F.row_number().over(order)).where((F.col("no") > page * HUBS) & (F.col("no") <= (page + 1) * HUBS))
-            large = cut(classes.select("bucket", F.col("best.node").alias("hub"), F.col("label").alias("hub_label")))
-            hubs = large.unionByName(now.where(F.col("n") <= SMALL).select("bucket", F.col("node").alias("hub"), F.col("label").alias("hub_label")))
-        some = now
-        if not all_buckets:
-            pick = F.xxhash64("bucket", F.lit(turn))
-            one = now.where(F.col("n") > SMALL).groupBy("node").agg(F.min(pick).alias("__pick"))
-            some = now.join(one, "node", "left").where((F.col("n") <= SMALL) | (pick == F.col("__pick"))).drop("__pick")
-        pairs = _untested(some, hubs, tested)
-        if pairs.isEmpty():
-            if all_buckets and large.isEmpty():
-                break
-            page, all_buckets = page + all_buckets, True
-            continue
-        turn += 1
-        tested = pairs if tested is None else cut(tested.unionByName(pairs))
-        found = cut(verify(pairs, nodes).select("a", "b"))
-        if found.isEmpty() and labels is not None:
-            page, all_buckets = page + all_buckets, True
-        else:
-            page, all_buckets = 0, False
-            edges = found if edges is None else cut(edges.unionByName(found))
+        now = m.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").drop("__node")
+        now = now.withColumn("label", F.coalesce("label", "node"))
+        mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        now = cut(now.join(mixed, "bucket"))
+        large = now.where(F.col("n") > SMALL)
+        if sketch is not None and sketches is None:
+            sketches = cut(sketch(large.select("node").distinct()))
+        pairs = _tiled(large, sketches, bound, least, whole)
+        if not turn:
+            small = now.where(F.col("n") <= SMALL)
+            other = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
+            pairs = pairs.unionByName(small.join(other, "bucket").where("node < b and label <> other").select(F.col("node").alias("a"), "b"))
+        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        found = None if pairs.isEmpty() else cut(verify(pairs, nodes).select("a", "b"))
+        news = found is not None and not found.isEmpty()
+        if news:
+            edges = cut(edges.unionByName(found))
             labels = components(edges)
+        if whole:
+            return labels
+        if found is not None:
+            tested = cut(tested.unionByName(pairs))
+        turn += 1
+        whole = not news or turn == ROUNDS
         members.sparkSession.sparkContext._jvm.System.gc()  # so that Spark drops the shuffles and checkpoints of rounds gone by
-    if labels is None:
-        labels = members.sparkSession.createDataFrame([], "node long, label long")
-    return labels
 
 
-def _untested(members: DataFrame, hubs: DataFrame, tested: DataFrame | None) -> DataFrame:
-    pairs = members.join(hubs, "bucket").where("label <> hub_label")
-    pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    return cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+def _tiled(large: DataFrame, sketches: DataFrame | None, bound: Callable | None, least: float, whole: bool) -> DataFrame:
+    """Pairs (a, b) of members of a bucket, of two classes, that may link: all (`whole`), or each class's best of each tile.
+
+    Members outside a bucket's greatest class are dealt to blocks by hash, and that class's to later
+    blocks; a tile is two blocks, not both of the greatest class, or one block with itself.
+    """
+    by_label = large.groupBy("bucket", "label").agg(F.count("*").alias("k"))
+    top = by_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    top = top.select("bucket", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.k")).alias("rest"), blocks(F.col("top.k")).alias("tops"))
+    dealt = large.join(top, "bucket")
+    outside = F.col("label") != F.col("top")
+    hashed = F.xxhash64("node", F.lit("block"))
+    block = F.when(outside, F.pmod(hashed, F.col("rest"))).otherwise(F.col("rest") + F.pmod(hashed, F.col("tops"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(outside, F.col("rest") + F.col("tops") - 1).otherwise(F.col("rest") - 1))
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(others))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label")
+    dealt = dealt.withColumn("sketch", F.lit(None).cast("binary")) if sketches is None else dealt.join(sketches, "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def near(group: pa.Table) -> pa.Table:
+        lo, hi, block, node, label = (group.column(c).to_numpy() for c in ("lo", "hi", "block", "node", "label"))
+        one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        fine = label[one][:, None] != label[two][None, :]
+        if lo[0] == hi[0]:
+            fine &= node[one][:, None] < node[two][None, :]
+        at_most = np.zeros(fine.shape)
+        if bound is not None and fine.any():
+            data = group.column("sketch").to_pylist()
+            at_most = bound([data[i] for i in one], [data[i] for i in two])
+            fine &= at_most >= least
+        i, j = np.nonzero(fine)
+        if not whole:
+            order = np.argsort(-at_most[i, j], kind="stable")
+            i, j = i[order], j[order]
+            _, first = np.unique(np.stack([label[one[i]], label[two[j]]], axis=1).ravel(), return_index=True)
+            keep = np.unique(first // 2)
+            i, j = i[keep], j[keep]
+        a, b = node[one[i]], node[two[j]]
+        return pa.Table.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], schema=schema)
+
+    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(near, "a long, b long")

@@ -19,6 +19,9 @@ ALIKE = 0.8
 #: Shingles of texts that a worker which verifies pairs remembers.
 HELD = 2 << 20
 KEYS = T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))])
+#: Cells over which a sketch counts a text's shingles, a byte each.
+CELLS = 256
+SKETCH = T.StructType([T.StructField("sketch", T.BinaryType())])
 
 
 def _keys(texts: list) -> tuple:
@@ -27,6 +30,36 @@ def _keys(texts: list) -> tuple:
     return ([k.tolist() if len(b[0]) else [] for k, b in zip(keys, bags, strict=True)],)
 
 
+def sketched(texts: list) -> tuple:
+    """Of each text: its number of shingles, and in each cell how many of them hash there, up to 255."""
+    out = []
+    for text in texts:
+        shingles, counts = bmh.bag(text)
+        cell = (bmh.mixed(shingles) % bmh.U64(CELLS)).astype(np.int64)
+        cells = np.bincount(cell, counts, CELLS)
+        out.append(np.uint32(counts.sum()).tobytes() + np.minimum(cells, 255).astype(np.uint8).tobytes())
+    return (out,)
+
+
+def at_most(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """Upper bounds on the multiset Jaccard of texts by their sketches: no cell shares more than the lesser count."""
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 4 + CELLS) for x in (one, two))
+    size_a, size_b = (x[:, :4].copy().view(np.uint32).astype(np.int64) for x in (a, b))
+    size_b = size_b.ravel()
+    a, b = a[:, 4:], b[:, 4:]
+    full = b == 255  # a cell that is full in both texts may share more than 255
+    some = full.any()
+    out = np.empty((len(a), len(b)))
+    for i, (cells, n) in enumerate(zip(a, size_a.ravel(), strict=True)):
+        most = np.minimum(n, size_b)
+        shared = np.minimum(cells, b).sum(axis=1, dtype=np.int64)
+        if some:
+            shared = np.where((full & (cells == 255)).any(axis=1), most, shared)
+        shared = np.minimum(shared, most)
+        out[i] = shared / (n + size_b - shared)
+    return out
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes whose texts have a multiset overlap of at least ALIKE."""
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -92,7 +125,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             texts.append(cut_texts(got))
         return _verified(pairs, texts[0])
 
-    labels = linked(members, verify)
+    def sketch(nodes: DataFrame) -> DataFrame:
+        return add_columns(texts[0].join(nodes, "node"), "text", SKETCH, sketched, ["node"])
+
+    labels = linked(members, verify, sketch, at_most, ALIKE)
     nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least")
     heads = cut(nodes.groupBy("label").agg(least).select("label", F.col("least.first").alias("class_id"), F.col("least.node").alias("head")))

@@ -277,6 +277,31 @@ def test_near_dedup_is_brute_force(spark, docs, none):
     assert one.columns == docs.columns and sorted(x.doc_id for x in one.collect()) == [-(2**60), 1, 3, 4, 5, 8, 9, 10]
 
 
+def test_members_that_no_hub_meets_are_linked(spark):
+    """60 meets 1, 59 meets 2, and 1 meets 2, of which neither is ever the most popular of its class."""
+    r = random.Random(8)
+    for true in ({(1, 60), (2, 59), (1, 2)}, {(i, j) for j in range(1, 61) for i in range(1, j) if r.random() < 0.02}):
+        members = spark.createDataFrame([(1, i) for i in range(1, 61)], "bucket long, node long")
+        known = spark.createDataFrame(sorted(true), "a long, b long")
+        got = {x.node: x.label for x in links.linked(members, lambda pairs, nodes, known=known: pairs.join(known, ["a", "b"])).collect()}
+        want = {x.node: x.label for x in links.components(known).collect()}
+        assert got == want
+
+
+def test_sketches_bound_likeness_from_above():
+    r = random.Random(6)
+    texts = [text(1, 400), "a " * 3000, "a " * 2900 + text(3, 90), "x y", text(2, 3)]
+    for _ in range(60):
+        t = r.choice(texts[:3]).split()
+        for _ in range(r.randint(0, 30)):
+            t[r.randrange(len(t))] = "new"
+        texts.append(" ".join(t))
+    bags, sketches = [bmh.bag(t) for t in texts], neardup.sketched(texts)[0]
+    most = neardup.at_most(sketches, sketches)
+    true = np.array([[bmh.likeness(a, b) for b in bags] for a in bags])
+    assert (most >= true).all() and (np.diag(most) == 1).all() and (most < neardup.ALIKE).any()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {x.node: x.label for x in links.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -396,6 +396,15 @@ def test_lm_counts_exactly_and_predicts(spark, docs, none):
     assert lm.score_texts(docs).count() == len(HARD) and lm.score_texts(none).count() == 0
 
 
+def test_lm_scores_equal_texts_alike_in_any_chunk(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join(x for _ in range(30) for x in ("hot", r.choice(WORDS)))) for i in range(60)] + [(200, "hot kin")]
+    parts = [rows, [(201, "hot kin")], [(202, "hot kin"), (203, "hot bar hot lon hot de")]]
+    dealt = spark.sparkContext.parallelize(range(3), 3).flatMap(lambda k: parts[k])
+    got = {x.doc_id: x.score for x in lm.score_texts(spark.createDataFrame(dealt, "doc_id long, text string")).collect()}
+    assert got[201] == pytest.approx(got[200], abs=1e-9) and got[202] == pytest.approx(got[200], abs=1e-9)
+
+
 def test_seating_keeps_to_its_bounds():
     count, weight = np.array([0, 1, 2, 5, 40, 500]), np.array([0.1, 0.1, 5.0, 1e-9, 1.0, 1.0])
     for tables in lm.seated(count, weight, 0.5, 1):

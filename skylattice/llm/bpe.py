@@ -1,4 +1,4 @@
-"""BPE encoding by backtracking over Aho-Corasick matches, and decoding through an offset table.
+"""BPE encoding by backtracking over matches in an anchored trie, and decoding through an offset table.
 
 A word is a string of symbols: its bytes, the last one marked as the word's end. The automaton, run
 from where the last token ended, gives the longest token there. Tokens are so laid left to right; one may
@@ -215,7 +215,7 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
 def automaton(words: Iterable[tuple[str, int]]) -> tuple[list[dict], list[int | None]]:
-    """The goto function of the Aho-Corasick automaton, and by state the longest word on the way to it.
+    """The trie of the words (an Aho-Corasick automaton's goto function, without failure links), and by state the longest word on the way to it.
 
     Searches are anchored where the last token ended and want the longest match there, so a way that
     ends is the answer and failure links are never followed.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Sequence
 
 import numpy as np
@@ -79,6 +78,56 @@ def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(low / total) if total else 1.0
 
 
+def links(bags: Sequence[tuple[np.ndarray, np.ndarray]], least: float, side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of bags with a multiset Jaccard of at least `least` that join two classes; every other pair is less alike or in one class.
+
+    Bags of one `label` are a class from the start; where `side` is given only bags of two sides are compared.
+    A bag of which fewer shingles occur in others than any overlap needs is compared with none.
+    """
+    n = len(bags)
+    size = np.array([b[1].sum() for b in bags], np.int64)
+    if n == 2:
+        apart = (side is None or side[0] != side[1]) and (label is None or label[0] != label[1])
+        return [(0, 1)] if apart and size.all() and likeness(*bags) >= least else []
+    lengths = np.array([len(b[0]) for b in bags])
+    owner = np.repeat(np.arange(n), lengths)
+    token, count = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+    _, token, times = np.unique(token, return_inverse=True, return_counts=True)
+    kinds = len(times)
+    fine = times[token] > 1
+    owner, token, count = owner[fine], token[fine], count[fine]
+    ends = np.cumsum(np.bincount(owner, minlength=n))
+    starts = np.concatenate([[0], ends[:-1]])
+    shared = np.bincount(owner, count, n).astype(np.int64)
+    klass = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    share = least / (1 + least)
+    order = np.argsort(-shared / np.maximum(size, 1), kind="stable")
+    todo = np.ones(n, bool)
+    mark = np.zeros(kinds, np.int64)
+    out = []
+    for i in order.tolist():
+        todo[i] = False
+        need = share * (size[i] + size) - 1e-6
+        may = todo & (klass != klass[i]) & (np.minimum(shared, shared[i]) >= need)
+        if side is not None:
+            may &= side != side[i]
+        j = np.flatnonzero(may & (ends > starts))
+        if not len(j):
+            continue
+        mine = slice(starts[i], ends[i])
+        mark[token[mine]] = count[mine]
+        held = ends[j] - starts[j]
+        first = np.concatenate([[0], np.cumsum(held)[:-1]])
+        at = np.arange(held.sum()) + np.repeat(starts[j] - first, held)
+        low = np.add.reduceat(np.minimum(count[at], mark[token[at]]), first)
+        mark[token[mine]] = 0
+        for k in j[low / (size[i] + size[j] - low) >= least].tolist():
+            if klass[k] != klass[i]:
+                klass[klass == klass[k]] = klass[i]
+                out.append((i, k))
+    return out
+
+
 def signatures(bags: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """bags x COMPONENTS of 64-bit names of least points; two bags agree in a component with probability their weighted Jaccard.
 
@@ -150,13 +199,3 @@ def band_keys(names: np.ndarray) -> np.ndarray:
         for k in range(ROWS):
             out = mixed(out * _GOLD + names[:, k::ROWS][:, :BANDS])
     return out
-
-
-def packed_bag(b: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """A bag as bytes: the shingles, sorted, then their counts."""
-    return struct.pack("<I", len(b[0])) + b[0].tobytes() + b[1].astype(np.uint32).tobytes()
-
-
-def unpacked_bag(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    (n,) = struct.unpack_from("<I", data)
-    return np.frombuffer(data, U64, n, 4), np.frombuffer(data, np.uint32, n, 4 + 8 * n).astype(np.int64)

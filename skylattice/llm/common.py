@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,6 +85,28 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Tables of the rows with equal `keys` (integers), from batches sorted by them."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows - 1, bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        starts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+        for i, j in zip(starts, starts[1:]):
+            key = tuple(c[i] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def add_columns(df: DataFrame, column: str, new: T.StructType, fn: Callable[[list], Sequence[Sequence]], keep: Sequence[str] | None = None, limit: int = SLICE_BYTES, raw: bool = False) -> DataFrame:
     """`df` with the columns `new`, which `fn` makes from a list of values of `column` (`raw`: from the Arrow array), slice by slice.
 

@@ -277,40 +277,48 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 #: Slots of a band, and the least share of equal slots of near texts.
-BAND, NEAR = 4, 0.5
+BAND, NEAR = 2, 0.5
+
+
+def _alike(prints: list[np.ndarray], side: np.ndarray | None, label: np.ndarray | None) -> list[tuple[int, int]]:
+    """Pairs of fingerprints that agree in NEAR of their slots and join two classes."""
+    rows = np.stack(prints)
+    klass = np.arange(len(rows)) if label is None else np.unique(label, return_inverse=True)[1]
+    out = []
+    for i in range(len(rows) - 1):
+        j = np.flatnonzero(klass[i + 1 :] != klass[i]) + i + 1
+        if side is not None:
+            j = j[side[j] != side[i]]
+        for k in j[likeness(rows[i], rows[j]) >= NEAR].tolist():
+            if klass[k] != klass[i]:
+                klass[klass == klass[k]] = klass[i]
+                out.append((i, k))
+    return out
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id: texts whose fingerprints agree in at least NEAR of their slots share the least id of a class.
 
-    Bands of BAND slots, which sample the embedded strings at the same places, make the candidates; they
-    are verified on whole fingerprints. Equal texts share a class; null texts are empty, and empty ones
-    link to no other text. Other columns are ignored; an empty table gives no row.
+    Bands of BAND slots, which sample the embedded strings at the same places, make the candidates: a pair
+    at the threshold shares none of the 64 bands with probability (1 - 0.5^2)^64, about 1 in 100 million.
+    All pairs of a band are verified on whole fingerprints. Equal texts share a class; null texts are
+    empty, and empty ones link to no other text. Other columns are ignored; an empty table gives no row.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text")).withColumn("node", F.xxhash64("text"))
     ids = base.select("doc_id", "node")
     first = cut(ids.groupBy("node").agg(F.min("doc_id").alias("first")))
-    prints = written(fingerprint(base.where("text <> ''"), "text", ["node"]).dropDuplicates(["node"]), "prints")
     digits = 4 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // BAND - 1)), lambda i: F.xxhash64(i, F.substr("fingerprint", i * digits + 1, F.lit(digits))))
-    members = prints.select(F.explode(bands).alias("bucket"), "node")
-
-    def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        a = prints.select(F.col("node").alias("a"), F.col("fingerprint").alias("fa"))
-        b = prints.select(F.col("node").alias("b"), F.col("fingerprint").alias("fb"))
-        slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substr("fa", i * 4 + 1, F.lit(4)) == F.substr("fb", i * 4 + 1, F.lit(4)))
-        return pairs.join(a, "a").join(b, "b").where(F.size(F.filter(slots, lambda x: x)) >= NEAR * SLOTS)
-
-    def sketch(nodes: DataFrame) -> DataFrame:
-        return prints.join(nodes, "node").select("node", F.unhex("fingerprint").alias("sketch"))
-
-    def at_most(one: list[bytes], two: list[bytes]) -> np.ndarray:
-        a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, SLOTS) for x in (one, two))
-        return np.stack([likeness(row, b) for row in a])
-
-    labels = linked(members, verify, sketch, at_most, NEAR)
+    prints = fingerprint(base.where("text <> ''"), "text", ["node"]).groupBy("node").agg(F.min("fingerprint").alias("fingerprint"))
+    prints = written(prints.select("node", "fingerprint", bands.alias("keys"), F.lit(1).cast("long").alias("size")), "prints")
+    labels = linked(
+        prints,
+        lambda places: cut(prints.select("node", F.col("fingerprint").alias("text")).join(places, "node")),
+        lambda x: np.frombuffer(bytes.fromhex(x), np.uint16),
+        _alike,
+    )
     nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = cut(nodes.groupBy("label").agg(F.min("first").alias("class_id")))
+    heads = nodes.groupBy("label").agg(F.min("first").alias("class_id"))
     nodes = cut(nodes.join(heads, "label").select("node", "class_id"))
     dropped(prints)
     return ids.join(nodes, "node").select("doc_id", "class_id")

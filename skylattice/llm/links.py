@@ -1,24 +1,28 @@
-"""Links between members of buckets, verified, and the classes they form.
+"""Links between texts that share a bucket, decided exactly, and the classes they form.
 
-First each bucket's members meet one hub. Then only pairs of members that links have not yet joined count:
-buckets of at most SMALL members have them all verified; members of larger ones are laid in tiles of
-blocks, where a bound on each pair's likeness, from short sketches, tells which may link. Rounds verify the
-best of these for each class, and a last one all that are left, so that no pair of a bucket stays undecided.
+Buckets that hold the same nodes are one. A bucket is dealt to blocks of bounded size, by a hash, and each
+block's task decides every pair of its members that its own links have not joined yet, on the whole texts.
+Where a bucket took several blocks and still holds several classes, its members outside the greatest class
+then meet the rest of the bucket, tile by tile. A task sends only the links that joined two classes, so
+what comes out is never more than what went in, and yet no pair of a bucket stays undecided.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, groups
 
-#: Buckets of so many members need no tiles; members of a block; rounds in which each class has its best pairs only.
-SMALL, BLOCK, ROUNDS = 16, 1024, 3
+#: Members of a block, and what all of their sizes come to.
+BLOCK, BLOCK_SIZE = 1024, 4 << 20
+EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+#: Links of the bags of one block or tile: (bags, sides, labels) -> pairs of places.
+Decide = Callable[[list, np.ndarray | None, np.ndarray | None], list[tuple[int, int]]]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +32,8 @@ def components(edges: DataFrame) -> DataFrame:
     changes an edge: about log(nodes) rounds, and no component is ever held in one place.
     """
     e = cut(_canonical(edges))
-    while True:
+    before = _digest(e)
+    while before[0]:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -36,10 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b")
         small = small.select(F.col("a"), F.col("m").alias("b")).unionByName(low.select(F.col("b").alias("a"), F.col("m").alias("b")))
-        small = cut(_canonical(small))
-        if _digest(small) == _digest(e):
+        e = cut(_canonical(small))
+        now = _digest(e)
+        if now == before:
             break
-        e = small
+        before = now
     return cut(e.select(F.col("b").alias("node"), F.col("a").alias("label")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("label"))).distinct())
 
 
@@ -52,104 +58,82 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def linked(
-    members: DataFrame,
-    verify: Callable[[DataFrame, DataFrame], DataFrame],
-    sketch: Callable[[DataFrame], DataFrame] | None = None,
-    bound: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None,
-    least: float = 0.0,
-) -> DataFrame:
-    """(node, label) of the nodes that links join; `members` is (bucket, node), `verify` keeps the linked pairs
-    (a, b) and gets all nodes that may ever be in a pair besides.
-
-    `sketch` gives (node, sketch) of some nodes, once `verify` was called, and `bound` a matrix of upper
-    bounds on the likeness of each of some sketches with each of others; a pair whose bound is below `least`
-    must be no link. Any two texts that meet in some bucket are then verified, bounded away, or in one
-    class already when their turn comes, so that the classes are those of all links within buckets.
-    A bucket's greatest class isn't compared with itself: work is its size times the members outside that class.
+def _blocks(n: Column, size: Column) -> Column:
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_SIZE)).cast("int")
+
+
+def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], bag: Callable, decide: Decide) -> DataFrame:
+    """(node, label) of the nodes that links join.
+
+    `nodes` is (node, keys, size), one row a node, where `keys` names its buckets, a bounded number.
+    `texts_of` gives (node, text, places) for a table of (node, places), each node once or more. Any two
+    texts that meet in some bucket have been compared by `decide` on what `bag` makes of them, or were
+    in one class already, so the classes are those of all links within buckets.
     """
-    # A bucket's rows are never grouped, only counted, so one bucket may hold most of the table.
-    m = cut(members.distinct())
-    sizes = cut(m.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    m = cut(m.join(sizes, "bucket").select("bucket", "node", "n"))
-    popular = cut(m.groupBy("node").agg(F.sum("n").alias("popular")))
-    nodes = popular.select("node")
-    best = F.max(F.struct("popular", "node")).alias("best")
-    hubs = m.join(popular, "node").groupBy("bucket").agg(best).select("bucket", F.col("best.node").alias("hub"))
-    tested = cut(m.join(hubs, "bucket").where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
-    if tested.isEmpty():
-        return members.sparkSession.createDataFrame([], "node long, label long")
-    edges = cut(verify(tested, nodes).select("a", "b"))
+    member = nodes.select("node", "size", F.explode("keys").alias("bucket"))
+    content = [F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y")]
+    buckets = member.groupBy("bucket").agg(*content).where("n > 1")
+    buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.first("size").alias("size"))
+    buckets = cut(buckets.select("bucket", _blocks(F.col("n"), F.col("size")).alias("k")))
+    held = member.select("node", "bucket", "size").join(buckets, "bucket")
+    block = F.pmod(F.xxhash64("node", "bucket"), F.col("k")).cast("int")
+    held = held.groupBy("node").agg(F.collect_list(F.struct("bucket", block.alias("lo"), block.alias("hi"))).alias("places"))
+    texts = texts_of(held)
+    placed = texts.select("node", "text", F.lit(0).cast("long").alias("label"), F.lit(0).alias("side"), F.inline("places"))
+    edges = cut(_decided(placed, bag, decide, False))
     labels = components(edges)
-    sketches = None
-    turn, whole = 0, False
-    while True:
-        now = m.join(labels.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").drop("__node")
-        now = now.withColumn("label", F.coalesce("label", "node"))
-        mixed = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        now = cut(now.join(mixed, "bucket"))
-        large = now.where(F.col("n") > SMALL)
-        if sketch is not None and sketches is None:
-            sketches = cut(sketch(large.select("node").distinct()))
-        pairs = _tiled(large, sketches, bound, least, whole)
-        if not turn:
-            small = now.where(F.col("n") <= SMALL)
-            other = small.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = pairs.unionByName(small.join(other, "bucket").where("node < b and label <> other").select(F.col("node").alias("a"), "b"))
-        pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        found = None if pairs.isEmpty() else cut(verify(pairs, nodes).select("a", "b"))
-        news = found is not None and not found.isEmpty()
-        if news:
-            edges = cut(edges.unionByName(found))
-            labels = components(edges)
-        if whole:
-            return labels
-        if found is not None:
-            tested = cut(tested.unionByName(pairs))
-        turn += 1
-        whole = not news or turn == ROUNDS
-        members.sparkSession.sparkContext._jvm.System.gc()  # so that Spark drops the shuffles and checkpoints of rounds gone by
-
-
-def _tiled(large: DataFrame, sketches: DataFrame | None, bound: Callable | None, least: float, whole: bool) -> DataFrame:
-    """Pairs (a, b) of members of a bucket, of two classes, that may link: all (`whole`), or each class's best of each tile.
+    large = buckets.where("k > 1")
+    if large.isEmpty():
+        return labels
+    now = member.join(large.select("bucket"), "bucket").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    tiles = _tiles(cut(now))
+    both = tiles.join(texts.select("node", "text").dropDuplicates(["node"]), "node")
+    more = cut(_decided(both.select("node", "text", "label", "side", "bucket", "lo", "hi"), bag, decide, True))
+    return labels if more.isEmpty() else components(edges.unionByName(more))
+
+
+def _tiles(now: DataFrame) -> DataFrame:
+    """(node, label, side, bucket, lo, hi): the tiles in which members (bucket, node, size, label) of mixed buckets meet.
 
     Members outside a bucket's greatest class are dealt to blocks by hash, and that class's to later
     blocks; a tile is two blocks, not both of the greatest class, or one block with itself.
     """
-    by_label = large.groupBy("bucket", "label").agg(F.count("*").alias("k"))
-    top = by_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"))
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    top = top.select("bucket", F.col("top.label").alias("top"), blocks(F.col("all") - F.col("top.k")).alias("rest"), blocks(F.col("top.k")).alias("tops"))
-    dealt = large.join(top, "bucket")
+    by_label = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    top = by_label.groupBy("bucket").agg(F.max(F.struct("n", "label", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > top.n")
+    rest = _blocks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size"))
+    top = top.select("bucket", F.col("top.label").alias("top"), rest.alias("rest"), _blocks(F.col("top.n"), F.col("top.size")).alias("tops"))
     outside = F.col("label") != F.col("top")
-    hashed = F.xxhash64("node", F.lit("block"))
+    hashed = F.xxhash64("node", F.lit("tile"))
     block = F.when(outside, F.pmod(hashed, F.col("rest"))).otherwise(F.col("rest") + F.pmod(hashed, F.col("tops"))).cast("int")
     others = F.sequence(F.lit(0), F.when(outside, F.col("rest") + F.col("tops") - 1).otherwise(F.col("rest") - 1))
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(others))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "label")
-    dealt = dealt.withColumn("sketch", F.lit(None).cast("binary")) if sketches is None else dealt.join(sketches, "node")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def near(group: pa.Table) -> pa.Table:
-        lo, hi, block, node, label = (group.column(c).to_numpy() for c in ("lo", "hi", "block", "node", "label"))
-        one, two = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        fine = label[one][:, None] != label[two][None, :]
-        if lo[0] == hi[0]:
-            fine &= node[one][:, None] < node[two][None, :]
-        at_most = np.zeros(fine.shape)
-        if bound is not None and fine.any():
-            data = group.column("sketch").to_pylist()
-            at_most = bound([data[i] for i in one], [data[i] for i in two])
-            fine &= at_most >= least
-        i, j = np.nonzero(fine)
-        if not whole:
-            order = np.argsort(-at_most[i, j], kind="stable")
-            i, j = i[order], j[order]
-            _, first = np.unique(np.stack([label[one[i]], label[two[j]]], axis=1).ravel(), return_index=True)
-            keep = np.unique(first // 2)
-            i, j = i[keep], j[keep]
-        a, b = node[one[i]], node[two[j]]
-        return pa.Table.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], schema=schema)
-
-    return dealt.groupBy("bucket", "lo", "hi").applyInArrow(near, "a long, b long")
+    dealt = now.join(top, "bucket").withColumn("block", block).withColumn("other", F.explode(others))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    return dealt.select("node", "label", (F.col("block") == hi).cast("int").alias("side"), "bucket", lo.alias("lo"), hi.alias("hi"))
+
+
+def _decided(placed: DataFrame, bag: Callable, decide: Decide, tiles: bool) -> DataFrame:
+    """Links (a, b) within each (bucket, lo, hi) of `placed`; in `tiles`, across its two sides only unless it has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in groups(batches, ["bucket", "lo", "hi"]):
+            node = group.column("node").to_numpy()
+            _, first = np.unique(node, return_index=True)
+            if len(first) < 2:
+                continue
+            bags = [bag(x) for x in group.column("text").take(pa.array(first)).to_pylist()]
+            node = node[first]
+            side = label = None
+            if tiles:
+                label = group.column("label").to_numpy()[first]
+                side = group.column("side").to_numpy()[first] if group.column("lo")[0] != group.column("hi")[0] else None
+            for i, j in decide(bags, side, label):
+                a.append(node[i])
+                b.append(node[j])
+            if len(a) > 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], schema=EDGES)
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], schema=EDGES)
+
+    keys = ["bucket", "lo", "hi"]
+    return placed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,79 +13,21 @@ from .links import linked
 
 #: Least multiset Jaccard of a link.
 ALIKE = 0.8
-#: Shingles of texts that a worker which verifies pairs remembers.
-HELD = 2 << 20
-KEYS = T.StructType([T.StructField("keys", T.ArrayType(T.LongType()))])
-#: Cells over which a sketch counts a text's shingles, a byte each.
-CELLS = 256
-SKETCH = T.StructType([T.StructField("sketch", T.BinaryType())])
+KEYS = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
 
 
 def _keys(texts: list) -> tuple:
-    bags = [bmh.bag(x) for x in texts]
+    """Buckets and number of shingles of each text; equal texts of a slice are signed once."""
+    own = {x: i for i, x in enumerate(dict.fromkeys(texts))}
+    bags = [bmh.bag(x) for x in own]
     keys = bmh.band_keys(bmh.signatures(bags)).view(np.int64)
-    return ([k.tolist() if len(b[0]) else [] for k, b in zip(keys, bags, strict=True)],)
-
-
-def sketched(texts: list) -> tuple:
-    """Of each text: its number of shingles, and in each cell how many of them hash there, up to 255."""
-    out = []
-    for text in texts:
-        shingles, counts = bmh.bag(text)
-        cell = (bmh.mixed(shingles) % bmh.U64(CELLS)).astype(np.int64)
-        cells = np.bincount(cell, counts, CELLS)
-        out.append(np.uint32(counts.sum()).tobytes() + np.minimum(cells, 255).astype(np.uint8).tobytes())
-    return (out,)
-
-
-def at_most(one: list[bytes], two: list[bytes]) -> np.ndarray:
-    """Upper bounds on the multiset Jaccard of texts by their sketches: no cell shares more than the lesser count."""
-    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, 4 + CELLS) for x in (one, two))
-    size_a, size_b = (x[:, :4].copy().view(np.uint32).astype(np.int64) for x in (a, b))
-    size_b = size_b.ravel()
-    a, b = a[:, 4:], b[:, 4:]
-    full = b == 255  # a cell that is full in both texts may share more than 255
-    some = full.any()
-    out = np.empty((len(a), len(b)))
-    for i, (cells, n) in enumerate(zip(a, size_a.ravel(), strict=True)):
-        most = np.minimum(n, size_b)
-        shared = np.minimum(cells, b).sum(axis=1, dtype=np.int64)
-        if some:
-            shared = np.where((full & (cells == 255)).any(axis=1), most, shared)
-        shared = np.minimum(shared, most)
-        out[i] = shared / (n + size_b - shared)
-    return out
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts have a multiset overlap of at least ALIKE."""
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple] = {}  # bags of late, of at most HELD shingles
-        held = 0
-
-        def bag(node: int, text: str) -> tuple:
-            nonlocal held
-            got = seen.get(node)
-            if got is None:
-                got = bmh.bag(text)
-                held += len(got[0])
-                if held > HELD:
-                    seen.clear()
-                    held = len(got[0])
-                seen[node] = got
-            return got
-
-        for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            keep = pa.array([bmh.likeness(bag(a, ta), bag(b, tb)) >= ALIKE for a, b, ta, tb in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    return both.mapInArrow(run, schema)
+    keys = [k.tolist() if len(b[0]) else [] for k, b in zip(keys, bags, strict=True)]
+    at = [own[x] for x in texts]
+    return [keys[i] for i in at], [int(bags[i][1].sum()) for i in at]
+
+
+def _decide(bags: list, side: np.ndarray | None, label: np.ndarray | None) -> list[tuple[int, int]]:
+    return bmh.links(bags, ALIKE, side, label)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,8 +36,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     class_id is the least doc_id of the class. Equal texts are one node from the start, however many,
     so only distinct texts meet in buckets; a node is the 64-bit hash of its text. Two texts link when
     the multiset Jaccard of their five-word shingles is at least ALIKE; texts of fewer words are one
-    shingle. Links are verified on whole texts; a pair at the threshold shares none of the 20 bands,
-    and is missed, with probability (1 - 0.8^4)^20, about 3 in 100,000.
+    shingle. Every pair that shares a band is decided on whole texts; a pair at the threshold shares none
+    of the 20 bands, and is missed, with probability (1 - 0.8^4)^20, about 3 in 100,000.
 
     Null texts are empty; all texts without words form no link but equal ones are one class. Null ids are
     kept, in a class whose least id is null only if all its ids are. Equal rows are kept each; other
@@ -114,40 +53,32 @@ def _classified(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     base = base.withColumn("node", F.xxhash64("text"))
     ids = base.select("doc_id", "node")
-    first = cut(ids.groupBy("node").agg(F.min("doc_id").alias("first")))
-    members = add_columns(base, "text", KEYS, _keys, ["node"]).select(F.explode("keys").alias("bucket"), "node")
-    texts: list[DataFrame] = []
-
-    def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-        if not texts:
-            wanted = cut(nodes.join(first, "node").select("node", F.col("first").alias("doc_id")))
-            got = base.select("doc_id", "node", "text").join(wanted, (base.doc_id.eqNullSafe(wanted.doc_id)) & (base.node == wanted.node)).select(base.node, base.text)
-            texts.append(cut_texts(got))
-        return _verified(pairs, texts[0])
-
-    def sketch(nodes: DataFrame) -> DataFrame:
-        return add_columns(texts[0].join(nodes, "node"), "text", SKETCH, sketched, ["node"])
-
-    labels = linked(members, verify, sketch, at_most, ALIKE)
-    nodes = first.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    signed = add_columns(base, "text", KEYS, _keys, ["doc_id", "node"])
+    signed = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("keys").alias("keys"), F.max("size").alias("size"))
+    signed = written(signed, "signed")
+    scratch = [signed]
+
+    def texts_of(places: DataFrame) -> DataFrame:
+        """Read once, from the row of least id: of equal texts, however many, one meets the places."""
+        wanted = signed.select("node", "first").join(places, "node").withColumnsRenamed({"node": "__node", "first": "doc_id"})
+        on = base.doc_id.eqNullSafe(wanted.doc_id) & (base.node == wanted["__node"])
+        scratch.append(written(base.join(wanted, on).select(base.node, base.text, wanted.places), "texts"))
+        return scratch[-1]
+
+    labels = linked(signed, texts_of, bmh.bag, _decide)
+    nodes = signed.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "node")).alias("least")
-    heads = cut(nodes.groupBy("label").agg(least).select("label", F.col("least.first").alias("class_id"), F.col("least.node").alias("head")))
+    heads = nodes.groupBy("label").agg(least).select("label", F.col("least.first").alias("class_id"), F.col("least.node").alias("head"))
     nodes = cut(nodes.join(heads, "label").select("node", "class_id", "head"))
-    for t in texts:
-        dropped(t)
+    for x in scratch:
+        dropped(x)
     return ids, nodes
 
 
-def cut_texts(got: DataFrame) -> DataFrame:
-    """One row a node, written to the shared folder: rows of equal id and text may be several."""
-    return written(got.dropDuplicates(["node"]), "texts")
-
-
 def one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` of which each class keeps one: that of least id, null last; equal rows leave one."""
-    ids, nodes = _classified(docs, id_col, text_col)
-    kept = ids.join(nodes.where("node = head"), "node").where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("node").alias("__node")).distinct()
+    _, nodes = _classified(docs, id_col, text_col)
+    kept = nodes.where("node = head").select(F.col("class_id").alias("__id"), F.col("node").alias("__node"))
     marked = docs.withColumn("__text", F.xxhash64(text_of(docs, text_col)))
-    kept = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__node")))
+    kept = marked.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__node")))
     return kept.dropDuplicates(["__id", "__node"]).select(*docs.columns)

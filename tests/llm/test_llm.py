@@ -277,29 +277,48 @@ def test_near_dedup_is_brute_force(spark, docs, none):
     assert one.columns == docs.columns and sorted(x.doc_id for x in one.collect()) == [-(2**60), 1, 3, 4, 5, 8, 9, 10]
 
 
-def test_members_that_no_hub_meets_are_linked(spark):
-    """60 meets 1, 59 meets 2, and 1 meets 2, of which neither is ever the most popular of its class."""
+def test_pairs_of_a_bucket_are_all_decided(spark, monkeypatch):
+    """Classes of one bucket, in one block or in tiles of a few members each, are those of its true links."""
     r = random.Random(8)
     for true in ({(1, 60), (2, 59), (1, 2)}, {(i, j) for j in range(1, 61) for i in range(1, j) if r.random() < 0.02}):
-        members = spark.createDataFrame([(1, i) for i in range(1, 61)], "bucket long, node long")
-        known = spark.createDataFrame(sorted(true), "a long, b long")
-        got = {x.node: x.label for x in links.linked(members, lambda pairs, nodes, known=known: pairs.join(known, ["a", "b"])).collect()}
-        want = {x.node: x.label for x in links.components(known).collect()}
-        assert got == want
+        nodes = spark.createDataFrame([(i, [1, 2], 1) for i in range(1, 61)], "node long, keys array<long>, size long")
+        want = {x.node: x.label for x in links.components(spark.createDataFrame(sorted(true), "a long, b long")).collect()}
 
+        def decide(bags, side, label, true=true):
+            pairs = ((i, j) for j in range(len(bags)) for i in range(j) if side is None or side[i] != side[j])
+            return [(i, j) for i, j in pairs if (int(bags[i]), int(bags[j])) in true]
 
-def test_sketches_bound_likeness_from_above():
+        for block in (1024, 7):
+            monkeypatch.setattr(links, "BLOCK", block)
+            texts = lambda places: places.withColumn("text", F.col("node").cast("string"))
+            assert {x.node: x.label for x in links.linked(nodes, texts, str, decide).collect()} == want
+
+
+def test_links_of_a_block_are_brute_force():
     r = random.Random(6)
-    texts = [text(1, 400), "a " * 3000, "a " * 2900 + text(3, 90), "x y", text(2, 3)]
-    for _ in range(60):
+    texts = [text(1, 300), "a " * 900, "a " * 880 + text(3, 20), "x y", text(2, 3), ""]
+    for _ in range(90):
         t = r.choice(texts[:3]).split()
-        for _ in range(r.randint(0, 30)):
-            t[r.randrange(len(t))] = "new"
+        for _ in range(r.randint(0, 9)):
+            t[r.randrange(len(t))] = r.choice(["new", f"n{r.random()}"])
         texts.append(" ".join(t))
-    bags, sketches = [bmh.bag(t) for t in texts], neardup.sketched(texts)[0]
-    most = neardup.at_most(sketches, sketches)
-    true = np.array([[bmh.likeness(a, b) for b in bags] for a in bags])
-    assert (most >= true).all() and (np.diag(most) == 1).all() and (most < neardup.ALIKE).any()
+    bags = [bmh.bag(t) for t in texts]
+    n = len(bags)
+    true = np.array([[len(a[0]) and len(b[0]) and bmh.likeness(a, b) >= 0.8 for b in bags] for a in bags], bool)
+
+    def classes(pairs, klass):
+        klass = np.array(klass)
+        for i, j in pairs:
+            klass[klass == klass[j]] = klass[i]
+        return {tuple(np.flatnonzero(klass == k)) for k in klass}
+
+    side, label = np.arange(n) % 2, np.arange(n) // 3
+    for s, lab in ((None, None), (side, None), (side, label), (None, label)):
+        across = true if s is None else true & (s[:, None] != s)
+        start = np.arange(n) if lab is None else lab
+        got = bmh.links(bags, 0.8, s, lab)
+        assert all(across[i, j] for i, j in got) and len(got) < n
+        assert classes(got, start) == classes(zip(*np.nonzero(across)), start)
 
 
 def test_components_of_chains_and_stars(spark):

@@ -1,10 +1,11 @@
-"""BPE encoding by backtracking over matches in an anchored trie, and decoding through an offset table.
-
-A word is a string of symbols: its bytes, the last one marked as the word's end. The automaton, run
-from where the last token ended, gives the longest token there. Tokens are so laid left to right; one may
-follow another only if the merge rules would leave the border between the two alone (`stands`), which
-the rank table of pairs decides. Where nothing fits, the last token gives way to its longest prefix
-that is a token, and a position found dead is not tried again, so the work is linear in the word.
+"""BPE encoding by backtracking over the matches of an Aho-Corasick automaton, and decoding through an offset table.
+
+A word is a string of symbols: its bytes, the last one marked as the word's end. The automaton holds the
+tokens from their last symbol to their first; one pass over the word from its end, along failure links,
+so finds the longest token that starts at each place. Tokens are then laid left to right; one may follow
+another only if the merge rules would leave the border between the two alone (`stands`), which the rank
+table of pairs decides. Where nothing fits, the last token gives way to its longest prefix that is a
+token, and a place found dead is not tried again, so the work is linear in the word.
 """
 
 from __future__ import annotations
@@ -28,7 +29,23 @@ from .common import add_columns
 
 BASE = 512  # symbols: 256 bytes inside a word, 256 bytes that end one
 #: Distinct chunks of text whose ids a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+
+
+# What Unicode added after version 15.1, which Python's tables may lack and the tokenizers library has.
+#: Letters and numbers of Unicode 16.0 (first, last).
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NUMBERS_16 = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Lower case of Unicode 16.0 and 17.0 (first capital, last capital, first small letter).
+LOWER_17 = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+SMALL = {a + i: c + i for a, b, c in LOWER_17 for i in range(b - a + 1)}
 
 
 def byte_letters() -> list[str]:
@@ -68,15 +85,15 @@ class Vocabulary:
         reached = [True] * BASE
         for t in range(BASE, len(names)):
             reached.append(reached[self.left[t]] and reached[self.right[t]] and self.stands(self.left[t], self.right[t], t))
-        self.next, self.best = automaton((x, t) for t, x in enumerate(spelt) if reached[t])
+        self.goto, self.fail, self.best = automaton((x[::-1], t) for t, x in enumerate(spelt) if reached[t])
         self.known: dict[int, bool] = {}
-        self.deepest = max(self.length)
         where = {x: t for t, x in enumerate(spelt) if reached[t]}
         self.shorter: list[int | None] = [next((where[x[:k]] for k in range(len(x) - 1, 0, -1) if x[:k] in where), None) for x in spelt]
         self.ids = [ids[x] for x in names]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.pieces = regex.compile(as_of_16(pattern), regex.V1)
         # Offset table: the shown form of token i is text[offsets[i]:offsets[i + 1]].
         shown = {**{i: x for x, i in ids.items()}, **{i: x for x, i in self.special.items()}}
         parts = [shown.get(i, "").encode() for i in range(max(shown) + 1)]
@@ -104,25 +121,35 @@ class Vocabulary:
             else:
                 bound, b = min(bound, b + 1), self.left[b]
 
+    def longest(self, data: bytes) -> list[int | None]:
+        """The longest token that starts at each place of a word: one pass of the automaton from the word's end."""
+        goto, fail, best = self.goto, self.fail, self.best
+        out: list[int | None] = []
+        state, symbol = 0, 256
+        for byte in reversed(data):
+            symbol += byte
+            to = goto.get(state << 9 | symbol)
+            while to is None and state:
+                state = fail[state]
+                to = goto.get(state << 9 | symbol)
+            state = to or 0
+            out.append(best[state])
+            symbol = 0
+        out.reverse()
+        return out
+
     def word(self, data: bytes) -> list[int]:
         """Ids of one word."""
         n = len(data)
         if not n:
             return []
-        symbols = data[:-1].decode("latin-1") + chr(256 + data[-1])
-        nxt, best, length, known = self.next, self.best, self.length, self.known
+        longest = self.longest(data)
+        length, known = self.length, self.known
         out: list[int] = []
         dead: set[int] = set()  # places from which the rest can't be spelt
         at = last = 0
         while at < n:
-            # Anchored leftmost-longest search: follow the automaton until it has no way on.
-            state = 0
-            for symbol in symbols[at : at + self.deepest] if at else symbols:
-                to = nxt[state].get(symbol)
-                if to is None:
-                    break
-                state = to
-            t = best[state]
+            t = longest[at]
             while True:
                 if t is not None:
                     end = at + length[t]
@@ -158,7 +185,7 @@ class Vocabulary:
                 out.append(self.special[part])
                 continue
             # Letters are lowered one by one, so the word-final form of sigma is not used.
-            part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            part = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower().translate(SMALL)
             if part.isalpha():
                 out += self.known_word(part)
             elif part[:-1].isalpha() and part[-1] in ".,;:!?":
@@ -214,29 +241,54 @@ _INFO = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
-def automaton(words: Iterable[tuple[str, int]]) -> tuple[list[dict], list[int | None]]:
-    """The trie of the words (an Aho-Corasick automaton's goto function, without failure links), and by state the longest word on the way to it.
-
-    Searches are anchored where the last token ended and want the longest match there, so a way that
-    ends is the answer and failure links are never followed.
-    """
-    nxt: list[dict[str, int]] = [{}]
-    here: dict[int, int] = {}
-    parent = [(0, 0)]
+def automaton(words: Iterable[tuple[str, int]]) -> tuple[dict[int, int], list[int], list[int | None]]:
+    """An Aho-Corasick automaton: goto by state << 9 | symbol, failure links, and each state's longest word that ends there."""
+    goto: dict[int, int] = {}
+    above, symbols, best = [0], [0], [None]
     for word, value in words:
         state = 0
-        for symbol in word:
-            to = nxt[state].get(symbol)
+        for symbol in map(ord, word):
+            to = goto.get(state << 9 | symbol)
             if to is None:
-                to = nxt[state][symbol] = len(nxt)
-                nxt.append({})
-                parent.append((state, to))
+                to = goto[state << 9 | symbol] = len(above)
+                above.append(state)
+                symbols.append(symbol)
+                best.append(None)
             state = to
-        here[state] = value
-    best: list[int | None] = [None]
-    for above, state in parent[1:]:  # made after what is above them
-        best.append(here.get(state, best[above]))
-    return nxt, best
+        best[state] = value
+    depth = [0] * len(above)
+    for state in range(1, len(above)):  # made after what is above it
+        depth[state] = depth[above[state]] + 1
+    fail = [0] * len(above)
+    for state in sorted(range(1, len(above)), key=depth.__getitem__):
+        if depth[state] > 1:
+            back, to = above[state], None
+            while to is None and back:
+                back = fail[back]
+                to = goto.get(back << 9 | symbols[state])
+            fail[state] = to or 0
+        if best[state] is None:
+            best[state] = best[fail[state]]
+    return goto, fail, best
+
+
+def as_of_16(pattern: str) -> str:
+    r"""`pattern` with \p{L} and \p{N} as of Unicode 16.0, as the tokenizers library has them; the regex library's tables are newer."""
+    import regex
+
+    known = [*LETTERS_16, *NUMBERS_16]
+    spans: list[list[int]] = []
+    for plane in range(0, 0x110000, 1 << 16):
+        for x in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(plane, plane + (1 << 16))))):
+            c = ord(x)
+            if unicodedata.category(x) != "Cn" or any(a <= c <= b for a, b in known):
+                continue
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    less = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+    return pattern.replace(r"\p{L}", rf"[\p{{L}}--[{less}]]").replace(r"\p{N}", rf"[\p{{N}}--[{less}]]") if spans else pattern
 
 
 @functools.lru_cache(maxsize=2)

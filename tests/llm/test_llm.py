@@ -86,6 +86,34 @@ def test_bpe_on_odd_strings(tokenizer):
     assert list(bpe.tokens(texts, path)) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_splits_every_code_point_as_the_library(tokenizer):
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        v = bpe.Vocabulary(f.read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4000):
+        shown = tokenizer.normalizer.normalize_str(" ".join(f"a{chr(c)}b {chr(c)}. x{chr(c)}" for c in points[i : i + 4000]))
+        want = [shown[a:b] for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(shown)]
+        assert v.pieces.findall(shown) == want
+    texts = [f"a{chr(c)}b {chr(c)}. x{chr(c)}" for c in points if c < 0x3400 or 0xA000 <= c < 0xAC00 or 0xF900 <= c < 0x11000 or c % 37 == 0]
+    assert [v.encode(x).tolist() for x in texts] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_automaton_finds_the_longest_word_at_each_end():
+    r = random.Random(3)
+    words = {"".join(r.choice("ab") for _ in range(r.randint(1, 6))): i for i in range(30)}
+    goto, fail, best = bpe.automaton(words.items())
+    for _ in range(200):
+        s, state = "".join(r.choice("abc") for _ in range(40)), 0
+        for k, c in enumerate(s):
+            while (to := goto.get(state << 9 | ord(c))) is None and state:
+                state = fail[state]
+            state = to or 0
+            ends = [w for w in words if s[: k + 1].endswith(w)]
+            assert best[state] == (words[max(ends, key=len)] if ends else None)
+
+
 def test_extra_columns_stay_and_results_replace_their_namesakes(docs):
     out = bpe.encode(docs.withColumn("token_ids", F.lit("old")))
     assert out.columns == [*docs.columns, "token_ids"] and dict(out.dtypes)["token_ids"] == "array<int>"

@@ -17,14 +17,8 @@ from .mixing import word_count
 
 #: Least words of a repeated run that is deleted.
 MIN_WORDS = 50
-#: Bits of a position for the line, and for the document within its partition.
-LINE_BITS = DOC_BITS = 23
-
-
-def _position(doc: Column, line: Column) -> Column:
-    return F.shiftleft(doc, LINE_BITS).bitwiseOR(line.cast("long"))
-
-
+#: Followers' ranks of a span, within which one task orders those of a rank.
+SPAN_BITS = 8
 def _numbered(docs: DataFrame, text: Column) -> DataFrame:
     """(doc_id, th, d, lines): a number d of each document that rises with doc_id, and its lines that have words.
 
@@ -34,10 +28,7 @@ def _numbered(docs: DataFrame, text: Column) -> DataFrame:
     lines = F.transform(parts, lambda x, i: F.struct(i.alias("at"), F.xxhash64(x).alias("id"), word_count(x).cast("int").alias("w")))
     base = docs.select("doc_id", F.xxhash64(text).alias("th"), F.filter(lines, lambda x: x["w"] > 0).alias("lines"))
     base = base.dropDuplicates(["doc_id", "th"]).orderBy(F.col("doc_id").asc_nulls_last(), "th").withColumn("n", F.monotonically_increasing_id())
-    place = F.col("n").bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (place < 1 << DOC_BITS) & (F.size("lines") < 1 << LINE_BITS)
-    number = F.shiftleft(F.shiftright("n", 33), DOC_BITS).bitwiseOR(place)
-    return cut(base.select("doc_id", "th", F.when(fits, number).otherwise(F.raise_error(F.lit("too many documents in a partition, or lines in one"))).alias("d"), "lines"))
+    return cut(base.select("doc_id", "th", F.col("n").alias("d"), "lines"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "text") -> DataFrame:
@@ -81,8 +72,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str =
     runs = runs.join(table.withColumnRenamed("i", "j"), ["d", "j"]).withColumn("last", F.element_at("ranks", F.col("k") + 1))
     runs = cut(runs.select("d", "i", "n", "first", "last"))
     key = ["n", "first", "last"]
-    origin = cut(runs.groupBy(*key).agg(F.min(_position(F.col("d"), F.col("i"))).alias("origin"), F.count("*").alias("copies")).where("copies > 1"))
-    later = runs.join(origin, key).where(_position(F.col("d"), F.col("i")) > F.col("origin"))
+    origin = cut(runs.groupBy(*key).agg(F.min(F.struct("d", "i")).alias("origin"), F.count("*").alias("copies")).where("copies > 1"))
+    later = runs.join(origin, key).where(F.struct("d", "i") > F.col("origin"))
     gone = later.select("d", F.explode(F.sequence(F.col("i"), F.col("i") + F.col("n") - 1)).alias("i")).distinct()
     gone = gone.join(a.select("d", "i", "at"), ["d", "i"]).groupBy("d").agg(F.sort_array(F.collect_list("at")).alias("removed"))
     return base.select("doc_id", "th", "d").join(gone, "d").select("doc_id", "th", "removed")
@@ -91,16 +82,16 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str =
 def _doubled(a: DataFrame, level: int) -> DataFrame:
     """`a` with the ranks by 2^(level + 1) lines, from those by 2^level.
 
-    What has no such follower comes first in its rank. Distinct pairs of ranks are counted first, so a
-    rank that most rows share is a few rows when they are ordered.
+    What has no such follower comes first in its rank. Distinct pairs of ranks are counted first, and a
+    rank with many followers is ordered in spans of 2^SPAN_BITS of them, each a task's.
     """
     r, new, step = f"r{level}", f"r{level + 1}", 1 << level
     by_doc = Window.partitionBy("d").orderBy("i")
     follows = F.lead("i", step).over(by_doc) == F.col("i") + step
     a = cut(a.withColumn("next", F.when(follows, F.lead(r, step).over(by_doc)).otherwise(F.lit(-1)).cast("long")))
-    pairs = a.groupBy(r, "next").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(r).orderBy("next").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = cut(pairs.select(r, "next", (F.col(r) + F.coalesce(F.sum("n").over(before), F.lit(0))).cast("long").alias(new)))
+    pairs = a.groupBy(r, "next").agg(F.count("*").alias("n")).withColumn("b", F.shiftright("next", SPAN_BITS))
+    pairs = running(pairs, [r], "b", [F.col("next")], F.col("n"), "before")
+    pairs = cut(pairs.select(r, "next", (F.col(r) + F.col("before")).cast("long").alias(new)))
     return cut(a.join(pairs, [r, "next"]).drop("next"))
 
 
@@ -120,11 +111,13 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, text_col: str = "te
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     docs = docs.select(*keep)
     removed = cut(repeated_lines(docs, min_words, text_col))
-    removed = removed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.col("removed").alias("__gone"))
+    # A flag for each line up to the last that goes, so that a line is judged without a search.
+    stays = F.transform("removed", lambda x, k: F.concat(F.array_repeat(F.lit(True), (x - F.coalesce(F.get("removed", k - 1), F.lit(-1)) - 1).cast("int")), F.array(F.lit(False))))
+    removed = removed.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), F.flatten(stays).alias("__stays"), F.size("removed").cast("long").alias("__n"))
     text = text_of(docs, text_col)
     out = docs.withColumn("__h", F.xxhash64(text)).join(removed, (F.col("__h") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    left = F.array_join(F.filter(lines, lambda x, i: F.coalesce(F.get("__stays", i), F.lit(True))), "\n")
     out = out.withColumn("n_lines", F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).cast("long"))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).select(*keep, "n_lines", "n_removed")
+    out = out.withColumn("n_removed", F.coalesce("__n", F.lit(0).cast("long")))
+    return out.withColumn(text_col, F.when(F.col("__n").isNull(), F.col(text_col)).otherwise(left)).select(*keep, "n_lines", "n_removed")

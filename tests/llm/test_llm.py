@@ -452,12 +452,105 @@ def test_lm_scores_equal_texts_alike_in_any_chunk(spark):
     assert got[201] == pytest.approx(got[200], abs=1e-9) and got[202] == pytest.approx(got[200], abs=1e-9)
 
 
-def test_seating_keeps_to_its_bounds():
-    count, weight = np.array([0, 1, 2, 5, 40, 500]), np.array([0.1, 0.1, 5.0, 1e-9, 1.0, 1.0])
-    for tables in lm.seated(count, weight, 0.5, 1):
-        assert tables[0] == 0 and tables[1] == 1 and 1 <= tables[2] <= 2 and tables[3] >= 1 and (tables <= np.maximum(count, 1)).all()
-    alone = [t[2] for s in range(40) for t in lm.seated(count, np.full(6, 1e-12), 0.5, s)]
-    assert np.mean(alone) < 1.05  # new tables that weigh nothing aren't opened
+def one_by_one(c: int, rest: int, share: float, sweeps: int) -> float:
+    """Mean tables of a dish by Gibbs sweeps in which each customer leaves and is seated again."""
+    r, d, at = random.Random(c), lm.DISCOUNT, [c]
+    seat, total = [0] * c, 0
+    for k in range(sweeps):
+        for j in range(c):
+            at[seat[j]] -= 1
+            t = sum(x > 0 for x in at)
+            new = (lm.STRENGTH + d * (rest + t)) * share
+            seat[j] = r.choices(range(len(at) + 1), [*(max(x - d, 0) for x in at), new])[0]
+            if seat[j] == len(at):
+                free = at.index(0) if 0 in at else len(at)
+                at[free:free] = [0] * (free == len(at))
+                seat[j] = free
+            at[seat[j]] += 1
+        total += sum(x > 0 for x in at) * (k >= sweeps // 5)
+    return total / (sweeps - sweeps // 5)
+
+
+def test_seating_has_the_exact_law(monkeypatch):
+    """Mean tables of a dish against the law over table counts, by generalised Stirling numbers, and against seating one by one."""
+    d = lm.DISCOUNT
+    for exact, c, rest, share in ((1024, 2, 3, 0.1), (1024, 7, 0, 0.9), (1024, 30, 50, 0.05), (1024, 90, 400, 0.02), (64, 90, 400, 0.02), (64, 400, 2000, 0.05), (64, 200, 20, 0.001)):
+        monkeypatch.setattr(lm, "EXACT", exact)
+        lm.ways.cache_clear()
+        ways = [0.0, 1.0]  # of n customers at t tables
+        for n in range(1, c):
+            ways = [0.0, *((n - d * t) * (ways[t] if t < len(ways) else 0) + ways[t - 1] for t in range(1, n + 2))]
+            most = max(ways)
+            ways = [x / most for x in ways]
+        with np.errstate(divide="ignore"):
+            law = np.log(ways) + np.array([sum(math.log((lm.STRENGTH + d * (rest + i)) * share) for i in range(1, t)) for t in range(len(ways))])
+        law = np.exp(law - law.max())
+        true = (law * np.arange(len(law))).sum() / law.sum()
+        runs = 3000 if c <= exact else 900
+        many = lambda x, runs=runs: np.full(runs, x)
+        got = lm.seated(many(c), many(rest), many(share), np.arange(runs, dtype=np.uint64) * np.uint64(977)) / lm.SWEEPS
+        assert got.min() >= 1 and got.max() <= c
+        assert got.mean() == pytest.approx(true, rel=0.02)
+        if c <= 30:
+            assert one_by_one(c, rest, share, 2000) == pytest.approx(true, rel=0.05)
+    lm.ways.cache_clear()
+    assert lm.seated(np.array([0, 1]), many(0)[:2], many(0.5)[:2], np.arange(2, dtype=np.uint64)).tolist() == [0, lm.SWEEPS]
+
+
+def test_lm_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    r = random.Random(13)
+    rows = [(i, " ".join(x for _ in range(r.randint(1, 40)) for x in ("hot", r.choice(WORDS)))) for i in range(200)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for shuffles, parts, chars in (("4", 1, 8 << 20), ("17", 3, 8 << 20), ("4", 16, 8 << 20), ("1", 2, 500)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            monkeypatch.setattr(lm, "CHUNK_CHARS", chars)
+            found.append({x.doc_id: x.score for x in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(x == pytest.approx(found[0], abs=1e-9) for x in found[1:])
+
+
+def test_lm_probabilities_sum_to_one_and_follow_the_formula(spark):
+    """Every known word and an unknown one after one context, against a plain model of the same tables."""
+    r = random.Random(14)
+    vocabulary = WORDS[:12]
+    train = [(i, " ".join(["go", r.choice(vocabulary[:9]), r.choice(vocabulary)])) for i in range(400) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    asked = [*vocabulary, "go", "unseen"]
+    rows = train + [(held[k], f"go {w}") for k, w in enumerate(asked)] + [(held[-1], "go"), (held[-2], "")]
+    got = {x.doc_id: x.score for x in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    c = Counter(w for _, t in train for w in [*t.split(), None])
+    after = defaultdict(Counter)
+    for _, t in train:
+        words = [None, *t.split(), None]
+        for u, w in zip(words, words[1:]):
+            after[u][w] += 1
+    n, v, d, s = sum(c.values()), len(c), lm.DISCOUNT, lm.SWEEPS
+
+    def name(w):
+        return np.uint64(lm.END_HASH if w is None else lm.xxhash.xxh64_intdigest(w.encode()))
+
+    tables, spread, most = {}, Counter(), Counter()
+    with np.errstate(over="ignore"):
+        for u, ws in after.items():
+            for w, k in ws.items():
+                share = 2.0 ** (-round(-2048 * math.log2((c[w] + 0.1) / (n + 0.1 * (v + 1)))) / 2048)
+                key = lm.mixed(np.array([name(u) * lm.GOLD + (name(w) & lm.SHORT)], np.uint64))
+                t = int(lm.seated(np.array([k]), np.array([len(ws) - 1]), np.array([share]), key)[0])
+                tables[u, w] = t
+                spread[u] += t
+                most[w] += t
+        customers = {w: max(1, round(most[w] / s)) for w in c}
+        own = {w: int(lm.seated(np.array([k]), np.array([v - 1]), np.array([1 / (v + 1)]), lm.mixed(np.array([name(w) + np.uint64(77)], np.uint64)))[0]) / s for w, k in customers.items()}
+    rest = (lm.STRENGTH + d * sum(own.values())) / (v + 1)
+    parent = lambda w: ((customers[w] - d * own[w] if w in c else 0) + rest) / (lm.STRENGTH + sum(customers.values()))
+    p = lambda u, w: (after[u][w] - d * tables.get((u, w), 0) / s + (lm.STRENGTH + d * spread[u] / s) * parent(w)) / (lm.STRENGTH + c[u])
+    for k, w in enumerate(asked):
+        assert got[held[k]] == pytest.approx(sum(math.log10(p(a, b)) for a, b in ((None, "go"), ("go", w), (w, None))), abs=1e-5)
+    assert got[held[-2]] == pytest.approx(math.log10(p(None, None)), abs=1e-5)
+    assert sum(p("go", w) for w in [*c, "unseen"]) == pytest.approx(1)
 
 
 CHAT = "conv_id long, turn long, role string, text string, extra int"

@@ -49,6 +49,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Materialise as a table in the shared folder whose files are dealt by `key`, so that joins on it move the other side only."""
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what `written` made, once nothing reads it any more."""
     spark = df.sparkSession

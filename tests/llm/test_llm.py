@@ -530,20 +530,21 @@ def test_lm_probabilities_sum_to_one_and_follow_the_formula(spark):
     n, v, d, s = sum(c.values()), len(c), lm.DISCOUNT, lm.SWEEPS
 
     def name(w):
-        return np.uint64(lm.END_HASH if w is None else lm.xxhash.xxh64_intdigest(w.encode()))
+        return lm.END_HASH if w is None else lm.xxhash.xxh64_intdigest(w.encode())
 
+    place = {w: k for k, w in enumerate(sorted({w for _, t in rows for w in [*t.split(), None]}, key=name))}
     tables, spread, most = {}, Counter(), Counter()
     with np.errstate(over="ignore"):
         for u, ws in after.items():
             for w, k in ws.items():
                 share = 2.0 ** (-round(-2048 * math.log2((c[w] + 0.1) / (n + 0.1 * (v + 1)))) / 2048)
-                key = lm.mixed(np.array([name(u) * lm.GOLD + (name(w) & lm.SHORT)], np.uint64))
+                key = lm.mixed(lm.mixed(np.array([place[u] + 1], np.uint64)) * lm.GOLD + np.uint64(place[w]))
                 t = int(lm.seated(np.array([k]), np.array([len(ws) - 1]), np.array([share]), key)[0])
                 tables[u, w] = t
                 spread[u] += t
                 most[w] += t
         customers = {w: max(1, round(most[w] / s)) for w in c}
-        own = {w: int(lm.seated(np.array([k]), np.array([v - 1]), np.array([1 / (v + 1)]), lm.mixed(np.array([name(w) + np.uint64(77)], np.uint64)))[0]) / s for w, k in customers.items()}
+        own = {w: int(lm.seated(np.array([k]), np.array([v - 1]), np.array([1 / (v + 1)]), lm.mixed(np.array([name(w)], np.uint64) + np.uint64(77)))[0]) / s for w, k in customers.items()}
     rest = (lm.STRENGTH + d * sum(own.values())) / (v + 1)
     parent = lambda w: ((customers[w] - d * own[w] if w in c else 0) + rest) / (lm.STRENGTH + sum(customers.values()))
     p = lambda u, w: (after[u][w] - d * tables.get((u, w), 0) / s + (lm.STRENGTH + d * spread[u] / s) * parent(w)) / (lm.STRENGTH + c[u])

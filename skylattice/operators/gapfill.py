@@ -16,7 +16,7 @@ def filled(name: str, limit: int, row: Column, past, ahead) -> Column:  # noqa:
     """
     c = F.col(name).cast("double")
     here = F.when(c.isNotNull(), F.struct(row.alias("n"), c.alias("v")))
-    before, after = F.last(here, ignorenulls=True).over(past), F.first(here, ignorenulls=True).over(ahead)
+    before, after = F.last(here, ignorenulls=True).over(past), F.last(here, ignorenulls=True).over(ahead)
     gap = after["n"] - before["n"] - 1
     k = row - before["n"]
     j = F.when((gap <= 2 * limit) | (k <= limit) | (k > gap - limit), k).otherwise(F.lit(limit))
@@ -25,10 +25,10 @@ def filled(name: str, limit: int, row: Column, past, ahead) -> Column:  # noqa:
 
 
 def fill_gaps(df: DataFrame, columns: Sequence[str], limit: int = 12, key: str = "station_id", order: str = "datetime") -> DataFrame:
-    """`df` with the columns filled, all in one pass over one sort of each station."""
-    w = Window.partitionBy(key).orderBy(order)
-    past, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    numbered = df.withColumn("__row", F.row_number().over(w))
+    """`df` with the columns filled: what is before a row comes from one pass over its station, what is after from one pass back."""
+    station, until = Window.partitionBy(key), (Window.unboundedPreceding, Window.currentRow)
+    past, ahead = station.orderBy("__row").rowsBetween(*until), station.orderBy(F.desc("__row")).rowsBetween(*until)
+    numbered = df.withColumn("__row", F.row_number().over(station.orderBy(order)))
     new = {c: filled(c, limit, F.col("__row"), past, ahead) for c in columns}
     return numbered.select(*[new.get(c, F.col(c)) for c in df.columns])
 

@@ -272,3 +272,30 @@ def test_stream_of_buckets_is_the_batch(spark, tmp_path):
 def test_union_fills_missing_columns(spark):
     a, b = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2, "y")], "x int, z string")
     assert sorted((r.x, r.z) for r in merge.union_all([a, b]).collect()) == [(1, None), (2, "y")]
+
+
+def test_feeds_of_one_priority_keep_their_order(spark, tmp_path):
+    from skylattice.sources.observations import load_sources
+
+    (tmp_path / "north.csv").write_text("station_id,datetime,temp,humidity\ns,2024-01-01 09:00:00,5.0,\ns,2024-01-01 09:00:00,1.0,40\n")
+    (tmp_path / "south.csv").write_text("station_id,datetime,temp,humidity\ns,2024-01-01 09:00:00,2.0,30\n")
+    feeds = [{"path": str(tmp_path / "north.csv"), "priority": 1}, {"csv": str(tmp_path / "south.csv"), "name": "south", "priority": 1}]
+    row = load_sources(spark, feeds).first()
+    assert (row.temp, row.humidity, row.observation_source, row.observation_sources) == (5.0, 40.0, "north", "north,south")
+    with pytest.raises(ValueError, match="no observation source"):
+        load_sources(spark, [])
+    with pytest.raises(ValueError, match="has no path"):
+        load_sources(spark, [{"name": "x"}])
+    (tmp_path / "bare.csv").write_text("station_id,datetime\ns,2024-01-01 09:00:00\n")
+    with pytest.raises(ValueError, match="temp"):
+        load_sources(spark, [{"path": str(tmp_path / "bare.csv")}])
+
+
+def test_gap_fill_is_linear_in_a_station(spark):
+    import time
+
+    df = spark.range(100_000).selectExpr("'s' AS station_id", "timestamp_seconds(id * 3600) AS datetime", "CASE WHEN id % 7 = 0 THEN CAST(id AS DOUBLE) END AS obs_temp")
+    began = time.time()
+    got = gapfill.fill_gaps(df, ["obs_temp"]).selectExpr("sum(abs(obs_temp - least(unix_timestamp(datetime) / 3600, 99995)))", "count(obs_temp)").first()
+    assert got[0] == pytest.approx(0, abs=1e-3) and got[1] == 100_000
+    assert time.time() - began < 60

@@ -14,73 +14,76 @@ KEYS = ["datetime", "lat", "lon"]
 def at_stations(grid: DataFrame, stations: DataFrame, mode: str = "nearest") -> DataFrame:
     """station_id, datetime and the grid's value columns at each station and time.
 
-    A grid that has stations already passes through (J3c). Nearest meets each grid row with the station
-    dimension and keeps a minimum a time and station; bilinear finds its brackets from the distinct
-    latitudes and longitudes of each time, and fetches the four corners by equi-joins.
+    A grid that has stations already passes through (J3c). Else times with the same points share a lattice,
+    each station's places are found once a lattice, and the grid meets them by an equi-join of lattice, lat
+    and lon: rows that no station reads are dropped where they are scanned. Of rows that repeat a time and
+    point the least values count. A grid row without lat or lon is passed over; a station without gets no rows.
     """
     if {"station_id", "datetime"} <= set(grid.columns):
         return align(grid, "UTC").withColumn("station_id", F.col("station_id").cast("string"))
     require(grid, KEYS, "grid")
     if mode not in ("nearest", "bilinear"):
         raise ValueError(f"unknown extraction mode {mode!r}")
-    grid = align(grid, "UTC")
+    grid = align(grid, "UTC").where("lat is not null and lon is not null")
     values = [c for c in grid.columns if c not in KEYS]
     points = stations.select(F.col("station_id").cast("string").alias("station_id"), F.col("lat").cast("double").alias("s_lat"), F.col("lon").cast("double").alias("s_lon"))
-    return _nearest(grid, points, values) if mode == "nearest" else _bilinear(grid, points, values)
-
+    points = _dimension(points.where("s_lat is not null and s_lon is not null"))
+    times = lattices(grid)
+    first = times.groupBy("lattice").agg(F.min("datetime").alias("datetime"))
+    lattice = grid.select(*KEYS).join(first, "datetime").select("lattice", "lat", "lon").distinct()
+    places = _nearest(lattice, points)
+    if mode == "bilinear":
+        places = places.unionByName(_corners(lattice, points))
+    # `v` stays a struct: a corner whose values are null is there all the same.
+    read = grid.withColumn("v", F.struct(*[F.col(c).cast("double").alias(c) for c in values])).select(*KEYS, "v")
+    met = read.join(_dimension(times), "datetime").join(_dimension(places), ["lattice", "lat", "lon"])
+    at = [F.min(F.when(F.col("place") == i, F.col("v"))).alias(f"v{i}") for i in range(5 if mode == "bilinear" else 1)]
+    share = [F.min(F.when(F.col("place") == i, F.col("share"))).alias(f"w{i}") for i in range(1, 5)] if mode == "bilinear" else []
+    found = met.groupBy("station_id", "datetime").agg(*at, *share)
+    if mode == "nearest":
+        return found.select("station_id", "datetime", "v0.*")
+    all_there = F.col("v1").isNotNull() & F.col("v2").isNotNull() & F.col("v3").isNotNull() & F.col("v4").isNotNull()
+    # In the order in which the terms are summed: low-low, high-low, low-high, high-high.
+    total = {c: sum((F.col(f"v{i}")[c] * F.col(f"w{i}") for i in (3, 2, 4)), F.col("v1")[c] * F.col("w1")) for c in values}
+    return found.select("station_id", "datetime", *[F.when(all_there, t).otherwise(F.col("v0")[c]).alias(c) for c, t in total.items()])
 
-def _packed(values: list[str]) -> Column:
-    return F.struct(*[F.col(c).cast("double").alias(c) for c in values])
 
+def lattices(grid: DataFrame) -> DataFrame:
+    """datetime, lattice: times whose rows have the same points, as often, share one; told by the count and two sums of 32 bits of hashes."""
+    h = F.xxhash64(F.col("lat").cast("double"), F.col("lon").cast("double"))
+    sums = [F.count("*"), F.sum(h.bitwiseAND(0xFFFFFFFF)), F.sum(F.shiftrightunsigned(h, 32))]
+    return grid.groupBy("datetime").agg(F.concat_ws("-", *[c.cast("string") for c in sums]).alias("lattice"))
 
-def _nearest(grid: DataFrame, points: DataFrame, values: list[str]) -> DataFrame:
-    """Least squared distance in degrees; of equal ones the least (lat, lon).
 
-    Stations are a dimension: each grid row meets all of them, and a partial minimum a time and station
-    is taken before anything is exchanged.
-    """
+def _nearest(lattice: DataFrame, points: DataFrame) -> DataFrame:
+    """Place 0: the least squared distance in degrees; of equal ones the least (lat, lon). Points of a lattice, not of each time, meet the stations."""
     far = ((F.col("lat") - F.col("s_lat")) * (F.col("lat") - F.col("s_lat")) + (F.col("lon") - F.col("s_lon")) * (F.col("lon") - F.col("s_lon"))).alias("far")
-    best = F.min(F.struct(far, F.col("lat"), F.col("lon"), _packed(values).alias("v"))).alias("best")
-    met = grid.join(_dimension(points), F.lit(True), "inner")
-    return met.groupBy("station_id", "datetime").agg(best).select("station_id", "datetime", "best.v.*")
-
+    best = lattice.join(points, F.lit(True), "inner").groupBy("lattice", "station_id").agg(F.min(F.struct(far, F.col("lat"), F.col("lon"))).alias("best"))
+    return best.select("lattice", "station_id", "best.lat", "best.lon", F.lit(0).alias("place"), F.lit(1.0).alias("share"))
 
-def _bilinear(grid: DataFrame, points: DataFrame, values: list[str]) -> DataFrame:
-    """From the four lattice corners around a station; nearest outside the lattice, on its first line, or where a corner is missing.
 
-    A corner that is there but holds null gives null.
-    """
+def _corners(lattice: DataFrame, points: DataFrame) -> DataFrame:
+    """Places 1 to 4: the corners low-low, low-high, high-low, high-high (lat, lon) around a station that has lines on all four sides."""
     axes = {}
     for axis in ("lat", "lon"):
-        line = grid.select("datetime", axis).distinct().join(_dimension(points), F.lit(True), "inner")
+        line = lattice.select("lattice", axis).distinct().join(points, F.lit(True), "inner")
         s = F.col(f"s_{axis}")
-        axes[axis] = line.groupBy("station_id", "datetime").agg(F.max(F.when(F.col(axis) < s, F.col(axis))).alias(f"{axis}_lo"), F.min(F.when(F.col(axis) >= s, F.col(axis))).alias(f"{axis}_hi"))
-    box = axes["lat"].join(axes["lon"], ["station_id", "datetime"]).where("lat_lo is not null and lat_hi is not null and lon_lo is not null and lon_hi is not null").join(_dimension(points), "station_id")
-    corners = [(a, b) for a in ("lo", "hi") for b in ("lo", "hi")]
-    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("corner"), F.col(f"lat_{a}").alias("lat"), F.col(f"lon_{b}").alias("lon")) for i, (a, b) in enumerate(corners)])).alias("c")
+        axes[axis] = line.groupBy("lattice", "station_id", s).agg(F.max(F.when(F.col(axis) < s, F.col(axis))).alias(f"{axis}_lo"), F.min(F.when(F.col(axis) >= s, F.col(axis))).alias(f"{axis}_hi"))
+    box = axes["lat"].join(axes["lon"], ["lattice", "station_id"]).where("lat_lo is not null and lat_hi is not null and lon_lo is not null and lon_hi is not null")
     y = (F.col("s_lat") - F.col("lat_lo")) / (F.col("lat_hi") - F.col("lat_lo"))
     x = (F.col("s_lon") - F.col("lon_lo")) / (F.col("lon_hi") - F.col("lon_lo"))
     share = [(1 - y) * (1 - x), (1 - y) * x, y * (1 - x), y * x]
-    found = box.select("station_id", "datetime", corner, *[w.alias(f"w{i}") for i, w in enumerate(share)]).select("station_id", "datetime", "c.*", *[f"w{i}" for i in range(4)])
-    one = grid.groupBy(*KEYS).agg(F.first(_packed(values)).alias("v"))
-    found = found.join(one, KEYS)
-    at = [F.max(F.when(F.col("corner") == i, F.col("v"))).alias(f"v{i}") for i in range(4)]
-    got = found.groupBy("station_id", "datetime", *[f"w{i}" for i in range(4)]).agg(F.count("*").alias("n"), *at).where("n = 4")
-    # In the order in which the terms are summed: low-low, high-low, low-high, high-high.
-    total = {c: sum((F.col(f"v{i}")[c] * F.col(f"w{i}") for i in (2, 1, 3)), F.col("v0")[c] * F.col("w0")) for c in values}
-    got = got.select("station_id", "datetime", F.struct(*[v.alias(c) for c, v in total.items()]).alias("made"))
-    near = _nearest(grid, points, values).select("station_id", "datetime", _packed(values).alias("near"))
-    both = near.join(got, ["station_id", "datetime"], "left")
-    return both.select("station_id", "datetime", F.when(F.col("made").isNotNull(), F.col("made")).otherwise(F.col("near")).alias("v")).select("station_id", "datetime", "v.*")
+    corners = [(a, b) for a in ("lo", "hi") for b in ("lo", "hi")]
+    each = [F.struct(F.col(f"lat_{a}").alias("lat"), F.col(f"lon_{b}").alias("lon"), F.lit(i + 1).alias("place"), share[i].alias("share")) for i, (a, b) in enumerate(corners)]
+    return box.select("lattice", "station_id", F.explode(F.array(*each)).alias("c")).select("lattice", "station_id", "c.*")
 
 
-#: A station table of up to so many rows is broadcast; it is counted no further.
+#: Stations, times and places of up to so many rows are broadcast; they are counted no further. Beyond it the joins exchange.
 STATIONS = 100_000
 
 
-def _dimension(points: DataFrame) -> DataFrame:
-    small = points.limit(STATIONS + 1).count() <= STATIONS
-    return F.broadcast(points) if small else points
+def _dimension(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(STATIONS + 1).count() <= STATIONS else df
 
 
 def outer_on_grid(a: DataFrame, b: DataFrame) -> DataFrame:

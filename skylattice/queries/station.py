@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skylattice.functions import physics, timefns
 from skylattice.operators import encode, gapfill, lags, merge, metrics, models, quality, scaling, spatial, windows
 from skylattice.plans import bundle, experiments, inference, training
+from skylattice.schema import MEASURES
 from skylattice.sources import metadata, observations
 
 from .feeds import ENDS, ERRORS, GRID, HOURLY, MEASURE_SQL, PERSISTED, RAW, SEASON, SERIES, SPLIT, STATIONS, bucketed, grid, grid_stations, hourly, persisted, raw, series, shown, stations
@@ -85,19 +86,26 @@ def p9_dew_point(spark, d):  # noqa: ANN001, ANN201
     return shown(h.select("station_id", "datetime", "obs_dew_point_c", "obs_dew_point_depression"))
 
 
-def _gap_sql(c: str, n: int) -> str:
+def _gap(c: str, n: int) -> str:
     b, a, k = f"{c}_b", f"{c}_a", f"(rn - {c}_b.n)"
     g = f"({a}.n - {b}.n - 1)"
-    return f"""round(CASE WHEN {c} IS NOT NULL THEN {c} WHEN {b} IS NULL THEN {a}.v WHEN {a} IS NULL THEN {b}.v
-  ELSE {b}.v + ({a}.v - {b}.v) * (CASE WHEN {g} <= {2 * n} OR {k} <= {n} OR {k} > {g} - {n} THEN {k} ELSE {n} END) / ({g} + 1) END, 6) AS {c}"""
+    return f"""CASE WHEN {c} IS NOT NULL THEN {c} WHEN {b} IS NULL THEN {a}.v WHEN {a} IS NULL THEN {b}.v
+  ELSE {b}.v + ({a}.v - {b}.v) * (CASE WHEN {g} <= {2 * n} OR {k} <= {n} OR {k} > {g} - {n} THEN {k} ELSE {n} END) / ({g} + 1) END"""
 
 
-FILLED = SERIES + """, numbered AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY datetime) AS rn FROM series),
-marked AS (SELECT *, """ + ", ".join(f"CASE WHEN {c} IS NOT NULL THEN struct_pack(n := rn, v := {c}) END AS {c}_s" for c in ("temp", "humidity")) + """ FROM numbered),
-near AS (SELECT *, """ + ", ".join(f"last_value({c}_s IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}_b, first_value({c}_s IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}_a" for c in ("temp", "humidity")) + " FROM marked)"
+def _near(source: str, columns: tuple[str, ...]) -> str:
+    """Tables up to `near`: each row with the nearest values before and after it (`_b`, `_a`), for `_gap`."""
+    past, ahead = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW", "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
+    marks = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN struct_pack(n := rn, v := {c}) END AS {c}_s" for c in columns)
+    ends = ", ".join(f"last_value({c}_s IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY rn {past}) AS {c}_b, first_value({c}_s IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY rn {ahead}) AS {c}_a" for c in columns)
+    return f""", numbered AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY datetime) AS rn FROM {source}),
+marked AS (SELECT *, {marks} FROM numbered), near AS (SELECT *, {ends} FROM marked)"""
 
 
-@query(FILLED + f" SELECT station_id, datetime, {_gap_sql('temp', 2)}, {_gap_sql('humidity', 2)} FROM near")
+FILLED = SERIES + _near("series", ("temp", "humidity"))
+
+
+@query(FILLED + f" SELECT station_id, datetime, round({_gap('temp', 2)}, 6) AS temp, round({_gap('humidity', 2)}, 6) AS humidity FROM near")
 def w5_gap_fill(spark, d):  # noqa: ANN001, ANN201
     s = series(spark, d).select("station_id", "datetime", "temp", "humidity")
     return shown(gapfill.fill_gaps(s, ["temp", "humidity"], 2))
@@ -302,9 +310,11 @@ def m2_seasonal_persistence(spark, d):  # noqa: ANN001, ANN201
     return _long(spark, d, models.make("seasonal_persistence", None, ["temp"], ["temp"], seasonal_period=6))
 
 
-@query(SCALED + """, p AS (SELECT *, lag(temp) OVER w AS x, datetime - lag(datetime) OVER w AS gap FROM t WINDOW w AS (PARTITION BY station_id ORDER BY datetime)), f AS (SELECT * FROM p WHERE gap = INTERVAL 1 HOUR),
-c AS (SELECT avg(x) AS mx, avg(temp) AS my FROM f WHERE split = 'train'), s AS (SELECT sum((x - mx) * (temp - my)) / (sum((x - mx) * (x - mx)) + 10) AS slope FROM f CROSS JOIN c WHERE split = 'train')
-SELECT station_id, split, datetime AS prediction_start, round(my + slope * (x - mx), 5) AS prediction FROM f CROSS JOIN c CROSS JOIN s""")
+SLOPE = SCALED + """, p AS (SELECT *, lag(temp) OVER w AS x, datetime - lag(datetime) OVER w AS gap FROM t WINDOW w AS (PARTITION BY station_id ORDER BY datetime)), f AS (SELECT * FROM p WHERE gap = INTERVAL 1 HOUR),
+c AS (SELECT avg(x) AS mx, avg(temp) AS my FROM f WHERE split = 'train'), s AS (SELECT sum((x - mx) * (temp - my)) / (sum((x - mx) * (x - mx)) + 10) AS slope FROM f CROSS JOIN c WHERE split = 'train')"""
+
+
+@query(SLOPE + """ SELECT station_id, split, datetime AS prediction_start, round(my + slope * (x - mx), 5) AS prediction FROM f CROSS JOIN c CROSS JOIN s""")
 def m3_ridge(spark, d):  # noqa: ANN001, ANN201
     w = _one_step(spark, d)
     model = models.make("ridge", w.where("split = 'train'"), ["temp"], ["temp"], alpha=10.0)
@@ -319,16 +329,16 @@ def _one_step(spark, d):  # noqa: ANN001, ANN202
 @query()
 def m4_boosted_trees(spark, d):  # noqa: ANN001, ANN201
     w = _one_step(spark, d)
-    model = models.make("boosted_trees", w.where("split = 'train'"), ["temp"], ["temp"], trees=5, depth=3)
+    model = models.make("boosted_trees", w.where("split = 'train'"), ["temp"], ["temp"])
     return model.predict(w.where("split = 'test'")).select("station_id", "prediction_start", F.col("predicted")[0][0].alias("prediction"))
 
 
-@query()
+@query(SLOPE + " SELECT 'temp' AS target_name, 1::BIGINT AS horizon_step, 'encoder_t-1:temp' AS feature, round(slope, 6) AS coefficient, round(abs(slope), 6) AS importance FROM s")
 def a20_importance(spark, d):  # noqa: ANN001, ANN201
     w = _one_step(spark, d)
     model = models.make("ridge", w.where("split = 'train'"), ["temp"], ["temp"], alpha=10.0)
     rows = model.importance(windows.flattened_names(["temp"], [], [], 1, 1), ["temp"])
-    return spark.createDataFrame(rows, "target_name string, horizon_step int, feature string, coefficient double, importance double")
+    return shown(spark.createDataFrame(rows, "target_name string, horizon_step int, feature string, coefficient double, importance double"))
 
 
 @query(PERSISTED + f" SELECT {ERRORS}, count(*)::BIGINT AS count FROM persisted")
@@ -435,6 +445,27 @@ def i2_forecast(spark, d):  # noqa: ANN001, ANN201
     return shown(inference.forecast(b, models.make("persistence", None, ["temp"], ["temp"]), INIT, stations(spark, d)))
 
 
+def _rounded(columns: list[str]) -> str:
+    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
+
+
+TERRAIN = "CASE WHEN elevation >= 400 THEN 'mountain' WHEN elevation >= 100 THEN 'upland' ELSE 'lowland' END"
+JOINED = HOURLY + f""", {STATIONS}, e AS (SELECT station_id, datetime, temp + 0.8::DOUBLE AS era5_t2m FROM hourly),
+joined AS (SELECT h.*, e.era5_t2m, s.* EXCLUDE (station_id), s.region AS region_class, {TERRAIN} AS terrain_class FROM hourly h LEFT JOIN e USING (station_id, datetime) LEFT JOIN stations s ON s.station_id = h.station_id)"""
+PARTS = f"hour(datetime) AS hour, dayofyear(datetime) AS dayofyear, month(datetime) AS month, {CYCLES}, {SEASON.format('datetime')} AS season, {SPLIT} AS split"
+PLACES = ["lat", "lon", "elevation", "coastal_distance_km"]
+LABELS = "station_id, datetime, coalesce(quality_flag, '') AS quality_flag, region, region_class, terrain_class"
+V1_GAPS = ("obs_temp", "obs_humidity", "obs_pressure", "obs_wind_speed", "era5_t2m")
+V1 = JOINED + """, aliased AS (SELECT *, temp AS obs_temp, humidity AS obs_humidity, pressure AS obs_pressure, wind_speed AS obs_wind_speed, temp AS target_temp, humidity AS target_humidity FROM joined)""" + _near("aliased", V1_GAPS)
+
+
+@query(V1 + f" SELECT {LABELS}, {_rounded([*MEASURES, *PLACES, 'target_temp', 'target_humidity'])}, {', '.join(f'round({_gap(c, 12)}, 6) + 0.0 AS {c}' for c in V1_GAPS)}, {PARTS} FROM near")
+def d1_training_table_v1(spark, d):  # noqa: ANN001, ANN201
+    h = hourly(spark, d)
+    e = h.select("station_id", "datetime", (F.col("temp") + 0.8).alias("era5_t2m"))
+    return shown(training.training_table_v1(h, e, metadata.enrich(stations(spark, d)), ENDS))
+
+
 def _v2(spark, d):  # noqa: ANN001, ANN202
     h = hourly(spark, d)
     e = h.select("station_id", "datetime", (F.col("temp") + 0.8).alias("era5_t2m"))
@@ -442,22 +473,53 @@ def _v2(spark, d):  # noqa: ANN001, ANN202
     return training.training_table_v2(h, e, metadata.enrich(stations(spark, d)), data)
 
 
-@query()
-def d1_training_table_v1(spark, d):  # noqa: ANN001, ANN201
-    h = hourly(spark, d)
-    e = h.select("station_id", "datetime", (F.col("temp") + 0.8).alias("era5_t2m"))
-    return training.training_table_v1(h, e, metadata.enrich(stations(spark, d)), ENDS)
+WET = "ln(greatest(least(humidity, 100::DOUBLE), 0.001::DOUBLE) / 100) + 17.625::DOUBLE * {t} / (243.04::DOUBLE + {t})"
+DEW = {"obs": "temp", "era5": "era5_t2m"}
+DEW_COLUMNS = [f"{n}_dew_point_{x}" for n in DEW for x in ("c", "depression")]
+V2_GAPS = (*V1_GAPS, "obs_precipitation", *DEW_COLUMNS, "target_value", "coastal_distance_km")
+V2_MADE = ["target_value_lag_1", "target_value_lag_24", "target_value_roll_mean_3", "target_value_roll_std_3", "target_value_delta_1", "target_value_same_hour_prev_day", "target_value_diff_vs_prev_day", "humidity_temp_interaction"]
+V2 = JOINED + f""", wet AS (SELECT *, {', '.join(f'CASE WHEN humidity IS NOT NULL THEN {WET.format(t=t)} END AS {n}_wet' for n, t in DEW.items())} FROM joined),
+dewy AS (SELECT *, {', '.join(f'243.04::DOUBLE * {n}_wet / (17.625::DOUBLE - {n}_wet) AS {n}_dew_point_c' for n in DEW)} FROM wet),
+aliased AS (SELECT *, {', '.join(f'{t} - {n}_dew_point_c AS {n}_dew_point_depression' for n, t in DEW.items())}, temp AS target_value, {', '.join(f'{c} AS obs_{c}' for c in ('temp', 'humidity', 'pressure', 'wind_speed', 'precipitation'))} FROM dewy)""" + _near("aliased", V2_GAPS) + f""",
+filled AS (SELECT * REPLACE ({', '.join(f'{_gap(c, 3)} AS {c}' for c in V2_GAPS)}), {SPLIT} AS split FROM near),
+v2 AS (SELECT *, lag(target_value) OVER w AS target_value_lag_1, lag(target_value, 24) OVER w AS target_value_lag_24, CASE WHEN count(target_value) OVER r = 3 THEN avg(target_value) OVER r END AS target_value_roll_mean_3,
+  CASE WHEN count(target_value) OVER r = 3 THEN stddev_pop(target_value) OVER r END AS target_value_roll_std_3, target_value - lag(target_value) OVER w AS target_value_delta_1, lag(target_value, 24) OVER w AS target_value_same_hour_prev_day,
+  target_value - lag(target_value, 24) OVER w AS target_value_diff_vs_prev_day, obs_humidity * obs_temp AS humidity_temp_interaction
+  FROM filled WINDOW w AS (PARTITION BY station_id ORDER BY datetime), r AS (PARTITION BY station_id ORDER BY datetime ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))"""
 
 
-@query()
+@query(V2 + f" SELECT {LABELS}, 'temp' AS target_name, {_rounded(list(dict.fromkeys([*MEASURES, *PLACES, *V2_GAPS, *V2_MADE])))}, {PARTS} FROM v2")
 def d2_training_table_v2(spark, d):  # noqa: ANN001, ANN201
-    return _v2(spark, d)
+    return shown(_v2(spark, d))
 
 
-@query()
+D5_REAL = {"target_value": "target_value", "target_value_lag_1": "target_value_lag_1", "hour_sin": "sin(2 * pi() * hour(datetime) / 24)", "hour_cos": "cos(2 * pi() * hour(datetime) / 24)", "elevation": "elevation"}
+D5 = V2 + f""", real AS (SELECT station_id, datetime, split, region, {', '.join(f'{x} AS {c}' for c, x in D5_REAL.items())} FROM v2),
+factors AS (SELECT station_id, {', '.join(f'avg({c}) AS {c}_m, CASE WHEN coalesce(stddev_samp({c}), 0) <= 0 THEN 1 ELSE stddev_samp({c}) END AS {c}_s' for c in D5_REAL)} FROM real WHERE split = 'train' GROUP BY 1),
+scaled AS (SELECT station_id, datetime, split, region, {', '.join(f'({c} - {c}_m) / {c}_s AS {c}' for c in D5_REAL)} FROM real JOIN factors USING (station_id) WHERE target_value_lag_1 IS NOT NULL AND target_value IS NOT NULL AND elevation IS NOT NULL),
+starts AS (SELECT station_id, datetime AS start, lead(datetime, 12) OVER s AS prediction_start, lead(datetime, 17) OVER s AS fin, min(split) OVER b AS split, max(split) OVER b AS other FROM scaled
+  WINDOW s AS (PARTITION BY station_id ORDER BY datetime), b AS (PARTITION BY station_id ORDER BY datetime ROWS BETWEEN 12 FOLLOWING AND 17 FOLLOWING))
+SELECT w.station_id, w.split, w.prediction_start, date_diff('hour', w.prediction_start, r.datetime)::BIGINT AS step,
+  round(CASE WHEN r.datetime < w.prediction_start THEN target_value END, 6) + 0.0 AS target_value, round(CASE WHEN r.datetime < w.prediction_start THEN target_value_lag_1 END, 6) + 0.0 AS target_value_lag_1,
+  round(CASE WHEN r.datetime >= w.prediction_start THEN hour_sin END, 6) + 0.0 AS hour_sin, round(CASE WHEN r.datetime >= w.prediction_start THEN hour_cos END, 6) + 0.0 AS hour_cos, round(CASE WHEN r.datetime >= w.prediction_start THEN target_value END, 6) + 0.0 AS target,
+  round(elevation, 6) + 0.0 AS elevation, {', '.join(f"CASE WHEN coalesce(region, 'unknown') = '{v}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS region_{v}" for v in ('north', 'south', 'unknown'))}
+FROM starts w JOIN scaled r ON r.station_id = w.station_id AND r.datetime BETWEEN w.start AND w.fin WHERE w.fin = w.start + INTERVAL 17 HOUR AND w.split = w.other"""
+
+
+@query(D5)
 def d5_bundle_v2(spark, d):  # noqa: ANN001, ANN201
+    """Every window's rows: step -12 to -1 of the encoder, 0 to 5 of the decoder."""
     features = {"encoder_continuous": ["target_value", "target_value_lag_1"], "decoder_known": ["hour_sin", "hour_cos"], "static_real": ["elevation"], "static_categorical": ["region"]}
-    return bundle.bundle_v2(_v2(spark, d), features, {"encoder_length": 12, "prediction_length": 6}, "station_wise").windows
+    w = bundle.bundle_v2(_v2(spark, d), features, {"encoder_length": 12, "prediction_length": 6}, "station_wise").windows
+    names = ["target_value", "target_value_lag_1", "hour_sin", "hour_cos", "target"]
+
+    def row(step, **given):  # noqa: ANN001, ANN003, ANN202
+        return F.struct(step.alias("step"), *[given.get(c, F.lit(None).cast("double")).alias(c) for c in names])
+
+    past = F.transform("encoder", lambda x, i: row(i - 12, target_value=x[0], target_value_lag_1=x[1]))
+    ahead = F.transform(F.arrays_zip("decoder", "target"), lambda x, i: row(i, hour_sin=x["decoder"][0], hour_cos=x["decoder"][1], target=x["target"][0]))
+    static = [F.col("static")[i].alias(c) for i, c in enumerate(("elevation", "region_north", "region_south", "region_unknown"))]
+    return shown(w.select("station_id", "split", "prediction_start", *static, F.inline(F.concat(past, ahead))))
 
 
 @query(HOURLY + """, lagged AS (SELECT *, lag(temp) OVER w AS p, datetime - lag(datetime) OVER w AS gap FROM hourly WINDOW w AS (PARTITION BY station_id ORDER BY datetime))

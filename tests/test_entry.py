@@ -11,7 +11,7 @@ from skylattice.queries import station
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-NAMES = ["flagship", "a3_priority_merge", "j3_nearest", "w5_gap_fill", "w11_windows_v2", "m1_persistence", "a12_breakdowns_v2", "k7_leaderboard", "i2_forecast"]
+NAMES = ["flagship", "a3_priority_merge", "j3_nearest", "j3b_bilinear", "a20_importance", "d1_training_table_v1", "d2_training_table_v2", "d5_bundle_v2", "w5_gap_fill", "w11_windows_v2", "m1_persistence", "a12_breakdowns_v2", "k7_leaderboard", "i2_forecast"]
 
 
 def test_entry_imports_and_runs(spark):

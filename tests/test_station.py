@@ -44,6 +44,25 @@ def test_bilinear_and_its_fallbacks(spark):
     assert spatial.at_stations(gone, at.where("station_id = 'mid'"), "bilinear").first().era5_t2m == 10.0  # missing: nearest
 
 
+@pytest.mark.parametrize("limit", [0, 100])
+def test_grids_whose_points_change_are_brute_force(spark, monkeypatch, limit):
+    """Points differ by time, one repeats, one has no place; stations tie, lie outside, and have no place."""
+    monkeypatch.setattr(spatial, "STATIONS", limit)
+    later = datetime(2024, 1, 1, 7)
+    rows = [(START, float(a), float(b), float(10 * a + b)) for a in range(3) for b in range(3)] + [(later, a * 0.75, b * 1.5, a - b * 2.0) for a in range(4) for b in range(3) if (a, b) != (1, 1)]
+    rows += [(START, 1.0, 1.0, 99.0), (START, None, 1.0, -5.0)]
+    at = [("tie", 0.5, 0.5), ("in", 1.2, 1.9), ("out", -3.0, 9.0), ("hole", 0.8, 1.6), ("nowhere", None, 1.0)]
+    grid = spark.createDataFrame(rows, "datetime timestamp, lat double, lon double, v double")
+    got = {(r.station_id, r.datetime): r.v for r in spatial.at_stations(grid, spark.createDataFrame(at, "station_id string, lat double, lon double")).collect()}
+    want = {}
+    for name, y, x in at[:4]:
+        for t in (START, later):
+            want[name, t] = min(((a - y) ** 2 + (b - x) ** 2, a, b, v) for u, a, b, v in rows if u == t and a is not None)[3]
+    assert got == want
+    empty = spatial.at_stations(grid.limit(0), spark.createDataFrame(at, "station_id string, lat double, lon double"), "bilinear")
+    assert empty.columns == ["station_id", "datetime", "v"] and empty.count() == 0
+
+
 def test_two_feeds_merge_by_priority(spark):
     schema = "station_id string, datetime timestamp, temp double, humidity double, pressure double, wind_speed double, precipitation double, quality_flag string"
     asos = spark.createDataFrame([("S", START, 10.0, None, 1000.0, 1.0, 0.0, None)], schema)

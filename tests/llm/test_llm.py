@@ -583,6 +583,74 @@ def test_template_escapes_reversibly():
         assert list(chat.parse(t.marker(role) + t.escape(s) + t.closes, t)) == [(role, s)]
 
 
+#: Names that the operators use for results or on the way.
+CLASHES = "bucket key th before epochs node class_id label size source_size target copies taken n_lines n_removed shard slot tokens text_crc32 h1 h2 cell words bytes rows fingerprint gif frames token_ids n_tokens decoded score predicted held_out carried first keys places removed".split()
+LONG = "\n".join(f"line {i} {WORDS[i % 42]} of many" for i in range(60_000))
+ODD = [(None, None, text(30, 60)), (77, "a", text(30, 60)), (78, "a", LONG), (79, None, LONG), (None, "b", None), (80, "b", "")]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """A null id beside its equal text, two texts of 1.4 MB, and a column of every clashing name."""
+    return spark.createDataFrame(ODD, "doc_id long, source string, text string").withColumns({c: F.lit("x") for c in CLASHES})
+
+
+def pairs(df, *columns) -> list[tuple]:
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_null_ids_long_texts_and_clashing_names_in_one_pass_operators(spark, odd, tokenizer):
+    ids = {t: tokenizer.encode(t or "", add_special_tokens=False).ids for _, _, t in ODD}
+    sha = {t: hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for t, i in ids.items()}
+    assert pairs(bpe.digests(odd), "doc_id", "n_tokens", "ids_sha256") == sorted(((i, len(ids[t]), sha[t]) for i, _, t in ODD), key=repr)
+    kept = bpe.decode(bpe.encode(odd))
+    assert set(CLASHES) <= set(kept.columns) and kept.count() == len(ODD)
+    stored = gif.store_texts(odd)
+    read = gif.read_frames(stored)
+    assert set(CLASHES) <= set(stored.columns) and set(CLASHES) <= set(read.columns)
+    got = read.select("text", F.aggregate("frames", F.lit("").cast("binary"), lambda a, f: F.concat(a, f["rgb"])).alias("rgb")).collect()
+    assert all(bytes(r.rgb)[::3] == gif.padded(r.text) for r in got) and len(got) == len(ODD)
+    labels = spark.createDataFrame([(77, 1), (78, 0), (79, 0), (80, 0), (None, 1)], "doc_id long, quality int")
+    scored = {(r.doc_id, r.held_out, r.predicted): r.score for r in quality.classify(odd, labels).collect()}
+    assert all(0 <= x <= 1 for x in scored.values()) and {k[0] for k in scored} == {None, 77, 78, 79, 80}
+    prints = fingerprint.with_next(odd)
+    by_text = defaultdict(set)
+    for r in prints.collect():
+        by_text[r.n_chars].add(r.fingerprint)
+    assert {k: len(v) for k, v in by_text.items()} == {len(t or ""): 1 for _, _, t in ODD}
+
+
+def test_null_ids_long_texts_and_clashing_names_in_corpus_operators(spark, odd):
+    shards = sharding.shard(odd, 2).collect()
+    assert sorted((r.doc_id, r.size) for r in shards if r.doc_id) == [(i, len(t.encode()) + 8) for i, _, t in ODD if i] and len(shards) == len(ODD)
+    assert sorted(sorted(r.slot for r in shards if r.shard == k) == list(range(sum(r.shard == k for r in shards))) for k in (0, 1)) == [True, True]
+    lines = linededup.dedup_lines(odd)
+    assert set(lines.columns) == set(odd.columns)
+    left = {(r.doc_id, r.source): (r.text, r.n_lines, r.n_removed) for r in lines.collect()}
+    one = text(30, 60)  # one line of 60 words: the null id comes last, so its copy goes
+    assert left == {(77, "a"): (one, 1, 0), (None, None): ("", 1, 1), (78, "a"): (LONG, 60_000, 0), (79, None): ("", 60_000, 60_000), (None, "b"): (None, 1, 0), (80, "b"): ("", 1, 0)}
+    assert pairs(neardup.classes(odd), "doc_id", "class_id") == sorted([(None, 77), (77, 77), (78, 78), (79, 78), (None, 80), (80, 80)], key=repr)
+    kept = neardup.one_each(odd)
+    assert kept.columns == odd.columns and [r[0] for r in pairs(kept, "doc_id")] == [77, 78, 80]
+    mixed = mixing.mix(odd).collect()
+    size = {(i, s): len((t or "").split()) for i, s, t in ODD}
+    assert {(r.doc_id, r.source): r.size for r in mixed} == size and all(r.taken == r.copies * r.size for r in mixed)
+    scores = lm.score_texts(odd)
+    got = pairs(scores, "doc_id", "n_tokens", "score")
+    assert [x[:2] for x in got] == sorted(((i, size[i, s] + 1) for i, s, t in ODD), key=repr) and all(math.isfinite(x[2]) and x[2] < 0 for x in got)
+
+
+def test_mix_takes_tied_rows_together_and_equal_keys_by_id(spark):
+    """Rows of one id and text share a key and a fate; texts without words cost nothing."""
+    rows = [(1, "s", "a b")] * 3 + [(2, "s", "a b"), (3, "s", ""), (3, "s", ""), (4, "s", "c d e f")]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = defaultdict(set)
+    for r in mixing.mix(d, weights=[1]).collect():
+        got[r.doc_id].add(r.copies)
+    assert all(len(v) == 1 for v in got.values()) and {c for v in got.values() for c in v} <= {1, 2}
+    assert pairs(mixing.mix(d.repartition(3), weights=[1]), "doc_id", "copies") == pairs(mixing.mix(d, weights=[1]), "doc_id", "copies")
+
+
 def test_running_sums_across_buckets(spark):
     rows = [("k" if i % 3 else None, i // 4, i, i) for i in range(60)]
     df = spark.createDataFrame(rows, "k string, b int, o int, v int")

@@ -27,8 +27,10 @@ def at_stations(grid: DataFrame, stations: DataFrame, mode: str = "nearest") ->
     grid = align(grid, "UTC").where("lat is not null and lon is not null")
     values = [c for c in grid.columns if c not in KEYS]
     points = stations.select(F.col("station_id").cast("string").alias("station_id"), F.col("lat").cast("double").alias("s_lat"), F.col("lon").cast("double").alias("s_lon"))
-    points = _dimension(points.where("s_lat is not null and s_lon is not null"))
+    points = points.where("s_lat is not null and s_lon is not null")
     times = lattices(grid)
+    n_stations, (n_times, n_lattices) = _up_to_limit(points), times.agg(F.count("*"), F.count_distinct("lattice")).first()
+    points = _dimension(points, n_stations)
     first = times.groupBy("lattice").agg(F.min("datetime").alias("datetime"))
     lattice = grid.select(*KEYS).join(first, "datetime").select("lattice", "lat", "lon").distinct()
     places = _nearest(lattice, points)
@@ -36,7 +38,9 @@ def at_stations(grid: DataFrame, stations: DataFrame, mode: str = "nearest") ->
         places = places.unionByName(_corners(lattice, points))
     # `v` stays a struct: a corner whose values are null is there all the same.
     read = grid.withColumn("v", F.struct(*[F.col(c).cast("double").alias(c) for c in values])).select(*KEYS, "v")
-    met = read.join(_dimension(times), "datetime").join(_dimension(places), ["lattice", "lat", "lon"])
+    # A lattice has one place a station, or five.
+    n_places = n_stations * n_lattices * (5 if mode == "bilinear" else 1)
+    met = read.join(_dimension(times, n_times), "datetime").join(_dimension(places, n_places), ["lattice", "lat", "lon"])
     at = [F.min(F.when(F.col("place") == i, F.col("v"))).alias(f"v{i}") for i in range(5 if mode == "bilinear" else 1)]
     share = [F.min(F.when(F.col("place") == i, F.col("share"))).alias(f"w{i}") for i in range(1, 5)] if mode == "bilinear" else []
     found = met.groupBy("station_id", "datetime").agg(*at, *share)
@@ -78,12 +82,17 @@ def _corners(lattice: DataFrame, points: DataFrame) -> DataFrame:
     return box.select("lattice", "station_id", F.explode(F.array(*each)).alias("c")).select("lattice", "station_id", "c.*")
 
 
-#: Stations, times and places of up to so many rows are broadcast; they are counted no further. Beyond it the joins exchange.
+#: Stations, times and places of up to so many rows are broadcast. Beyond it the joins exchange.
 STATIONS = 100_000
 
 
-def _dimension(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(STATIONS + 1).count() <= STATIONS else df
+def _up_to_limit(df: DataFrame) -> int:
+    """The number of rows, counted no further than the limit and one."""
+    return df.limit(STATIONS + 1).count()
+
+
+def _dimension(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= STATIONS else df
 
 
 def outer_on_grid(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -78,32 +78,39 @@ class Ridge:
         return cls(np.array(d["weights"]), np.array(d["bias"]), d["horizon"])
 
 
+#: Values of a tile: sums travel, and are added, in tiles.
+TILE = 8192
+
+
 def fit_ridge(windows: DataFrame, alpha: float = 1.0) -> Ridge:
-    """M3: (X'X + alpha I) w = X'y with the intercept left free. Partitions send their sums, never their rows."""
+    """M3: (X'X + alpha I) w = X'y with the intercept left free.
+
+    Partitions send their sums, never their rows, cut into tiles; a tile is added up by an aggregate of its
+    own, so no task holds more than its tiles. The driver gets one matrix, which grows with the features only.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
     flat = flattened(windows).select("features", F.flatten("target").alias("y"), F.size("target").alias("h"))
-    head = flat.select(F.size("features"), F.size("y"), "h").first()
-    if head is None:
-        raise ValueError("no training windows")
-    n, m, horizon = head
-    size = (n + 1) * (n + 1 + m)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n + 1, n + 1 + m))
+        total, shape = None, None
         for b in batches:
             if b.num_rows:
-                x = np.column_stack([np.asarray(b.column(0).flatten()).reshape(b.num_rows, n), np.ones(b.num_rows)])
-                total += x.T @ np.column_stack([x, np.asarray(b.column(1).flatten()).reshape(b.num_rows, m)])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            for part in b.column(0).to_pylist():
-                total += np.frombuffer(part)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["part"])
-
-    parts = flat.select("features", "y").mapInArrow(sums, "part binary").repartition(4).mapInArrow(merge, "part binary").collect()
-    total = np.sum([np.frombuffer(p.part) for p in parts], axis=0).reshape(n + 1, n + 1 + m)
+                x, y = (np.asarray(b.column(i).flatten()).reshape(b.num_rows, -1) for i in (0, 1))
+                x = np.column_stack([x, np.ones(b.num_rows)])
+                part = x.T @ np.column_stack([x, y])
+                total, shape = part if total is None else total + part, (x.shape[1] - 1, y.shape[1], b.column(2)[0].as_py())
+        for k in range(0, 0 if total is None else total.size, TILE):
+            row = [[k], *([v] for v in shape), [total.ravel()[k : k + TILE]]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*[pa.int64()] * 4, pa.list_(pa.float64())], strict=True)], names=["tile", "n", "m", "h", "part"])
+
+    parts = flat.mapInArrow(sums, "tile long, n long, m long, h long, part array<double>")
+    tiles = parts.groupBy("n", "m", "h", "tile").agg(Summarizer.sum(array_to_vector("part")).alias("part")).orderBy("tile").collect()
+    if not tiles:
+        raise ValueError("no training windows")
+    n, m, horizon = tiles[0].n, tiles[0].m, tiles[0].h
+    total = np.concatenate([r.part.toArray() for r in tiles]).reshape(n + 1, n + 1 + m)
     pull = alpha * np.eye(n + 1)
     pull[-1, -1] = 0.0
     got = np.linalg.lstsq(total[:, : n + 1] + pull, total[:, n + 1 :], rcond=None)[0]

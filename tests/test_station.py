@@ -122,7 +122,7 @@ def test_window_counts_and_contiguity(spark):
     assert [x[0] for x in one.predicted] == [2.0] * 3 and [x[0] for x in one.target] == [6.0, 7.0, 8.0]
 
 
-def test_ridge_is_the_closed_form(spark):
+def test_ridge_is_the_closed_form(spark, monkeypatch):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(s, START + timedelta(hours=i), float(rng.normal()), "train") for s in "AB" for i in range(40)], "station_id string, datetime timestamp, v double, split string")
     w = windows.sliding(df, ["v"], [], [], ["v"], 4, 2)
@@ -140,6 +140,10 @@ def test_ridge_is_the_closed_form(spark):
     assert len(model.importance(windows.flattened_names(["v"], [], [], 4, 2), ["v"])) == 8
     with pytest.raises(ValueError):
         models.make("oracle", w, ["v"], ["v"])
+    monkeypatch.setattr(models, "TILE", 5)  # sums of several partitions in many tiles
+    np.testing.assert_allclose(models.fit_ridge(w.repartition(3), 3.0).weights, model.weights, atol=1e-9)
+    with pytest.raises(ValueError, match="no training windows"):
+        models.fit_ridge(w.limit(0))
 
 
 def test_metrics_ignore_null_pairs_unless_strict(spark):

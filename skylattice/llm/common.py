@@ -25,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder every executor can read: spark.checkpoint.dir. Where that is unset, a local one in local mode (tests), else an error."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir()
     if where is None:
-        where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="shared-")
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = where or tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(where)
         where = sc.getCheckpointDir()
     return where

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe, chat, fingerprint, gif, linededup, lm, mixing, neardup, quality, sharding
-from .common import add_columns, table
+from .common import add_columns, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,7 +131,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    prints = fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprint.classed(written(prints, "prints"))
 
 
 @registered()

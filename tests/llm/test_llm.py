@@ -424,6 +424,33 @@ def test_near_by_edits(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
 
 
+def test_print_classes_by_brute_force(spark, tmp_path):
+    """Classes of the op9 query's rows are the components of all pairs of fingerprints at NEAR or above."""
+    r = random.Random(9)
+    rows = []
+    for k in range(60):
+        base = text(1000 + k, r.randrange(5, 400))
+        for c in range(r.randrange(1, 8)):
+            words = base.split(" ")
+            for _ in range(c * max(1, len(words) // 50)):
+                words[r.randrange(len(words))] = r.choice(["bar", "zz", "qu"])
+            rows.append((len(rows), " ".join(words)))
+    rows += [(len(rows), ""), (len(rows) + 1, None), (len(rows) + 2, rows[0][1]), (None, rows[0][1]), (None, "of no id"), (len(rows) + 3, "a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op9_fingerprints(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    prints = np.array([np.frombuffer(bytes.fromhex(x.fingerprint), np.uint16) for x in got])
+    klass = list(range(len(got)))
+    for i, x in enumerate(got):
+        for j in range(i):
+            empty = (x.n_chars == 0) + (got[j].n_chars == 0)
+            if klass[i] != klass[j] and (empty == 2 or empty == 0 and fingerprint.likeness(prints[i], prints[j]) >= fingerprint.NEAR):
+                klass = [klass[j] if c == klass[i] else c for c in klass]
+    least = {c: min((x.doc_id for x, d in zip(got, klass) if d == c and x.doc_id is not None), default=None) for c in klass}
+    assert [x.class_id for x in got] == [least[c] for c in klass]
+    assert 60 <= len(set(klass)) < len(rows) - 60
+
+
 def test_lm_counts_exactly_and_predicts(spark, docs, none):
     r = random.Random(3)
     lines = [text(k, 12) for k in range(20)]

@@ -44,11 +44,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Materialise as compressed Parquet in the shared folder."""
+#: Session setting by which Spark deletes an execution's shuffle files when it ends.
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """Materialise as compressed Parquet in the shared folder; `free` deletes the shuffle files that made it at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(FREE, "false")
+    if free:
+        spark.conf.set(FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if free:
+            spark.conf.set(FREE, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

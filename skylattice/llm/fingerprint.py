@@ -301,7 +301,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, class_id: `classed` over the fingerprints of `docs`. Null texts are empty; other columns are ignored."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     base = base.withColumn("n_chars", F.char_length("text").cast("long"))
-    prints = written(fingerprint(base, "text", ["doc_id", "n_chars"]), "prints")
+    prints = written(fingerprint(base, "text", ["doc_id", "n_chars"]), "prints", free=True)
     return classed(prints).select("doc_id", "class_id")
 
 
@@ -317,17 +317,25 @@ def classed(prints: DataFrame) -> DataFrame:
     """
     rows = prints.withColumn("__node", F.xxhash64(F.col("n_chars") > 0, "fingerprint"))
     nodes = rows.groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("first"), F.max("n_chars").alias("n"), F.any_value("fingerprint").alias("text"))
-    nodes = written(nodes, "nodes")
+    nodes = written(nodes, "nodes", free=True)
+    scratch = [nodes]
+
+    def kept(df: DataFrame) -> DataFrame:
+        scratch.append(written(df, "links", free=True))
+        return scratch[-1]
+
     digits = 4 * BAND
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("text", i * digits + 1, F.lit(digits))))
     labels = linked(
         nodes.where("n > 0").select("node", bands.alias("keys"), F.lit(1).cast("long").alias("size")),
-        lambda places: cut(nodes.select("node", F.unhex("text").alias("text")).join(places, "node")),
+        lambda places: kept(nodes.select("node", F.unhex("text").alias("text")).join(places, "node")),
         lambda x: np.frombuffer(x, np.uint16),
         _alike,
+        kept,
     )
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = named.groupBy("label").agg(F.min("first").alias("class_id"))
     named = cut(named.join(heads, "label").select(F.col("node").alias("__node"), "class_id"))
-    dropped(nodes)
+    for x in scratch:
+        dropped(x)
     return rows.join(named, "__node").drop("__node")

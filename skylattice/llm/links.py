@@ -62,19 +62,20 @@ def _blocks(n: Column, size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_SIZE)).cast("int")
 
 
-def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], bag: Callable, decide: Decide) -> DataFrame:
+def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], bag: Callable, decide: Decide, kept: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(node, label) of the nodes that links join.
 
     `nodes` is (node, keys, size), one row a node, where `keys` names its buckets, a bounded number.
     `texts_of` gives (node, text, places) for a table of (node, places), each node once or more. Any two
     texts that meet in some bucket have been compared by `decide` on what `bag` makes of them, or were
-    in one class already, so the classes are those of all links within buckets.
+    in one class already, so the classes are those of all links within buckets. `kept` materialises the
+    table of buckets.
     """
     member = nodes.select("node", "size", F.explode("keys").alias("bucket"))
     content = [F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y")]
     buckets = member.groupBy("bucket").agg(*content).where("n > 1")
     buckets = buckets.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket"), F.first("size").alias("size"))
-    buckets = cut(buckets.select("bucket", _blocks(F.col("n"), F.col("size")).alias("k")))
+    buckets = kept(buckets.select("bucket", _blocks(F.col("n"), F.col("size")).alias("k")))
     held = member.select("node", "bucket", "size").join(buckets, "bucket")
     block = F.pmod(F.xxhash64("node", "bucket"), F.col("k")).cast("int")
     held = held.groupBy("node").agg(F.collect_list(F.struct("bucket", block.alias("lo"), block.alias("hi"))).alias("places"))

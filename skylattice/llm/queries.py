@@ -132,7 +132,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprint.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return fingerprint.classed(written(prints, "prints"))
+    return fingerprint.classed(written(prints, "prints", free=True))
 
 
 @registered()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bpe, chat, fingerprint, gif, linededup, lm, mixing, neardup, quality, sharding
+from . import bpe, bytebpe, chat, fingerprint, gif, lexical, linededup, lm, mixing, neardup, prefixtrie, quality, sharding
 from .common import add_columns, table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,78 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: Nodes by their whole lists of turns. crc32 of a decimal number is folded byte by byte over its table.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS tab
+  FROM range(256) r(i)),
+c AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                         lambda x, y: xor(x >> 8, tab[(xor(x, y) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), k),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM r),
+p AS (
+  SELECT conv_id, d, list([role, text]) OVER (PARTITION BY conv_id ORDER BY d) AS path, len(regexp_extract_all(text, '[^ 	-
+]+')) AS words FROM n
+  UNION ALL SELECT conv_id, 0, [], 0 FROM c),
+m AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS length FROM p),
+v AS (
+  SELECT path, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = length), '')) AS ends_sha256
+  FROM m GROUP BY path, d),
+u AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM v WHERE depth > 0 GROUP BY 1),
+w AS (SELECT v.*, coalesce(u.n_children, 0) AS n_children FROM v LEFT JOIN u USING (path)),
+s AS (
+  SELECT p.path, sum((w.n_children = 0)::INT) AS n_leaves, sum((w.n_convs - 1) * w.words) AS saved_tokens
+  FROM w JOIN p ON p.conv_id = w.conv_id AND p.d <= w.depth GROUP BY p.path)
+SELECT w.conv_id, w.depth::BIGINT AS depth, a.conv_id AS parent_conv_id, w.n_convs::BIGINT AS n_convs, w.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN s USING (path) LEFT JOIN w a ON w.depth > 0 AND a.path = w.path[:w.depth - 1]
+"""
+
+
+@registered(OP11_SQL)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conv = F.col("conv_id")
+    return prefixtrie.trie(turns, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3)
+
+
+@registered()
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS no, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS length FROM d WHERE len(terms) > 0),
+p AS (SELECT no, doc_id, n, term, count(*) AS tf FROM (SELECT no, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, n_docs),
+q AS (
+  SELECT DISTINCT no, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS no, item_id, text FROM benchmark)),
+r AS (
+  SELECT q.no, q.item_id, p.no AS doc, p.doc_id, sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * n_docs) // length)))))::BIGINT AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), s GROUP BY ALL)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM r WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@registered(OP13_SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

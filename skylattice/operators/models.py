@@ -8,10 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .boosting import Trees, fit_leaves
+from .network import Network, fit_network, settings_of
 from .windows import flattened, persistence
 
 
@@ -163,10 +165,77 @@ REGISTRY: dict[str, Callable] = {
     "seasonal_persistence": lambda windows, encoder, targets, **s: Persistence(tuple(list(encoder).index(c) for c in source_features(targets, encoder)), int(s.get("seasonal_period", 24))),
     "ridge": lambda windows, encoder, targets, **s: fit_ridge(windows, float(s.get("alpha", 1.0))),
     "boosted_trees": lambda windows, encoder, targets, **s: fit_boosted(windows, int(s.get("trees", 100)), int(s.get("depth", 4)), float(s.get("rate", 0.05))),
+    "boosted_leaves": lambda windows, encoder, targets, **s: fit_leaves(windows, **leaf_settings(s), start=s.get("start")),
+    "network": lambda windows, encoder, targets, **s: fit_network(windows, s.get("validation"), **settings_of(s), start=s.get("start")),
 }
+#: Fixed: names that configs give the boosted trees and the neural model, and backends of the latter.
+ALIASES = {"lightgbm": "boosted_leaves", "tft": "network"}
+BACKENDS = {"auto", "pytorch_forecasting", "fallback_torch"}
+#: Fixed: names that configs give settings of the boosted trees, and what they mean here.
+LEAF_SETTINGS = {"n_estimators": "trees", "num_leaves": "leaves", "learning_rate": "rate", "max_bin": "bins", "min_child_samples": "least_rows", "reg_lambda": "penalty"}
+
+
+def leaf_settings(settings: dict) -> dict:
+    """The keywords of `fit_leaves` among a model's settings, by either name; those under `params` count as well."""
+    kinds = {"trees": int, "leaves": int, "rate": float, "bins": int, "least_rows": int, "penalty": float}
+    named = {LEAF_SETTINGS.get(k, k): v for k, v in {**settings, **settings.get("params", {})}.items()}
+    return {k: kind(named[k]) for k, kind in kinds.items() if k in named} | ({"edges": settings["edges"]} if "edges" in settings else {})
+
+
+def resolved(kind: str, settings: dict) -> dict:
+    """M7: settings with the model type and backend that will run, and what was asked for.
+
+    The neural model's large backend is not built here, so `auto` is the network, and so is a request for the large one that
+    allows a fallback (asked for or by `auto`); without leave it is an error.
+    """
+    if kind != "tft":
+        return {**settings, "type": ALIASES.get(kind, kind)}
+    asked = settings.get("backend", "auto")
+    if asked not in BACKENDS:
+        raise ValueError(f"unknown backend {asked!r}; known: {sorted(BACKENDS)}")
+    if asked == "pytorch_forecasting" and not settings.get("allow_fallback_backend", False):
+        raise RuntimeError("the backend pytorch_forecasting was asked for and is not there; allow_fallback_backend would take the network")
+    return {**settings, "type": "network", "requested_backend": asked, "backend": "fallback_torch"} | ({"hidden": settings["hidden_size"]} if "hidden_size" in settings else {}) | ({"rate": settings["dropout"]} if "dropout" in settings else {})
 
 
 def make(kind: str, windows: DataFrame, encoder: Sequence[str], targets: Sequence[str], **settings: object):  # noqa: ANN201
-    if kind not in REGISTRY:
-        raise ValueError(f"unknown model type {kind!r}; known: {sorted(REGISTRY)}")
-    return REGISTRY[kind](windows, encoder, targets, **settings)
+    """The model of a type. `start` is a saved model of the type to go on from (M9); `validation` is windows that stop a network early."""
+    if kind not in REGISTRY and kind not in ALIASES:
+        raise ValueError(f"unknown model type {kind!r}; known: {sorted([*REGISTRY, *ALIASES])}")
+    settings = resolved(kind, settings)
+    return REGISTRY[settings.pop("type")](windows, encoder, targets, **settings)
+
+
+#: Models that are saved as one JSON text.
+SAVED = {"ridge": Ridge, "boosted_leaves": Trees, "network": Network}
+
+
+def save(model: object, spark: SparkSession, place: str) -> str:
+    """Writes the model under `place` on the session's file system, replacing what was there.
+
+    Ridge, leaf trees and networks are one JSON text, persistence its places; Spark's own trees are saved by Spark.
+    """
+    kind = next((k for k, c in SAVED.items() if isinstance(model, c)), None)
+    if kind:
+        text = model.dumped()
+    elif isinstance(model, Persistence):
+        kind, text = "persistence", json.dumps({"places": model.places, "period": model.period})
+    else:
+        kind, text = "boosted_trees", json.dumps({"horizon": model.horizon, "outputs": len(model.models)})
+        for i, m in enumerate(model.models):
+            m.write().overwrite().save(f"{place}/output-{i}")
+    spark.createDataFrame([(kind, text)], "kind string, model string").coalesce(1).write.mode("overwrite").json(f"{place}/model")
+    return place
+
+
+def load(spark: SparkSession, place: str):  # noqa: ANN201
+    """What `save` wrote."""
+    row = spark.read.schema("kind string, model string").json(f"{place}/model").first()
+    if row.kind in SAVED:
+        return SAVED[row.kind].loaded(row.model)
+    d = json.loads(row.model)
+    if row.kind == "persistence":
+        return Persistence(tuple(d["places"]), d["period"])
+    from pyspark.ml.regression import GBTRegressionModel
+
+    return Boosted([GBTRegressionModel.load(f"{place}/output-{i}") for i in range(d["outputs"])], d["horizon"])

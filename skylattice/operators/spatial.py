@@ -59,21 +59,93 @@ def lattices(grid: DataFrame) -> DataFrame:
     return grid.groupBy("datetime").agg(F.concat_ws("-", *[c.cast("string") for c in sums]).alias("lattice"))
 
 
+#: Cells of the index: a lattice's finest have about one point each, each further level has twice the width.
+PARTS = 16
+
+
+def _everywhere(points: DataFrame, per_lattice: DataFrame) -> DataFrame:
+    """Each station with each lattice: what the result has anyway. Both are dealt by parts of lattices, so this is an equi-join."""
+    dealt = per_lattice.withColumn("__part", F.pmod(F.xxhash64("lattice"), F.lit(PARTS)))
+    return points.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).join(dealt, "__part").drop("__part")
+
+
+def _extent(lattice: DataFrame) -> DataFrame:
+    """lattice, its corner x0, y0 and far corner x1, y1, the width of a finest cell, and the level at which one cell holds all."""
+    box = lattice.groupBy("lattice").agg(F.min("lon").alias("x0"), F.min("lat").alias("y0"), F.max("lon").alias("x1"), F.max("lat").alias("y1"), F.count("*").alias("n"))
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    long = F.greatest(w, h)
+    width = F.when(long == 0, 1.0).otherwise(F.greatest(F.sqrt(w * h / F.col("n")), long / F.col("n")))
+    return box.withColumn("width", width).withColumn("top", (F.ceil(F.log2(F.greatest(long / F.col("width"), F.lit(1.0)))) + 1).cast("int")).drop("n")
+
+
+def _cell(v: Column, origin: str) -> Column:
+    return F.floor((v - F.col(origin)) / F.col("width")).cast("long")
+
+
+def _at_level(cell: Column, level: Column) -> Column:
+    return F.floor(cell / F.pow(F.lit(2.0), level)).cast("long")
+
+
 def _nearest(lattice: DataFrame, points: DataFrame) -> DataFrame:
-    """Place 0: the least squared distance in degrees; of equal ones the least (lat, lon). Points of a lattice, not of each time, meet the stations."""
-    far = ((F.col("lat") - F.col("s_lat")) * (F.col("lat") - F.col("s_lat")) + (F.col("lon") - F.col("s_lon")) * (F.col("lon") - F.col("s_lon"))).alias("far")
-    best = lattice.join(points, F.lit(True), "inner").groupBy("lattice", "station_id").agg(F.min(F.struct(far, F.col("lat"), F.col("lon"))).alias("best"))
+    """Place 0: the least squared distance in degrees; of equal ones the least (lat, lon).
+
+    A station takes some point of the finest cell around it that has one. Nothing farther than that point can be
+    nearest, so the points of the cells that its circle meets are all there is to compare: at a level where those are four at
+    most, beside one another. Joins are by cell, so the work grows with points and stations, not with their product.
+    """
+    extent = _extent(lattice)
+    placed = lattice.join(extent, "lattice").withColumns({"cx": _cell(F.col("lon"), "x0"), "cy": _cell(F.col("lat"), "y0")})
+    level = F.col("level")
+    finest = placed.groupBy("lattice", "top", "cx", "cy").agg(F.min(F.struct("lat", "lon")).alias("some"))
+    filled = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).groupBy("lattice", "level", _at_level(F.col("cx"), level).alias("cx"), _at_level(F.col("cy"), level).alias("cy")).agg(F.min("some").alias("some"))
+    inside = lambda v, lo, hi: F.least(F.greatest(v, F.col(lo)), F.col(hi))
+    own = _everywhere(points, extent).withColumns({"px": inside(F.col("s_lon"), "x0", "x1"), "py": inside(F.col("s_lat"), "y0", "y1")})
+    seen = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
+    seen = seen.withColumns({"cx": _at_level(_cell(F.col("px"), "x0"), level), "cy": _at_level(_cell(F.col("py"), "y0"), level)}).join(filled, ["lattice", "level", "cx", "cy"])
+    columns = ["lattice", "station_id", "s_lat", "s_lon", "x0", "y0", "x1", "y1", "px", "py", "width", "top"]
+    some = seen.groupBy(*columns).agg(F.min(F.struct("level", "some")).alias("found")).withColumn("some", F.col("found.some"))
+    squared = lambda a, b: a * a + b * b
+    # A little more than the distance, for what rounding may have taken off.
+    reach = squared(F.col("some.lat") - F.col("s_lat"), F.col("some.lon") - F.col("s_lon")) * (1 + 1e-9) + 1e-300
+    out_x, out_y = F.col("s_lon") - F.col("px"), F.col("s_lat") - F.col("py")
+    half_x, half_y = F.sqrt(F.greatest(reach - out_y * out_y, F.lit(0.0))), F.sqrt(F.greatest(reach - out_x * out_x, F.lit(0.0)))
+    pad = 1e-9
+    some = some.withColumns(
+        {
+            "from_x": inside(F.col("s_lon") - half_x * (1 + pad), "x0", "x1"), "to_x": inside(F.col("s_lon") + half_x * (1 + pad), "x0", "x1"),
+            "from_y": inside(F.col("s_lat") - half_y * (1 + pad), "y0", "y1"), "to_y": inside(F.col("s_lat") + half_y * (1 + pad), "y0", "y1"),
+        }
+    )
+    wide = F.greatest(F.col("to_x") - F.col("from_x"), F.col("to_y") - F.col("from_y")) / F.col("width")
+    some = some.withColumn("level", F.least(F.ceil(F.log2(F.greatest(wide, F.lit(1.0)))).cast("int"), F.col("top")))
+    span = lambda a, b, origin: F.explode(F.sequence(_at_level(_cell(F.col(a), origin), level), _at_level(_cell(F.col(b), origin), level)))
+    asked = some.select("lattice", "station_id", "s_lat", "s_lon", "level", "y0", "width", "from_y", "to_y", span("from_x", "to_x", "x0").alias("cx"))
+    asked = asked.select("lattice", "station_id", "s_lat", "s_lon", "level", "cx", span("from_y", "to_y", "y0").alias("cy"))
+    there = placed.join(asked.select("lattice", "level").distinct(), "lattice").select("lattice", "level", _at_level(F.col("cx"), level).alias("cx"), _at_level(F.col("cy"), level).alias("cy"), "lat", "lon")
+    far = squared(F.col("lat") - F.col("s_lat"), F.col("lon") - F.col("s_lon")).alias("far")
+    best = asked.join(there, ["lattice", "level", "cx", "cy"]).groupBy("lattice", "station_id").agg(F.min(F.struct(far, F.col("lat"), F.col("lon"))).alias("best"))
     return best.select("lattice", "station_id", "best.lat", "best.lon", F.lit(0).alias("place"), F.lit(1.0).alias("share"))
 
 
+def _between(lattice: DataFrame, points: DataFrame, axis: str) -> DataFrame:
+    """lattice, station_id and the axis' lines around each station: the last below it and the first not below it.
+
+    Neighbouring lines are gaps; a gap is known in each of the cells that it meets, a station in its own. A cell is as wide as
+    gaps are on average, so all gaps together meet at most twice as many cells as there are lines.
+    """
+    lo, hi, s = f"{axis}_lo", f"{axis}_hi", F.col(f"s_{axis}")
+    lines = lattice.select("lattice", F.col(axis).alias(hi)).distinct()
+    extent = lines.groupBy("lattice").agg(F.min(hi).alias("origin"), F.max(hi).alias("end"), F.count("*").alias("n")).where("n > 1")
+    extent = extent.select("lattice", "origin", "end", ((F.col("end") - F.col("origin")) / (F.col("n") - 1)).alias("width"))
+    gaps = lines.withColumn(lo, F.lag(hi).over(Window.partitionBy("lattice").orderBy(hi))).where(F.col(lo).isNotNull()).join(extent, "lattice")
+    gaps = gaps.select("lattice", lo, hi, F.explode(F.sequence(_cell(F.col(lo), "origin"), _cell(F.col(hi), "origin"))).alias("cell"))
+    own = _everywhere(points.select("station_id", s), extent).where(s.between(F.col("origin"), F.col("end"))).select("lattice", "station_id", s, _cell(s, "origin").alias("cell"))
+    return own.join(gaps, ["lattice", "cell"]).where((F.col(lo) < s) & (s <= F.col(hi))).select("lattice", "station_id", s, lo, hi)
+
+
 def _corners(lattice: DataFrame, points: DataFrame) -> DataFrame:
     """Places 1 to 4: the corners low-low, low-high, high-low, high-high (lat, lon) around a station that has lines on all four sides."""
-    axes = {}
-    for axis in ("lat", "lon"):
-        line = lattice.select("lattice", axis).distinct().join(points, F.lit(True), "inner")
-        s = F.col(f"s_{axis}")
-        axes[axis] = line.groupBy("lattice", "station_id", s).agg(F.max(F.when(F.col(axis) < s, F.col(axis))).alias(f"{axis}_lo"), F.min(F.when(F.col(axis) >= s, F.col(axis))).alias(f"{axis}_hi"))
-    box = axes["lat"].join(axes["lon"], ["lattice", "station_id"]).where("lat_lo is not null and lat_hi is not null and lon_lo is not null and lon_hi is not null")
+    box = _between(lattice, points, "lat").join(_between(lattice, points, "lon"), ["lattice", "station_id"])
     y = (F.col("s_lat") - F.col("lat_lo")) / (F.col("lat_hi") - F.col("lat_lo"))
     x = (F.col("s_lon") - F.col("lon_lo")) / (F.col("lon_hi") - F.col("lon_lo"))
     share = [(1 - y) * (1 - x), (1 - y) * x, y * (1 - x), y * x]

@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from .bpe import LETTERS_16, NUMBERS_16
 from .common import cut
 
-#: Lists the rank map is dealt into, and lists of the words folded once.
+#: Lists the rank map is dealt into, and lists of the words folded once; a power of two.
 SLOTS = 1 << 18
 #: Most words that are folded once, and the longest of them in bytes: bounds what goes to every task (some 40 MB).
 WORDS, WORD_BYTES = 1 << 19, 48
 #: Rows that the frequent words are counted in, about. They only save work: a word that is not among them is folded in its row.
-COUNTED_ROWS = 32_000
+COUNTED_ROWS = 24_000
 #: Longer words are cut where no token has the two bytes together, and what stays longer merges a pair at all its places at once.
 SHORT = 64
 #: What a pair that makes no token makes, above all letters; and what stands before and behind a word.
@@ -126,15 +126,19 @@ def token_table(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 def word_table(words: DataFrame) -> DataFrame:
     """One row `t`: (distinct word, letters) dealt by hash into an array of maps. For tables of a proven bound only."""
-    slots = words.groupBy(F.pmod(F.hash("word"), F.lit(SLOTS)).alias("slot")).agg(F.collect_list(F.struct("word", "letters")).alias("in_slot"))
+    slots = words.groupBy(slot_of(F.col("word")).alias("slot")).agg(F.collect_list(F.struct("word", "letters")).alias("in_slot"))
     every = words.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
     none = F.array().cast("array<struct<word:string,letters:string>>")
     rows = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("in_slot", none).alias("in_slot")))).alias("rows"))
     return rows.select(F.transform("rows", lambda x: F.map_from_entries(x["in_slot"])).alias("t"))
 
 
+def slot_of(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(SLOTS - 1))
+
+
 def found(table: Column, word: Column) -> Column:
-    return F.element_at(F.get(table, F.pmod(F.hash(word), F.lit(SLOTS))), word)
+    return F.element_at(F.get(table, slot_of(word)), word)
 
 
 def made(t: Column, letters: Column, at: Column) -> Column:
@@ -262,10 +266,9 @@ def pieces(tokens: Column, of: Column, id_of: Callable[[Column], Column] = lambd
     return F.array_join(F.transform(of, lambda i: F.get(tokens, id_of(i)).cast("string")), "").cast("binary")
 
 
-def little_endian(letters: Column) -> Column:
-    """The codes of letters as unsigned 32-bit integers, least byte first: UTF-32 writes them greatest first, so all is turned about twice."""
-    turned = F.decode(F.encode(F.reverse(letters), "UTF-32"), "ISO-8859-1")
-    return F.encode(F.reverse(turned), "ISO-8859-1")
+def little_endian(tokens: Column) -> Column:
+    """The codes of letters as unsigned 32-bit integers, least byte first: in UTF-16 so ordered, with a zero letter behind each."""
+    return F.when(F.size(tokens) == 0, F.lit(b"")).otherwise(F.encode(F.concat(F.array_join(tokens, "\0"), F.lit("\0")), "UTF-16LE"))
 
 
 def with_scalar(df: DataFrame, tables: dict[str, DataFrame], body: Callable[[Column], Column], name: str) -> DataFrame:
@@ -282,6 +285,10 @@ def with_scalar(df: DataFrame, tables: dict[str, DataFrame], body: Callable[[Col
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: what `encode` gives and `decode` makes of it."""
     ids = letters_of(docs.select("doc_id", "text"), "text", "letters", path).select("doc_id", "letters")
-    ids = ids.select("doc_id", "letters", F.length("letters").cast("long").alias("n_tokens"), F.sha2(little_endian(F.col("letters")), 256).alias("ids_sha256"))
-    both = with_scalar(ids, {"t": token_table(docs.sparkSession, path)}, lambda x: pieces(x["t"], tokens_of(F.col("letters")), F.ascii), "decoded")
-    return both.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+    def both(x: Column) -> Column:
+        sums = lambda tokens: F.struct(F.sha2(little_endian(tokens), 256).alias("ids"), F.sha2(pieces(x["t"], tokens, F.ascii), 256).alias("decoded"))
+        return let(tokens_of(F.col("letters")), sums)
+
+    done = with_scalar(ids, {"t": token_table(docs.sparkSession, path)}, both, "digests")
+    return done.select("doc_id", F.length("letters").cast("long").alias("n_tokens"), F.col("digests.ids").alias("ids_sha256"), F.col("digests.decoded").alias("decoded_sha256"))

@@ -255,45 +255,41 @@ def grow(state: DataFrame, wanted: Sequence[int], features: int, bins: int, outp
     trees = {o: Growing() for o in wanted}
     held: list[DataFrame] = []
     measure, pairs = {o: [0] for o in wanted}, []  # pairs: output, parent, counted child, its sibling
-    try:
-        while any(measure.values()):
-            sums = counted(state, {o: t.routes() for o, t in trees.items()}, {o: v for o, v in measure.items() if v}, features, bins, outputs)
-            if pairs:
-                before = held[0]
-                for x in held[1:]:
-                    before = before.unionByName(x)
-                kin = F.broadcast(state.sparkSession.createDataFrame(pairs, "output int, parent int, node int, sibling int"))  # at most as many as leaves
-                both = sums.join(kin, ["output", "node"]).join(before.select("output", F.col("node").alias("parent"), "block", F.col("part").alias("whole")), ["output", "parent", "block"])
-                less = F.zip_with("whole", "part", lambda a, b: a - b)
-                each = F.explode(F.array(F.struct("node", "part"), F.struct(F.col("sibling").alias("node"), less.alias("part"))))
-                sums = both.select("output", "block", each.alias("x")).select("output", "x.node", "block", "x.part")
-            held.append(sums.select("output", "node", "block", "part").persist())
-            for r in best_splits(held[-1], bins, least_rows, penalty).collect():
-                t = trees[r.output]
-                if r.node == 0:
-                    t.rows[0], t.sum[0] = r.rows, r.total
-                t.learn(r.node, None if r.gain is None else (r.gain, r.feature, r.bin, r.n, r.g))
-            measure, pairs = {o: [] for o in wanted}, []
-            for o, t in trees.items():
-                while True:
-                    t.advance(leaves)
-                    more = False
-                    for node in t.wanted(leaves):
-                        a, b = t.branch(node)
-                        if max(t.rows[a], t.rows[b]) < 2 * least_rows:
-                            t.learn(a, None)
-                            t.learn(b, None)
-                            more = True
-                        else:
-                            small, other = (a, b) if t.rows[a] <= t.rows[b] else (b, a)
-                            measure[o].append(small)
-                            pairs.append((o, node, small, other))
-                    if not more or measure[o]:
-                        break
-        return trees
-    finally:
-        for x in held:
-            x.unpersist()
+    while any(measure.values()):
+        sums = counted(state, {o: t.routes() for o, t in trees.items()}, {o: v for o, v in measure.items() if v}, features, bins, outputs)
+        if pairs:
+            before = held[0]
+            for x in held[1:]:
+                before = before.unionByName(x)
+            kin = F.broadcast(state.sparkSession.createDataFrame(pairs, "output int, parent int, node int, sibling int"))  # at most as many as leaves
+            both = sums.join(kin, ["output", "node"]).join(before.select("output", F.col("node").alias("parent"), "block", F.col("part").alias("whole")), ["output", "parent", "block"])
+            less = F.zip_with("whole", "part", lambda a, b: a - b)
+            each = F.explode(F.array(F.struct("node", "part"), F.struct(F.col("sibling").alias("node"), less.alias("part"))))
+            sums = both.select("output", "block", each.alias("x")).select("output", "x.node", "block", "x.part")
+        held.append(cut(sums.select("output", "node", "block", "part")))  # short lineage: what hangs on a pass is read again by the next
+        for r in best_splits(held[-1], bins, least_rows, penalty).collect():
+            t = trees[r.output]
+            if r.node == 0:
+                t.rows[0], t.sum[0] = r.rows, r.total
+            t.learn(r.node, None if r.gain is None else (r.gain, r.feature, r.bin, r.n, r.g))
+        measure, pairs = {o: [] for o in wanted}, []
+        for o, t in trees.items():
+            while True:
+                t.advance(leaves)
+                more = False
+                for node in t.wanted(leaves):
+                    a, b = t.branch(node)
+                    if max(t.rows[a], t.rows[b]) < 2 * least_rows:
+                        t.learn(a, None)
+                        t.learn(b, None)
+                        more = True
+                    else:
+                        small, other = (a, b) if t.rows[a] <= t.rows[b] else (b, a)
+                        measure[o].append(small)
+                        pairs.append((o, node, small, other))
+                if not more or measure[o]:
+                    break
+    return trees
 
 
 def scored(state: DataFrame, trees: dict[int, dict], edges: list[np.ndarray], outputs: int) -> DataFrame:

@@ -333,6 +333,34 @@ def m4_boosted_trees(spark, d):  # noqa: ANN001, ANN201
     return model.predict(w.where("split = 'test'")).select("station_id", "prediction_start", F.col("predicted")[0][0].alias("prediction"))
 
 
+#: Borders of the one feature of `m4_stump`, so that SQL can name them.
+CUTS = [float(v) for v in range(-10, 41, 2)]
+STUMP = SLOPE.partition("c AS (")[0] + f"""b AS (SELECT x, temp FROM f WHERE split = 'train'),
+g AS (SELECT e, count(*) FILTER (x <= e) AS n, sum(temp) FILTER (x <= e) AS s, count(*) AS nn, sum(temp) AS ss FROM b CROSS JOIN (SELECT unnest({CUTS}) AS e) GROUP BY e),
+k AS (SELECT * FROM g WHERE n >= 20 AND nn - n >= 20 ORDER BY (s - n * ss / nn) * (s - n * ss / nn) * (1.0 / n + 1.0 / (nn - n)) DESC, e LIMIT 1)"""
+
+
+@query(STUMP + """ SELECT station_id, split, datetime AS prediction_start, round(CASE WHEN x <= e THEN s / n ELSE (ss - s) / (nn - n) END, 5) AS prediction FROM f CROSS JOIN k""")
+def m4_stump(spark, d):  # noqa: ANN001, ANN201
+    w = _one_step(spark, d)
+    model = models.make("boosted_leaves", w.where("split = 'train'"), ["temp"], ["temp"], trees=1, leaves=2, rate=1.0, edges=[CUTS])
+    return shown(model.predict(w).select("station_id", "split", "prediction_start", F.col("predicted")[0][0].alias("prediction")), 5)
+
+
+@query()
+def m4_boosted_leaves(spark, d):  # noqa: ANN001, ANN201
+    w = _windows_v2(spark, d)
+    model = models.make("boosted_leaves", w.where("split = 'train'"), ["temp"], ["temp"], trees=5, leaves=8, rate=0.2)
+    return bundle.prediction_frame(model.predict(w), ["temp"], None, stations(spark, d)).select("station_id", "split", "prediction_start", "horizon_step", "prediction", "actual")
+
+
+@query()
+def m6_network(spark, d):  # noqa: ANN001, ANN201
+    w = _windows_v2(spark, d)
+    model = models.make("network", w.where("split = 'train'"), ["temp"], ["temp"], validation=w.where("split = 'val'"), hidden=16, epochs=6, steps=4, learning_rate=0.01)
+    return bundle.prediction_frame(model.predict(w), ["temp"], None, stations(spark, d)).select("station_id", "split", "prediction_start", "horizon_step", "prediction", "actual")
+
+
 @query(SLOPE + " SELECT 'temp' AS target_name, 1::BIGINT AS horizon_step, 'encoder_t-1:temp' AS feature, round(slope, 6) AS coefficient, round(abs(slope), 6) AS importance FROM s")
 def a20_importance(spark, d):  # noqa: ANN001, ANN201
     w = _one_step(spark, d)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.timefns import hours_between
 
+from .slabs import NUMBER, SHOWN, numbered, own, with_halo
+
 Spec = Mapping[str, Sequence[int]]
 #: Fixed: the features made unless a config has its own.
 LAGS: Spec = {
@@ -26,15 +28,20 @@ ROLLS: Spec = {"target_value": [3, 6, 12, 24], "obs_humidity": [6, 24], "obs_tem
 DELTAS: Spec = {"target_value": [1, 6, 24], "obs_humidity": [1, 6, 24], "obs_temp": [1, 6, 24]}
 
 
-def lag_features(df: DataFrame, lags: Spec = LAGS, rolls: Spec = ROLLS, deltas: Spec = DELTAS, key: str = "station_id", order: str = "datetime", exact_hours: bool = False) -> DataFrame:
+def lag_features(df: DataFrame, lags: Spec = LAGS, rolls: Spec = ROLLS, deltas: Spec = DELTAS, key: str = "station_id", order: str = "datetime", exact_hours: bool = False, slab_rows: int | None = None) -> DataFrame:
     """`df` with {c}_lag_{k}, {c}_roll_mean_{n}, {c}_roll_std_{n}, {c}_delta_{k}, and what follows from them.
 
     All are by rows, as the data stands: a missing hour shifts them. `exact_hours` gives lags and deltas
     null unless the row k before is k hours before. Rolling statistics are of the n rows before the
     current one and null unless all n have values; the deviation is that of the population. One sort of
     each station serves every column. Columns that `df` lacks are passed over.
+    With `slab_rows` a station is cut into slabs of so many rows (no fewer than any of them looks back), each a task of its
+    own that also sees the rows it needs of the slab before; the result is the same.
     """
-    w = Window.partitionBy(key).orderBy(order)
+    if slab_rows is not None:
+        back = max([0, *(int(k) for spec in (lags, rolls, deltas) for c, ks in spec.items() if c in df.columns for k in ks)])
+        df = with_halo(numbered(df, slab_rows, [key], order), slab_rows, before=back)
+    w = Window.partitionBy(key).orderBy(order) if slab_rows is None else Window.partitionBy(key, SHOWN).orderBy(NUMBER)
     new: dict[str, Column] = {}
 
     def back(c: str, k: int) -> Column:
@@ -55,6 +62,7 @@ def lag_features(df: DataFrame, lags: Spec = LAGS, rolls: Spec = ROLLS, deltas:
         if c in df.columns:
             new |= {f"{c}_delta_{k}": F.col(c) - back(c, k) for k in sorted({int(k) for k in ks})}
     out = df.withColumns(new) if new else df
+    out = out if slab_rows is None else own(out)
     if "target_value_lag_24" in out.columns:
         out = out.withColumns({"target_value_same_hour_prev_day": F.col("target_value_lag_24"), "target_value_diff_vs_prev_day": F.col("target_value") - F.col("target_value_lag_24")})
     if {"obs_humidity", "obs_temp"} <= set(out.columns):

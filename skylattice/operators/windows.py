@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from skylattice.functions.timefns import hours_between
 
+from .slabs import NUMBER, SHOWN, SLAB, numbered, with_halo
+
 
 def with_row_index(df: DataFrame, key: str = "station_id", order: str = "datetime") -> DataFrame:
     """time_idx, rows before it in its station."""
@@ -33,16 +35,21 @@ def sliding(
     key: str = "station_id",
     order: str = "datetime",
     split: str = "split",
+    slab_rows: int | None = None,
 ) -> DataFrame:
     """One row a window: station_id, split, prediction_start, and arrays encoder, decoder, static, target.
 
     `contiguous` (version 2): over all of a station's rows, hour after hour, the encoder free to reach
     into an earlier split, every decoder row in one split. Otherwise (version 1): within a split, at
     every row that has enough rows after it, gaps or not. Starts that don't qualify are told by counts
-    first; arrays are made of those only.
+    first; arrays are made of those only. With `slab_rows` a station is cut into slabs of so many starts, each a task of
+    its own that also sees the rows its last windows need; the windows are the same.
     """
     n = encoder_length + horizon
-    w = Window.partitionBy(key, split).orderBy(order) if not contiguous else Window.partitionBy(key).orderBy(order)
+    keys = [key] if contiguous else [key, split]
+    if slab_rows is not None:
+        df = with_halo(numbered(df, slab_rows, keys, order), slab_rows, after=n - 1)
+    w = Window.partitionBy(*keys).orderBy(order) if slab_rows is None else Window.partitionBy(*keys, SHOWN).orderBy(NUMBER)
     whole, ahead = w.rowsBetween(0, n - 1), w.rowsBetween(encoder_length, n - 1)
     rows = F.collect_list(F.struct(order, *dict.fromkeys([*encoder, *decoder, *targets])))
     ok = F.count("*").over(whole) == n
@@ -51,6 +58,7 @@ def sliding(
         ok = ok & (hours_between(F.col(order), last) == n - 1) & (F.min(split).over(ahead) == F.max(split).over(ahead)) & (F.count(split).over(ahead) == horizon)
     df = df.withColumns({"__ok": ok, "__split": F.first(split).over(ahead)})
     made = df.withColumn("__rows", F.when(F.col("__ok"), rows.over(whole))).where("__ok")
+    made = made if slab_rows is None else made.where(F.col(SHOWN) == F.col(SLAB))
     past, future = F.slice("__rows", 1, encoder_length), F.slice("__rows", encoder_length + 1, horizon)
 
     def arrays(part: Column, names: Sequence[str]) -> Column:

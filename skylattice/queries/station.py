@@ -111,6 +111,12 @@ def w5_gap_fill(spark, d):  # noqa: ANN001, ANN201
     return shown(gapfill.fill_gaps(s, ["temp", "humidity"], 2))
 
 
+@query(ORACLES["w5_gap_fill"])
+def w5_gap_fill_slabs(spark, d):  # noqa: ANN001, ANN201
+    s = series(spark, d).select("station_id", "datetime", "temp", "humidity")
+    return shown(gapfill.fill_gaps(s, ["temp", "humidity"], 2, slab_rows=40))
+
+
 ROLL = ", ".join(
     f"round(CASE WHEN count(temp) OVER r{n} = {n} THEN avg(temp) OVER r{n} END, 6) AS temp_roll_mean_{n}, round(CASE WHEN count(temp) OVER r{n} = {n} THEN stddev_pop(temp) OVER r{n} END, 6) AS temp_roll_std_{n}" for n in (3, 6)
 )
@@ -123,6 +129,12 @@ def w1_w4_lag_features(spark, d):  # noqa: ANN001, ANN201
     return shown(lags.lag_features(s, {"temp": [1, 24]}, {"temp": [3, 6]}, {"temp": [6]}).drop("temp"))
 
 
+@query(ORACLES["w1_w4_lag_features"])
+def w1_w4_lag_slabs(spark, d):  # noqa: ANN001, ANN201
+    s = series(spark, d).select("station_id", "datetime", "temp")
+    return shown(lags.lag_features(s, {"temp": [1, 24]}, {"temp": [3, 6]}, {"temp": [6]}, slab_rows=40).drop("temp"))
+
+
 @query(HOURLY + """ SELECT station_id, datetime, round(CASE WHEN datetime - lag(datetime) OVER w = INTERVAL 1 HOUR THEN lag(temp) OVER w END, 6) AS temp_lag_1 FROM hourly WINDOW w AS (PARTITION BY station_id ORDER BY datetime)""")
 def w1_exact_hour_lag(spark, d):  # noqa: ANN001, ANN201
     s = hourly(spark, d).select("station_id", "datetime", "temp")
@@ -281,6 +293,12 @@ def w11_windows_v2(spark, d):  # noqa: ANN001, ANN201
     return _window_sums(_windows_v2(spark, d))
 
 
+@query(ORACLES["w11_windows_v2"])
+def w11_windows_slabs(spark, d):  # noqa: ANN001, ANN201
+    t = timefns.with_split(hourly(spark, d), ENDS)
+    return _window_sums(windows.sliding(t, ["temp"], [], [], ["temp"], 12, 6, slab_rows=40))
+
+
 @query(SCALED + " SELECT station_id, datetime, (row_number() OVER (PARTITION BY station_id ORDER BY datetime) - 1)::BIGINT AS time_idx FROM t")
 def w7_row_index(spark, d):  # noqa: ANN001, ANN201
     return shown(windows.with_row_index(hourly(spark, d)).select("station_id", "datetime", "time_idx"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .boosting import Trees, fit_leaves
+from .boosting import Trees, cut, fit_leaves
 from .network import Network, fit_network, settings_of
 from .windows import flattened, persistence
 
@@ -80,43 +80,148 @@ class Ridge:
         return cls(np.array(d["weights"]), np.array(d["bias"]), d["horizon"])
 
 
-#: Values of a tile: sums travel, and are added, in tiles.
-TILE = 8192
+#: Columns of a block of the normal equations, and bytes of them that a task holds in one pass over the windows.
+BLOCK, HELD = 256, 32 << 20
+#: Bytes of normal equations that are solved on the driver. Wider ones stay where they are and are solved by products with them.
+SOLVED = 16 << 20
 
 
 def fit_ridge(windows: DataFrame, alpha: float = 1.0) -> Ridge:
     """M3: (X'X + alpha I) w = X'y with the intercept left free.
 
-    Partitions send their sums, never their rows, cut into tiles; a tile is added up by an aggregate of its
-    own, so no task holds more than its tiles. The driver gets one matrix, which grows with the features only.
+    The normal equations are summed block by block of columns, in as many passes as keep a task's blocks under HELD;
+    partitions send their sums, never their rows. Equations of more than SOLVED bytes are never gathered: conjugate
+    gradients multiply them, where they are stored, with one vector an output, and the driver holds some vectors.
     """
+    flat = flattened(windows).select("features", F.flatten("target").alias("y"), F.size("target").alias("h")).persist()
+    try:
+        shape = flat.select(F.size("features").alias("n"), F.size("y").alias("m"), "h").first()
+        if shape is None:
+            raise ValueError("no training windows")
+        n, m = shape.n + 1, shape.m
+        blocks = normal_blocks(flat, n, m)
+        if n * (n + m) * 8 <= SOLVED:
+            total = gathered(blocks, n, m)
+            pull = alpha * np.eye(n)
+            pull[-1, -1] = 0.0
+            got = np.linalg.lstsq(total[:, :n] + pull, total[:, n:], rcond=None)[0]
+        else:
+            got = solved(cut(blocks), n, m, alpha)
+        return Ridge(got[:-1], got[-1], shape.h)
+    finally:
+        flat.unpersist()
+
+
+def normal_blocks(flat: DataFrame, n: int, m: int) -> DataFrame:
+    """(i, j, r, part): rows r and on of the product of column blocks i and j of [X 1 y], i up to j, i not beyond [X 1]."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    starts = [*range(0, n, BLOCK), *range(n, n + m, BLOCK)]
+    ends = [*(min(s + BLOCK, n) for s in range(0, n, BLOCK)), *(min(s + BLOCK, n + m) for s in range(n, n + m, BLOCK))]
+    pairs = [(i, j) for i, s in enumerate(starts) if s < n for j in range(i, len(starts))]
+    at_once = max(1, HELD // (8 * min(BLOCK, n + m) ** 2))
+    out = None
+    for k in range(0, len(pairs), at_once):
+
+        def run(batches: Iterator[pa.RecordBatch], wanted: list = pairs[k : k + at_once]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[int, int], np.ndarray] = {}
+            for b in batches:
+                if b.num_rows:
+                    x, y = (np.asarray(b.column(c).flatten()).reshape(b.num_rows, -1) for c in (0, 1))
+                    z = np.column_stack([x, np.ones(b.num_rows), y])
+                    for i, j in wanted:
+                        part = z[:, starts[i] : ends[i]].T @ z[:, starts[j] : ends[j]]
+                        held[i, j] = held[i, j] + part if (i, j) in held else part
+            for (i, j), part in held.items():
+                step = max(1, 8192 // part.shape[1])
+                for r in range(0, len(part), step):
+                    row = [i, j, r, part[r : r + step].ravel()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [*[pa.int32()] * 3, pa.list_(pa.float64())], strict=True)], names=["i", "j", "r", "part"])
+
+        sums = flat.select("features", "y").mapInArrow(run, "i int, j int, r int, part array<double>")
+        sums = sums.groupBy("i", "j", "r").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
+        out = sums if out is None else out.unionByName(sums)
+    return out
+
+
+def column_of(block: int, n: int, width: int) -> int:
+    """The first column of a block: those of [X 1] come first, those of y start anew."""
+    of_x = -(-n // width)
+    return block * width if block < of_x else n + (block - of_x) * width
+
+
+def gathered(blocks: DataFrame, n: int, m: int) -> np.ndarray:
+    """The whole of [X 1]' [X 1 y] on the driver."""
+    total = np.zeros((n, n + m))
+    for b in blocks.toLocalIterator():
+        a, c = column_of(b.i, n, BLOCK) + b.r, column_of(b.j, n, BLOCK)
+        wide = min(BLOCK, (n if c < n else n + m) - c)
+        part = np.asarray(b.part).reshape(-1, wide)
+        total[a : a + len(part), c : c + wide] = part
+        if c < n:
+            total[c : c + wide, a : a + len(part)] = part.T
+    return total
+
+
+def products(blocks: DataFrame, n: int, m: int, by: np.ndarray | None) -> np.ndarray:
+    """The equations times `by` (n x m), block by block in tasks; without `by`, the diagonal and X'y beside each other."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    flat = flattened(windows).select("features", F.flatten("target").alias("y"), F.size("target").alias("h"))
+    shared = blocks.sparkSession.sparkContext.broadcast(by)
+    size, width = (n, m if by is not None else 1 + m), BLOCK
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, shape = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, out = shared.value, None
         for b in batches:
-            if b.num_rows:
-                x, y = (np.asarray(b.column(i).flatten()).reshape(b.num_rows, -1) for i in (0, 1))
-                x = np.column_stack([x, np.ones(b.num_rows)])
-                part = x.T @ np.column_stack([x, y])
-                total, shape = part if total is None else total + part, (x.shape[1] - 1, y.shape[1], b.column(2)[0].as_py())
-        for k in range(0, 0 if total is None else total.size, TILE):
-            row = [[k], *([v] for v in shape), [total.ravel()[k : k + TILE]]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, [*[pa.int64()] * 4, pa.list_(pa.float64())], strict=True)], names=["tile", "n", "m", "h", "part"])
-
-    parts = flat.mapInArrow(sums, "tile long, n long, m long, h long, part array<double>")
-    tiles = parts.groupBy("n", "m", "h", "tile").agg(Summarizer.sum(array_to_vector("part")).alias("part")).orderBy("tile").collect()
-    if not tiles:
-        raise ValueError("no training windows")
-    n, m, horizon = tiles[0].n, tiles[0].m, tiles[0].h
-    total = np.concatenate([r.part.toArray() for r in tiles]).reshape(n + 1, n + 1 + m)
-    pull = alpha * np.eye(n + 1)
-    pull[-1, -1] = 0.0
-    got = np.linalg.lstsq(total[:, : n + 1] + pull, total[:, n + 1 :], rcond=None)[0]
-    return Ridge(got[:-1], got[-1], horizon)
+            for i, j, r, part in zip(*(b.column(c) for c in range(4)), strict=True):
+                out = np.zeros(size) if out is None else out
+                a, c = column_of(i.as_py(), n, width) + r.as_py(), column_of(j.as_py(), n, width)
+                wide = min(width, (n if c < n else n + m) - c)
+                part = np.asarray(part.values).reshape(-1, wide)
+                if v is None and c >= n:
+                    out[a : a + len(part), 1 + c - n : 1 + c - n + wide] += part
+                elif v is None and i.as_py() == j.as_py():
+                    out[a : a + len(part), 0] += np.diagonal(part, a - c)
+                elif v is not None and c < n:
+                    out[a : a + len(part)] += part @ v[c : c + wide]
+                    if i.as_py() != j.as_py():
+                        out[c : c + wide] += part.T @ v[a : a + len(part)]
+        if out is not None:
+            at = range(0, out.size, 8192)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([out.ravel()[k : k + 8192] for k in at], pa.list_(pa.float64()))], names=["tile", "part"])
+
+    sums = blocks.mapInArrow(run, "tile long, part array<double>").groupBy("tile").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
+    out = np.concatenate([r.part.toArray() for r in sums.orderBy("tile").collect()]).reshape(size)
+    shared.unpersist()
+    return out
+
+
+def solved(blocks: DataFrame, n: int, m: int, alpha: float, close: float = 1e-13) -> np.ndarray:
+    """Conjugate gradients, all outputs in step, scaled by the diagonal; until what is left is `close` to nothing or grows no less."""
+    both = products(blocks, n, m, None)
+    pull = np.full((n, 1), alpha)
+    pull[-1] = 0.0
+    scale = np.maximum(both[:, :1] + pull, 1e-300)
+    left = both[:, 1:].copy()
+    most = np.maximum(np.linalg.norm(left, axis=0), 1e-300)
+    x, best, best_left, stale = np.zeros((n, m)), None, np.inf, 0
+    z = left / scale
+    way, size = z, (left * z).sum(0)
+    for _ in range(20 * n):
+        worst = (np.linalg.norm(left, axis=0) / most).max()
+        best, best_left, stale = (x, worst, 0) if worst < best_left else (best, best_left, stale + 1)
+        if worst <= close or stale > 50:
+            break
+        q = products(blocks, n, m, way) + pull * way
+        along = (way * q).sum(0)
+        step = np.where(along > 0, size / np.where(along > 0, along, 1.0), 0.0)
+        x, left = x + step * way, left - step * q
+        z = left / scale
+        before, size = size, (left * z).sum(0)
+        way = z + np.where(before > 0, size / np.where(before > 0, before, 1.0), 0.0) * way
+    return best if best is not None else x
 
 
 @dataclass(frozen=True)

@@ -229,3 +229,20 @@ def test_places_by_brute_force(spark, mode):
     want = plain_places(rows, stations, mode)
     assert found.keys() == want.keys()
     assert {k: round(v, 9) for k, v in found.items()} == {k: round(v, 9) for k, v in want.items()}
+
+
+@pytest.mark.parametrize(("block", "held"), [(3, 1), (4, 4000), (256, 32 << 20)])
+def test_ridge_by_blocks_and_products(spark, monkeypatch, block, held):
+    df = windows(spark).repartition(3)
+    x, y, _ = arrays(df)
+    z = np.column_stack([x, np.ones(len(x))])
+    pull = 2.0 * np.eye(z.shape[1])
+    pull[-1, -1] = 0
+    want = np.linalg.solve(z.T @ z + pull, z.T @ y)
+    monkeypatch.setattr(models, "BLOCK", block)
+    monkeypatch.setattr(models, "HELD", held)
+    for solved in (1 << 30, 0):
+        monkeypatch.setattr(models, "SOLVED", solved)
+        got = models.fit_ridge(df, 2.0)
+        np.testing.assert_allclose(got.weights, want[:-1], atol=1e-9)
+        np.testing.assert_allclose(got.bias, want[-1], atol=1e-9)

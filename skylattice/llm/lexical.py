@@ -111,10 +111,10 @@ class Best:
             self.last = max(1, int(self.scores[-1]))
 
 
-def search_block(block: Block, terms: list[int], weight: np.ndarray, best: Best) -> None:
+def search_block(block: Block, terms: list[int], weight: np.ndarray, best: Best, window: int, share: float) -> None:
     """Adds to `best` every document of the block that belongs there."""
     lists = sorted((block.lists[t][1] - block.lists[t][0], t) for t in terms if t in block.lists and weight[t] > 0)
-    room, short = SHORT_SHARE * block.size, 0
+    room, short = share * block.size, 0
     while short < len(lists) and (room := room - lists[short][0]) >= 0:
         short += 1
     iterators = []  # (bound, documents, scores)
@@ -132,8 +132,8 @@ def search_block(block: Block, terms: list[int], weight: np.ndarray, best: Best)
     below = [0]
     for x in iterators:
         below.append(below[-1] + x[0])
-    for lo in range(0, block.size, WINDOW):  # document at a time
-        hi = min(lo + WINDOW, block.size)
+    for lo in range(0, block.size, window):  # document at a time
+        hi = min(lo + window, block.size)
         first = next((i for i in range(len(iterators)) if below[i + 1] >= best.last), len(iterators))
         if first == len(iterators):
             return
@@ -163,6 +163,7 @@ def best_of_tasks(lists: DataFrame, queries: list[list[int]], weight: np.ndarray
     """(query, doc_id, score): of each task, the k best of its documents for each query."""
     spark = lists.sparkSession
     shared = spark.sparkContext.broadcast((queries, weight))
+    window, share = WINDOW, SHORT_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, weights = shared.value
@@ -176,7 +177,7 @@ def best_of_tasks(lists: DataFrame, queries: list[list[int]], weight: np.ndarray
             sizes = np.diff(np.asarray(t.column("terms").chunk(0).offsets))
             block = Block(ids, np.asarray(t.column("n")), sizes, np.asarray(t.column("terms").chunk(0).flatten()), np.asarray(t.column("tfs").chunk(0).flatten()), total, length)
             for q, terms in enumerate(wanted):
-                search_block(block, terms, weights, best[q])
+                search_block(block, terms, weights, best[q], window, share)
 
         for batch in batches:
             if not batch.num_rows:

@@ -123,7 +123,7 @@ def components(lcp: list[int], lengths: list[int], ids: list[int]) -> tuple[list
     return depth, lo, hi, least, children, last
 
 
-def block_rows(block: int, ids: list[int], path: list[str], words: list[list[int]]) -> Iterator[tuple]:
+def block_rows(block: int, ids: list[int], path: list[str], words: list[list[int]], chunk: int) -> Iterator[tuple]:
     """The rows of FOREST of one block of sorted conversations."""
     m = len(ids)
     lengths = [len(x) // KEY for x in path]
@@ -145,8 +145,8 @@ def block_rows(block: int, ids: list[int], path: list[str], words: list[list[int
             if is_open[v]:
                 yield block, OPEN, d, least[v], None, n, kids, leaves, saved, w, None, lo[v] == 0, hi[v] == m - 1, key(v, d), key(v, d - 1) if d else None, None
                 if d == bottom:
-                    for i in range(0, ends, CHUNK):
-                        yield (block, ENDED, d, *[None] * 7, i, None, None, key(v, d), None, ",".join(map(str, ended[i : i + CHUNK])))
+                    for i in range(0, ends, chunk):
+                        yield (block, ENDED, d, *[None] * 7, i, None, None, key(v, d), None, ",".join(map(str, ended[i : i + chunk])))
                 leaves = saved = kids = 0
                 continue
             saved += (n - 1) * w
@@ -164,7 +164,7 @@ def block_rows(block: int, ids: list[int], path: list[str], words: list[list[int
 def forest(sorted_paths: DataFrame) -> DataFrame:
     """FOREST's rows of every block; the paths must be sorted over all partitions."""
     small_batches(sorted_paths.sparkSession)
-    arrow = to_arrow_schema(FOREST)
+    arrow, chunk = to_arrow_schema(FOREST), CHUNK
 
     def record(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
@@ -175,7 +175,7 @@ def forest(sorted_paths: DataFrame) -> DataFrame:
 
         def done() -> Iterator[pa.RecordBatch]:
             rows = []
-            for row in block_rows(block, ids, path, words):
+            for row in block_rows(block, ids, path, words, chunk):
                 rows.append(row)
                 if len(rows) >= 4096:
                     yield record(rows)

@@ -32,7 +32,11 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
         raise FileNotFoundError(path)
     if kind == "csv":
         reader = spark.read.option("header", True)
-        return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
+        if schema:
+            return reader.schema(schema).csv(path)
+        # Times without an offset stay without one: what zone they are of is the reader's to say.
+        kinds = reader.option("inferSchema", True).csv(path).schema
+        return reader.schema(T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType) for f in kinds])).csv(path)
     if kind == "nc":
         from .netcdf import read_netcdf
 

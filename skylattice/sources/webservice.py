@@ -1,17 +1,20 @@
-"""A paged JSON web service of observations as a Python data source, one partition a station and day."""
+"""A paged JSON web service of observations as a Python data source, for tables and streams; partitions are ranges of pages or days."""
 
 from __future__ import annotations
 
 import json
+import time
+import urllib.error
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from skylattice.schema import STANDARD_COLUMNS
 
@@ -64,10 +67,10 @@ def page_of(payload: dict) -> tuple[list[dict], int | None]:
     return [items] if isinstance(items, dict) else list(items), None if total is None else int(total)
 
 
-def pages(fetch: Callable[[dict], dict], params: dict, page_size: int = 999) -> Iterator[dict]:
-    """Items of page after page, until one is empty or the total is reached."""
-    page = 1
-    while True:
+def pages(fetch: Callable[[dict], dict], params: dict, page_size: int = 999, first: int = 1, last: int | None = None) -> Iterator[dict]:
+    """Items of page after page from `first`, until one is empty, the total is reached, or `last` is done."""
+    page = first
+    while last is None or page <= last:
         items, total = page_of(fetch({**params, "pageNo": page, "numOfRows": page_size}))
         if not items:
             return
@@ -92,34 +95,123 @@ def normalise(raw: DataFrame, service: str) -> DataFrame:
 
 @dataclass
 class Span(InputPartition):
+    """Pages `first` to `last` of a station's span; without `last` all from `first` on."""
+
     station: str
     start: datetime
     end: datetime
+    first: int = 1
+    last: int | None = None
+
+
+def patient(call: Callable[[], dict], attempts: int, wait: float) -> dict:
+    """The answer of `call`, asked again after twice as long each time the service is busy, fails, or answers no JSON.
+
+    What the service refuses for good (status 400 to 499 but for 408 and 429) is raised at once.
+    """
+    for attempt in range(attempts):
+        try:
+            return call()
+        except urllib.error.HTTPError as e:
+            if attempt + 1 == attempts or (e.code < 500 and e.code not in (408, 429)):
+                raise
+        except (OSError, ValueError):
+            if attempt + 1 == attempts:
+                raise
+        time.sleep(wait * 2**attempt)
+    raise ValueError("at least one attempt")
+
+
+class Asked:
+    """How the source's options ask the service: url, service, stations, start, end (with offsets), key, pageSize, pagesPerPartition, attempts, wait."""
+
+    def __init__(self, options: Mapping[str, str]) -> None:
+        o = self.options = dict(options)
+        for name in ("url", "service", "stations", "start"):
+            if not o.get(name):
+                raise ValueError(f"option {name} is not set")
+        self.size, self.each = int(o.get("pagesize", o.get("pageSize", 999))), int(o.get("pagesperpartition", o.get("pagesPerPartition", 10)))
+        self.stations = [x.strip() for x in o["stations"].split(",") if x.strip()]
+
+    def fetch(self, params: dict) -> dict:
+        o = self.options
+
+        def once() -> dict:
+            with urllib.request.urlopen(f"{o['url']}?{urllib.parse.urlencode(params)}", timeout=60) as r:  # noqa: S310
+                return json.load(r)
+
+        return patient(once, int(o.get("attempts", 5)), float(o.get("wait", 0.5)))
+
+    def params(self, span: Span) -> dict:
+        o = self.options
+        return {**SERVICES[o["service"]].params(span.start, span.end, span.station), "ServiceKey": o.get("key", ""), "dataType": "JSON"}
+
+    def partitions(self, start: datetime, end: datetime) -> list[Span]:
+        """Each station's spans, cut into ranges of pages by what the service says it has.
+
+        A span that has no length of its own (the hourly service's) is asked for its total first, many stations at a time; the
+        last range is open, for what comes meanwhile. Daily spans are a partition each.
+        """
+        found = [Span(s, a, b) for s in self.stations for a, b in spans(self.options["service"], start, end)]
+        if SERVICES[self.options["service"]].step is not None:
+            return found
+        with ThreadPoolExecutor(8) as pool:
+            totals = list(pool.map(lambda s: page_of(self.fetch({**self.params(s), "pageNo": 1, "numOfRows": 1}))[1], found))
+        out = []
+        for span, total in zip(found, totals, strict=True):
+            last = -(-(total or 0) // self.size)
+            firsts = list(range(1, last + 1, self.each)) or [1]
+            out += [replace(span, first=a, last=b - 1 if b else None) for a, b in zip(firsts, [*firsts[1:], None])]
+        return out
+
+    def read(self, span: Span) -> Iterator[tuple]:
+        for item in pages(self.fetch, self.params(span), self.size, span.first, span.last):
+            yield span.station, json.dumps(item)
 
 
 class ServiceReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options = options
+    def __init__(self, options: Mapping[str, str]) -> None:
+        self.asked = Asked(options)
 
     def partitions(self) -> Sequence[Span]:
-        o = self.options
-        found = spans(o["service"], datetime.fromisoformat(o["start"]), datetime.fromisoformat(o["end"]))
-        return [Span(s.strip(), a, b) for s in o["stations"].split(",") for a, b in found]
+        o = self.asked.options
+        return self.asked.partitions(datetime.fromisoformat(o["start"]), datetime.fromisoformat(o["end"]))
 
     def read(self, partition: Span) -> Iterator[tuple]:
-        o = self.options
+        yield from self.asked.read(partition)
 
-        def fetch(params: dict) -> dict:
-            with urllib.request.urlopen(f"{o['url']}?{urllib.parse.urlencode(params)}", timeout=60) as r:  # noqa: S310
-                return json.load(r)
 
-        asked = {**SERVICES[o["service"]].params(partition.start, partition.end, partition.station), "ServiceKey": o.get("key", ""), "dataType": "JSON"}
-        for item in pages(fetch, asked, int(o.get("pageSize", 999))):
-            yield partition.station, json.dumps(item)
+class ServiceStream(DataSourceStreamReader):
+    """Offsets are times: a batch has the whole hours after the one before, up to now or to `end`."""
+
+    def __init__(self, options: Mapping[str, str]) -> None:
+        self.asked = Asked(options)
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"next": self.asked.options["start"]}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        start = datetime.fromisoformat(self.asked.options["start"])
+        now = datetime.now(start.tzinfo)
+        end = min(now, datetime.fromisoformat(self.asked.options["end"])) if self.asked.options.get("end") else now
+        hours = max(-1, (end - start) // timedelta(hours=1))
+        return {"next": (start + timedelta(hours=hours + 1)).isoformat()}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[Span]:
+        a, b = datetime.fromisoformat(start["next"]), datetime.fromisoformat(end["next"])
+        hour = timedelta(hours=1)
+        last = b - (hour if SERVICES[self.asked.options["service"]].step is None else timedelta(minutes=1))
+        return self.asked.partitions(a, last) if a < b else []
+
+    def read(self, partition: Span) -> Iterator[tuple]:
+        yield from self.asked.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to let go: the service keeps its rows."""
 
 
 class ServiceSource(DataSource):
-    """spark.dataSource.register(ServiceSource); format("station_service") gives (station_id, item JSON)."""
+    """spark.dataSource.register(ServiceSource); format("station_service") gives (station_id, item JSON), as a table or a stream."""
 
     @classmethod
     def name(cls) -> str:
@@ -131,6 +223,9 @@ class ServiceSource(DataSource):
     def reader(self, schema) -> ServiceReader:  # noqa: ANN001
         return ServiceReader(dict(self.options))
 
+    def streamReader(self, schema) -> ServiceStream:  # noqa: ANN001, N802
+        return ServiceStream(dict(self.options))
+
 
 def items_as_table(df: DataFrame, service: str) -> DataFrame:
     """The source's rows in standard columns."""

@@ -143,7 +143,7 @@ def found(table: Column, word: Column) -> Column:
 
 def made(t: Column, letters: Column, at: Column) -> Column:
     """The letter of what the tokens at `at` and behind it make, or NONE."""
-    return then(F.substring(letters, at, F.lit(2)), F.lit(""), lambda pair: F.coalesce(found(t["ranks"], pair), F.lit(NONE)))
+    return F.coalesce(found(t["ranks"], F.substring(letters, at, F.lit(2))), F.lit(NONE))  # cut out twice, which costs less than a lambda
 
 
 def neighbours(t: Column, letters: Column) -> Column:

@@ -26,7 +26,7 @@ SLOTS = 1 << 18
 #: Most words that are folded once, and the longest of them in bytes: bounds what goes to every task (some 40 MB).
 WORDS, WORD_BYTES = 1 << 19, 48
 #: Rows that the frequent words are counted in, about. They only save work: a word that is not among them is folded in its row.
-COUNTED_ROWS = 24_000
+COUNTED_ROWS = 20_000
 #: Longer words are cut where no token has the two bytes together, and what stays longer merges a pair at all its places at once.
 SHORT = 64
 #: What a pair that makes no token makes, above all letters; and what stands before and behind a word.
@@ -161,15 +161,20 @@ def fold(t: Column, letters: Column, steps: Column) -> Column:
     `near` has what each token and the next would make. A pad at either end makes nothing with any token.
     """
 
+    def state(letters: Column, near: Column) -> Column:
+        return F.struct(letters.alias("letters"), near.alias("near"), least(near).alias("best"))
+
     def step(s: Column, _: Column) -> Column:
-        near = s["near"]
-        changed = lambda at, after: F.struct(after.alias("letters"), F.overlay(F.overlay(near, made(t, after, at - 1), at - 1, F.lit(2)), made(t, after, at), at, F.lit(1)).alias("near"))
-        merged = lambda best: then(F.instr(near, best), s, lambda at: then(F.overlay(s["letters"], best, at, F.lit(2)), s, lambda after: changed(at, after)))
-        return then(least(near), s, lambda best: F.when(best == NONE, s).otherwise(merged(best)))
+        def merged(at: Column) -> Column:
+            changed = lambda after: F.overlay(F.overlay(s["near"], made(t, after, at - 1), at - 1, F.lit(2)), made(t, after, at), at, F.lit(1))
+            return then(F.overlay(s["letters"], s["best"], at, F.lit(2)), s, lambda after: then(changed(after), s, lambda near: state(after, near)))
+
+        return F.when(s["best"] == NONE, s).otherwise(then(F.instr(s["near"], s["best"]), s, merged))
 
     padded = F.concat(F.lit(PAD), letters, F.lit(PAD))
-    whole = F.aggregate(steps, let(padded, lambda x: F.struct(x.alias("letters"), neighbours(t, x).alias("near"))), step, lambda s: s["letters"])
-    return F.replace(whole, F.lit(PAD), F.lit(""))
+    start = let(padded, lambda x: let(neighbours(t, x), lambda near: state(x, near)))
+    # n tokens take n - 1 merges at most.
+    return F.replace(F.aggregate(F.slice(steps, F.lit(2), F.lit(SHORT)), start, step, lambda s: s["letters"]), F.lit(PAD), F.lit(""))
 
 
 def fold_long(t: Column, letters: Column, steps: Column) -> Column:

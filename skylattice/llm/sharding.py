@@ -14,8 +14,9 @@ from .mixing import word_count
 
 #: Groups above this share of a shard's bytes, tokens or rows are placed first, on the driver.
 HEAVY_SHARE = 1 / 64
-#: Shares of a shard above which groups are cut: the greatest that leaves no shard over full.
+#: Shares of a shard above which groups are cut: the greatest that overfills no shard by CLOSE and one row more than the best of them.
 SPLIT_SHARES = (1, 1 / 2, 1 / 4, 1 / 8)
+CLOSE = 0.05
 #: Rounds of lighter groups by their share of a shard, the last without a bound; each sees what those before left.
 ROUND_SHARES = (1 / 1024, 1 / 16384, 0.0)
 #: Groups packed together by one task, and rows of a range in which slots are counted.
@@ -43,8 +44,10 @@ def split_heavy(heavy: list[tuple], fair: np.ndarray, n_shards: int) -> tuple[li
 
     `heavy`: (h1, h2, rows, need of one row). Rows of a group are alike, so a group that can't stay whole if
     shards are to be equal is cut into chunks of at most HEAVY_SHARE in every dimension, each packed as a
-    group of its own. Groups stay whole up to the greatest of SPLIT_SHARES at which no shard is over full.
+    group of its own. Groups stay whole up to the greatest of SPLIT_SHARES at which the fullest shard is no fuller than
+    CLOSE and a row above what the best of them gives: a cut has to buy equal shards. `fair` ends with a shard's rows.
     """
+    tried = []
     for split in SPLIT_SHARES:
         cuts = []
         for h1, h2, rows, need in heavy:
@@ -59,9 +62,9 @@ def split_heavy(heavy: list[tuple], fair: np.ndarray, n_shards: int) -> tuple[li
             k = int(np.argmax(room @ size[i]))
             room[k] -= size[i]
             placed.append((*cuts[i][:4], k))
-        if room.min() >= 0:
-            break
-    return placed, room
+        tried.append((placed, room))
+    best = max(room.min() for _, room in tried)
+    return next(x for x in tried if min(x[1].min(), 0) >= min(best, 0) - CLOSE - 1 / max(fair[-1], 1))
 
 
 def shard(docs: DataFrame, n_shards: int = 24, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -179,3 +179,42 @@ def test_search_of_nothing(spark):
     assert lexical.search(docs.where("false"), items).collect() == []
     assert lexical.search(docs, items.where("false")).collect() == []
     assert lexical.search(docs.withColumn("text", F.lit(None).cast("string")), items).collect() == []
+
+
+def test_composition_is_the_librarys():
+    import unicodedata
+
+    from tokenizers import normalizers
+
+    from skylattice.llm import bpe
+
+    nfc, rng = normalizers.NFC(), random.Random(2)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c)) or any(a <= c <= b for a, b in bpe.APART)]
+    letters = [*"aeoéü가각ㅏnｶ", *map(chr, (0x11935, 0x11930, 0x1100, 0x1161, 0x11A8))]
+    texts = ["q" + o + m + o for m in marks for o in "\u0301\u0316\u05b0\u3099\u0334\u0345"]
+    texts += ["".join(rng.choice(marks if rng.random() < 0.6 else letters) for _ in range(rng.randint(2, 7))) for _ in range(100_000)]
+    assert [x for x in texts if bpe.composed(x) != nfc.normalize_str(x)] == []
+
+
+def test_no_group_is_torn_for_nothing(spark):
+    from skylattice.llm import sharding
+
+    for sf in ("0.001", "0.01"):
+        placed = sharding.shard(spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet"))
+        rows = placed.groupBy("text_crc32", "size").agg(F.count_distinct("shard").alias("shards")).where("shards > 1").count()
+        assert rows == 0, sf
+
+
+def test_heavy_groups_are_cut_where_that_evens_shards():
+    import numpy as np
+
+    from skylattice.llm import sharding
+
+    need, fair = np.array([10.0, 2.0, 1.0]), np.array([1000.0, 200.0, 100.0])
+    whole = [(i, i, 10, need) for i in range(24 * 10)]
+    placed, _ = sharding.split_heavy(whole, fair, 24)
+    assert len(placed) == 240
+    uneven = [(i, i, 60, need) for i in range(40)]  # 0.6 of a shard each: whole, some shards would get two and some one
+    placed, room = sharding.split_heavy(uneven, fair, 24)
+    assert len(placed) > 40 and room.min() > -0.1
+    assert sorted((a, b) for h, _, a, b, _ in placed if h == 0)[0][0] == 0 and sum(b - a for h, _, a, b, _ in placed if h == 0) == 60

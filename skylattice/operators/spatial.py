@@ -63,9 +63,9 @@ def lattices(grid: DataFrame) -> DataFrame:
 PARTS = 16
 
 
-def _everywhere(points: DataFrame, per_lattice: DataFrame) -> DataFrame:
-    """Each station with each lattice: what the result has anyway. Both are dealt by parts of lattices, so this is an equi-join."""
-    dealt = per_lattice.withColumn("__part", F.pmod(F.xxhash64("lattice"), F.lit(PARTS)))
+def everywhere(points: DataFrame, others: DataFrame, key: str = "lattice") -> DataFrame:
+    """Each of `points` with each of `others`, where the result has them all anyway. Both are dealt by parts of `others`, so this is an equi-join."""
+    dealt = others.withColumn("__part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
     return points.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).join(dealt, "__part").drop("__part")
 
 
@@ -99,7 +99,7 @@ def _nearest(lattice: DataFrame, points: DataFrame) -> DataFrame:
     finest = placed.groupBy("lattice", "top", "cx", "cy").agg(F.min(F.struct("lat", "lon")).alias("some"))
     filled = finest.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).groupBy("lattice", "level", _at_level(F.col("cx"), level).alias("cx"), _at_level(F.col("cy"), level).alias("cy")).agg(F.min("some").alias("some"))
     inside = lambda v, lo, hi: F.least(F.greatest(v, F.col(lo)), F.col(hi))
-    own = _everywhere(points, extent).withColumns({"px": inside(F.col("s_lon"), "x0", "x1"), "py": inside(F.col("s_lat"), "y0", "y1")})
+    own = everywhere(points, extent).withColumns({"px": inside(F.col("s_lon"), "x0", "x1"), "py": inside(F.col("s_lat"), "y0", "y1")})
     seen = own.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top"))))
     seen = seen.withColumns({"cx": _at_level(_cell(F.col("px"), "x0"), level), "cy": _at_level(_cell(F.col("py"), "y0"), level)}).join(filled, ["lattice", "level", "cx", "cy"])
     columns = ["lattice", "station_id", "s_lat", "s_lon", "x0", "y0", "x1", "y1", "px", "py", "width", "top"]
@@ -139,7 +139,7 @@ def _between(lattice: DataFrame, points: DataFrame, axis: str) -> DataFrame:
     extent = extent.select("lattice", "origin", "end", ((F.col("end") - F.col("origin")) / (F.col("n") - 1)).alias("width"))
     gaps = lines.withColumn(lo, F.lag(hi).over(Window.partitionBy("lattice").orderBy(hi))).where(F.col(lo).isNotNull()).join(extent, "lattice")
     gaps = gaps.select("lattice", lo, hi, F.explode(F.sequence(_cell(F.col(lo), "origin"), _cell(F.col(hi), "origin"))).alias("cell"))
-    own = _everywhere(points.select("station_id", s), extent).where(s.between(F.col("origin"), F.col("end"))).select("lattice", "station_id", s, _cell(s, "origin").alias("cell"))
+    own = everywhere(points.select("station_id", s), extent).where(s.between(F.col("origin"), F.col("end"))).select("lattice", "station_id", s, _cell(s, "origin").alias("cell"))
     return own.join(gaps, ["lattice", "cell"]).where((F.col(lo) < s) & (s <= F.col(hi))).select("lattice", "station_id", s, lo, hi)
 
 

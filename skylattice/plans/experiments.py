@@ -8,12 +8,14 @@ import shutil
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice import config as settings
+from skylattice.operators import metrics
 from skylattice.operators.metrics import horizon_summary, worst_cases
 from skylattice.operators.quality import split_summary
+from skylattice.sources import store
 from skylattice.sources.tables import write_json, write_table
 
 #: Fixed: the columns of a leaderboard row, in order.
@@ -105,3 +107,55 @@ def report(table: DataFrame, predictions: DataFrame, place: str | Path) -> dict[
     head, tail = edges(predictions)
     parts = {"split_summary": split_summary(table), "horizon_summary": horizon_summary(predictions), "worst_cases": worst_cases(predictions, 20), "head": head, "tail": tail}
     return {k: write_table(df, f"{place}/{k}.csv") for k, df in parts.items()}
+
+
+def markdown(name: str, summary: Mapping, tables: Mapping[str, DataFrame], most: int = 50) -> str:
+    """A run as text: its summary, then the first `most` rows of each table."""
+    shown = lambda v: "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
+    lines = [f"# {name}", "", *(f"- {k}: {shown(v)}" for k, v in summary.items())]
+    for title, df in tables.items():
+        rows = df.limit(most).collect()
+        lines += ["", f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(shown, r)) + " |" for r in rows)]
+    return "\n".join(lines) + "\n"
+
+
+def metric_tables(table: DataFrame, predictions: DataFrame) -> dict[str, DataFrame]:
+    """K5: what a run reports: metrics in all and by target, station, step and season, splits, worst cases, first and last rows."""
+    by = {"by_target": ["target_name"], "by_station": ["target_name", "station_id"], "by_horizon": ["target_name", "horizon_step"], "by_season": ["target_name", "season"]}
+    head, tail = edges(predictions)
+    found = {k: metrics.grouped_metrics(predictions, keys).orderBy(*keys) for k, keys in by.items() if set(keys) <= set(predictions.columns)}
+    return {"metrics": metrics.metrics(predictions), **found, "split_summary": split_summary(table), "worst_cases": worst_cases(predictions, 20), "head": head, "tail": tail}
+
+
+def publish_run(spark: SparkSession, root: str, name: str, config: Mapping, summary: Mapping, table: DataFrame, predictions: DataFrame, version: int = 2) -> str:
+    """Config snapshot, summary, report and metric tables of a run, its rows on the leaderboard, and the aliases.
+
+    All goes to the session's file system. The run appears whole; then its rows are appended, which no other run's replace;
+    `latest` names it, and `best` if it is better than what `best` names.
+    """
+    tables = metric_tables(table, predictions)
+    texts = {"config_snapshot.json": json.dumps(config, indent=2, default=str), "experiment_summary.json": json.dumps(summary, indent=2, default=str), "report.md": markdown(name, summary, tables)}
+    place = store.publish(spark, root, name, texts, tables)
+    row = {c: summary.get(c) for c in LEADERBOARD} | {"experiment_name": name, "experiment_dir": place}
+    kinds = {c: "double" for c in LEADERBOARD if c.startswith(("rmse", "mae", "bias", "mape"))} | {"version": "int", "encoder_length": "int", "prediction_length": "int"}
+    scores = {r.target_name: r for r in tables["by_target"].collect()} if "by_target" in tables else {}
+    rows = [{**row, "target_name": t, **{c: getattr(r, c) for c in ("rmse", "mae", "bias", "mape")}} for t, r in scores.items()] or [row]
+    cast = {"double": lambda v: None if v is None else float(v), "int": lambda v: None if v is None else int(v), "string": lambda v: None if v is None else str(v)}
+    values = [tuple(cast[kinds.get(c, "string")](r[c]) for c in LEADERBOARD) for r in rows]
+    store.append(spark.createDataFrame(values, ", ".join(f"{c} {kinds.get(c, 'string')}" for c in LEADERBOARD)), f"{root}/leaderboard")
+    before = store.pointed(spark, root, "best")
+    old = store.get_text(spark, f"{root}/{before}/experiment_summary.json") if before else None
+    store.point(spark, root, "latest", name)
+    if better(summary, json.loads(old) if old else None, version):
+        store.point(spark, root, "best", name)
+    return place
+
+
+def boards(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """K7: the leaderboard of all runs under a root, `all`, and one for each target, each in order."""
+    rows = store.appended(spark, f"{root}/leaderboard")
+    if rows is None:
+        return {}
+    board = leaderboard(None, rows)
+    targets = [r[0] for r in rows.select("target_name").where("target_name is not null").distinct().orderBy("target_name").collect()]
+    return {"all": board, **{t: for_target(board, t) for t in targets}}

@@ -491,6 +491,17 @@ def i2_forecast(spark, d):  # noqa: ANN001, ANN201
     return shown(inference.forecast(b, models.make("persistence", None, ["temp"], ["temp"]), INIT, stations(spark, d)))
 
 
+@query(HOURLY + """, i AS (SELECT DISTINCT datetime - INTERVAL 1 MINUTE AS init FROM hourly WHERE hour(datetime) % 6 = 1),
+p AS (SELECT i.init, h.station_id, h.datetime, h.temp, row_number() OVER (PARTITION BY i.init, h.station_id ORDER BY h.datetime DESC) AS no FROM i JOIN hourly h ON h.datetime <= i.init),
+e AS (SELECT init, station_id, arg_max(temp, datetime) AS temp FROM p WHERE no <= 12 GROUP BY 1, 2 HAVING count(*) = 12 AND max(datetime) - min(datetime) = INTERVAL 11 HOUR)
+SELECT station_id, init::TIMESTAMP AS init, (init + INTERVAL 1 HOUR * h)::TIMESTAMP AS "timestamp", 'temp' AS target_name, round(temp, 6) AS prediction FROM e, range(1, 7) r(h)""")
+def i2_forecasts(spark, d):  # noqa: ANN001, ANN201
+    rows = timefns.with_time_features(hourly(spark, d))
+    b = bundle.Bundle(rows, rows, None, ("temp",), ("hour",), (), ("temp",), 12, 6)
+    inits = rows.where(F.hour("datetime") % 6 == 1).select((F.col("datetime").cast("timestamp") - F.expr("INTERVAL 1 MINUTE")).alias("init"))
+    return shown(inference.forecasts(b, models.make("persistence", None, ["temp"], ["temp"]), inits, stations(spark, d)))
+
+
 def _rounded(columns: list[str]) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in columns)
 

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skylattice.operators import gapfill, lags, slabs, windows
+from skylattice.operators import gapfill, lags, models, slabs, windows
+from skylattice.plans import bundle, inference
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -62,3 +63,19 @@ def test_numbers_and_tasks(spark, series):
     long = spark.range(20_000).select(F.lit("x").alias("station_id"), F.timestamp_seconds(F.col("id") * 3600).alias("datetime"), F.when(F.col("id") % 1000 == 0, F.col("id").cast("double")).alias("temp"))
     filled = gapfill.fill_gaps(long, ["temp"], 5000, slab_rows=500)
     assert filled.where("abs(temp - unix_seconds(datetime) / 3600) > 1e-6 and unix_seconds(datetime) / 3600 <= 19000").count() == 0
+
+
+def test_many_start_times_at_once(spark, series):
+    rows = series.where("datetime is not null").withColumn("datetime", F.col("datetime").cast("timestamp"))
+    times = [START + datetime.timedelta(hours=h, minutes=m) for h, m in ((-5, 0), (3, 0), (30, 0), (30, 30), (200, 0), (9000, 0))]
+    got = inference.latest_rows(rows, spark.createDataFrame([(t,) for t in [*times, times[0], None]], "init timestamp"), 5)
+    for t in times:
+        one = inference.history(rows, str(t), 5)
+        assert rows_of(got.where(F.col("init") == F.lit(str(t)).cast("timestamp")).drop("init").select(*one.columns).where("station_id is not null")) == rows_of(one.where("station_id is not null"))
+    st = spark.createDataFrame([("a", "x"), ("c", "y")], "station_id string, region string")
+    b = bundle.Bundle(rows, rows, None, ("obs_temp",), ("obs_temp",), (), ("obs_temp",), 3, 2)
+    model = models.make("persistence", None, ["obs_temp"], ["obs_temp"])
+    for strict in (True, False):
+        many = inference.forecasts(b, model, spark.createDataFrame([(t,) for t in times], "init timestamp"), st, limits=(0.1, 0.9), strict=strict)
+        single = [r for t in times for r in rows_of(inference.forecast(b, model, str(t), st, limits=(0.1, 0.9), strict=strict))]
+        assert sorted(single) == rows_of(many.drop("init").where("station_id is not null")) or sorted(r for r in single if "station_id=None" not in r) == rows_of(many.drop("init").where("station_id is not null"))

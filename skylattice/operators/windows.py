@@ -71,6 +71,57 @@ def sliding(
     )
 
 
+def varying(
+    df: DataFrame,
+    encoder: Sequence[str],
+    decoder: Sequence[str],
+    static: Sequence[str],
+    targets: Sequence[str],
+    longest: int,
+    horizon: int,
+    shortest: int | None = None,
+    first: int | None = None,
+    last_only: bool = False,
+    key: str = "station_id",
+    index: str = "time_idx",
+    order: str = "datetime",
+) -> DataFrame:
+    """Windows with encoders of `shortest` to `longest` rows (`shortest` None: all of `longest`).
+
+    A window predicts from each row that has `horizon` rows from itself on and as many rows before it as the shortest encoder,
+    all one step of `index` apart; its encoder is as long as that and `longest` allow. `first` is the least index that may be
+    predicted from: with rows of earlier splits in `df`, a split's windows reach back into those. `last_only` keeps each
+    key's last window. Shorter encoders are filled up with zeros behind; encoder_length tells how many rows are real. Rows
+    without an index are passed over, of rows that share one the first by `order` counts; nulls in columns stay null.
+    """
+    shortest = longest if shortest is None else shortest
+    if not 0 < shortest <= longest or horizon < 1:
+        raise ValueError("encoders have 1 to `longest` rows, and at least one row is predicted")
+    same = Window.partitionBy(key, index).orderBy(order)
+    rows = df.where(F.col(index).isNotNull()).withColumn("__no", F.row_number().over(same)).where("__no = 1")
+    rows = rows.withColumn("__run", F.col(index) - F.row_number().over(Window.partitionBy(key).orderBy(index)))
+    w = Window.partitionBy(key, "__run").orderBy(index)
+    around = w.rowsBetween(-longest, horizon - 1)
+    before, ahead = F.count("*").over(w.rowsBetween(-longest, -1)), F.count("*").over(w.rowsBetween(0, horizon - 1))
+    found = rows.withColumns({"encoder_length": before.cast("int"), "__ahead": ahead})
+    ok = (F.col("encoder_length") >= shortest) & (F.col("__ahead") == horizon)
+    if first is not None:
+        ok = ok & (F.col(index) >= first)
+    items = F.collect_list(F.struct(order, *dict.fromkeys([*encoder, *decoder, *targets]))).over(around)
+    made = found.withColumn("__rows", F.when(ok, items)).where(F.col("__rows").isNotNull())
+    if last_only:
+        made = made.withColumn("__no", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(index)))).where("__no = 1")
+    n = F.col("encoder_length")
+    past, future = F.slice("__rows", F.lit(1), n), F.slice("__rows", n + 1, F.lit(horizon))
+    arrays = lambda part, names: F.transform(part, lambda x: F.array(*[x[c].cast("double") for c in names]) if names else F.array().cast("array<double>"))
+    zeros = F.array_repeat(F.array_repeat(F.lit(0.0), F.lit(len(encoder))), F.lit(longest) - n)
+    return made.select(
+        key, *[c for c in ("split",) if c in df.columns], F.col(order).alias("prediction_start"), F.col(index).alias("prediction_idx"), "encoder_length",
+        F.concat(arrays(past, encoder), zeros).alias("encoder"), arrays(future, decoder).alias("decoder"),
+        (F.array(*[F.col(c).cast("double") for c in static]) if static else F.array().cast("array<double>")).alias("static"), arrays(future, targets).alias("target"),
+    )
+
+
 def flattened(windows: DataFrame) -> DataFrame:
     """`features`: encoder, decoder, static, end to end."""
     return windows.withColumn("features", F.concat(F.flatten("encoder"), F.flatten("decoder"), "static"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from skylattice.functions.timefns import season
 from skylattice.operators import encode, scaling
 from skylattice.operators.spatial import first_per
-from skylattice.operators.windows import sliding, with_hour_index, with_row_index
+from skylattice.operators.windows import sliding, varying, with_hour_index, with_row_index
 
 
 @dataclass(frozen=True)
@@ -58,6 +58,18 @@ def bundle_v2(table: DataFrame, features: Mapping, window: Mapping, mode: str =
     return Bundle(windows, rows, scaler, tuple(encoder), tuple(decoder), tuple(static), tuple(targets), window["encoder_length"], window["prediction_length"])
 
 
+#: Fixed: splits in the order of their times.
+SPLITS = ("train", "val", "test")
+
+
+def split_windows(bundle: Bundle, split: str, shortest: int | None = None, last_only: bool = False) -> DataFrame:
+    """Windows of one split whose encoders, `shortest` rows or more, may reach into the splits before it; rows need time_idx."""
+    seen = bundle.rows.where(F.col("split").isin(*SPLITS[: SPLITS.index(split) + 1]))
+    first = bundle.rows.where(F.col("split") == split).agg(F.min("time_idx")).first()[0]
+    made = varying(seen, bundle.encoder, bundle.decoder, bundle.static, bundle.targets, bundle.encoder_length, bundle.horizon, shortest, first, last_only)
+    return made.where(F.col("split") == split)
+
+
 def prediction_frame(predicted: DataFrame, targets: Sequence[str], scaler: scaling.Scaler | None, stations: DataFrame) -> DataFrame:
     """One row a window, step and target, in the target's own units.
 
@@ -76,5 +88,5 @@ def prediction_frame(predicted: DataFrame, targets: Sequence[str], scaler: scali
     valid = F.timestamp_micros(F.unix_micros(F.col("prediction_start").cast("timestamp")) + (F.col("horizon_step") - 1) * F.lit(3_600_000_000))
     attributes = [c for c in ("region_class", "region") if c in stations.columns]
     one = first_per(stations, ["station_id"], [F.col(c) for c in attributes] or [F.lit(0)]).select("station_id", *attributes)
-    long = long.withColumn("valid_time", valid).join(F.broadcast(one), "station_id", "left")
+    long = long.withColumn("valid_time", valid).join(one, "station_id", "left")
     return long.withColumns({"season": season(F.month("valid_time")), "target_name": F.regexp_replace("target", "^target_", "")}).drop("target")

@@ -20,7 +20,7 @@ from skylattice.sources.tables import cached_table, read_table
 
 def joined(observations: DataFrame, grid_at_stations: DataFrame, stations: DataFrame) -> DataFrame:
     """Every observation, with the grid's values of its station and hour, and its station's attributes."""
-    return observations.join(grid_at_stations, ["station_id", "datetime"], "left").join(F.broadcast(stations), "station_id", "left")
+    return observations.join(grid_at_stations, ["station_id", "datetime"], "left").join(stations, "station_id", "left")
 
 
 def training_table_v1(observations: DataFrame, grid: DataFrame, stations: DataFrame, ends: Mapping, mode: str = "nearest") -> DataFrame:

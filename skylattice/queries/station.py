@@ -299,6 +299,19 @@ def w11_windows_slabs(spark, d):  # noqa: ANN001, ANN201
     return _window_sums(windows.sliding(t, ["temp"], [], [], ["temp"], 12, 6, slab_rows=40))
 
 
+VARYING = """, k AS (SELECT *, date_diff('hour', (SELECT min(datetime) FROM hourly), datetime) AS idx FROM hourly), r AS (SELECT *, idx - row_number() OVER (PARTITION BY station_id ORDER BY idx) AS run FROM k),
+v AS (SELECT station_id, idx, count(*) OVER p AS n, sum(temp) OVER p AS e, count(*) OVER a AS m, sum(temp) OVER a AS t FROM r
+WINDOW p AS (PARTITION BY station_id, run ORDER BY idx ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY station_id, run ORDER BY idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING))"""
+
+
+@query(HOURLY + VARYING + " SELECT station_id, idx::BIGINT AS prediction_idx, n::BIGINT AS encoder_length, round(e, 6) AS encoder_sum, round(t, 6) AS target_sum FROM v WHERE n >= 3 AND m = 6 AND idx >= 20")
+def d10_varying_windows(spark, d):  # noqa: ANN001, ANN201
+    t = windows.with_hour_index(hourly(spark, d))
+    w = windows.varying(t, ["temp"], [], [], ["temp"], 12, 6, shortest=3, first=20)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x[0])
+    return shown(w.select("station_id", F.col("prediction_idx").cast("long").alias("prediction_idx"), F.col("encoder_length").cast("long").alias("encoder_length"), total("encoder").alias("encoder_sum"), total("target").alias("target_sum")))
+
+
 @query(SCALED + " SELECT station_id, datetime, (row_number() OVER (PARTITION BY station_id ORDER BY datetime) - 1)::BIGINT AS time_idx FROM t")
 def w7_row_index(spark, d):  # noqa: ANN001, ANN201
     return shown(windows.with_row_index(hourly(spark, d)).select("station_id", "datetime", "time_idx"))

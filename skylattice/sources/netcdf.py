@@ -5,12 +5,11 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.operators.spatial import KEYS, outer_on_grid
+from skylattice.operators.spatial import KEYS
 
 #: Fixed: the names that grid variables get.
 NAMES = {"valid_time": "datetime", "time": "datetime", "latitude": "lat", "longitude": "lon", "t2m": "era5_t2m", "sp": "era5_sp", "u10": "era5_u10", "v10": "era5_v10", "tp": "era5_tp"}
@@ -50,8 +49,3 @@ def read_netcdf(spark: SparkSession, path: str) -> DataFrame:
     found = files.mapInPandas(rows, fields + ", member int")
     # Members hold different values of one grid: the first that is there, by member.
     return found.groupBy(*KEYS).agg(*[F.min(F.when(F.col(v).isNotNull(), F.struct("member", F.col(v).alias("v"))))["v"].alias(v) for v in VALUES])
-
-
-def joined_members(parts: list[DataFrame]) -> DataFrame:
-    """Members read apart, as one grid."""
-    return reduce(outer_on_grid, parts).orderBy(*KEYS)

@@ -1,10 +1,9 @@
-"""Reading and writing tables by suffix."""
+"""Reading and writing tables by suffix."""
 
 from __future__ import annotations
 
 import json
 import shutil
-import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
@@ -77,8 +76,3 @@ def local_copy(source: str, target: str) -> str:
     Path(target).parent.mkdir(parents=True, exist_ok=True)
     shutil.copyfile(source, target)
     return target
-
-
-def is_zip(path: str) -> bool:
-    """By the first bytes, whatever the name says."""
-    return zipfile.is_zipfile(path)

@@ -138,3 +138,16 @@ def test_listed_feeds_and_what_is_missing(spark, files):
     both = {"paths": {}, "data": {"observations": {"sources": listed * 2, "merge_strategy": "mean"}}}
     with pytest.raises(ValueError, match="merge strategy"):
         observations.observations_of(spark, both)
+
+
+def test_credentials(tmp_path, monkeypatch):
+    from skylattice import config
+
+    place = tmp_path / ".env"
+    place.write_text("# A=1\n\nB = two words \nC=x=y\nB=again\nno line\nD=\n")
+    assert config.secrets(place) == {"B": "two words", "C": "x=y", "D": ""} and config.secrets(tmp_path / "none") == {}
+    monkeypatch.setenv("C", "from outside")
+    assert (config.secret("B", place), config.secret("C", place)) == ("two words", "from outside")
+    for name in ("D", "E"):
+        with pytest.raises(ValueError, match=name):
+            config.secret(name, place)

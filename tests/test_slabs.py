@@ -79,3 +79,38 @@ def test_many_start_times_at_once(spark, series):
         many = inference.forecasts(b, model, spark.createDataFrame([(t,) for t in times], "init timestamp"), st, limits=(0.1, 0.9), strict=strict)
         single = [r for t in times for r in rows_of(inference.forecast(b, model, str(t), st, limits=(0.1, 0.9), strict=strict))]
         assert sorted(single) == rows_of(many.drop("init").where("station_id is not null")) or sorted(r for r in single if "station_id=None" not in r) == rows_of(many.drop("init").where("station_id is not null"))
+
+
+@pytest.mark.parametrize(("shortest", "longest", "horizon", "first", "last_only"), [(None, 4, 2, None, False), (1, 5, 3, None, False), (2, 4, 1, 30, False), (1, 6, 2, None, True)])
+def test_varying_windows_by_brute_force(spark, shortest, longest, horizon, first, last_only):
+    rng = random.Random(longest)
+    rows = [(s, i, START + datetime.timedelta(hours=i), float(i), "train" if i < 25 else "val") for s in "ab" for i in range(60) if rng.random() < 0.85]
+    rows += [("a", None, START, -1.0, "train"), ("c", 1, START, 1.0, "val")]
+    df = spark.createDataFrame(rows, "station_id string, time_idx long, datetime timestamp, v double, split string")
+    want = []
+    for s in "abc":
+        have = {i: v for k, i, _, v, _ in rows if k == s and i is not None}
+        found = []
+        for p in have:
+            n = 0
+            while n < longest and p - n - 1 in have:
+                n += 1
+            if n >= (shortest or longest) and all(p + h in have for h in range(horizon)) and (first is None or p >= first):
+                encoder = [[have[p - n + i], 1.0] for i in range(n)] + [[0.0, 0.0]] * (longest - n)
+                found.append((s, p, n, encoder, [[have[p + h]] for h in range(horizon)]))
+        want += [max(found, key=lambda x: x[1])] if last_only and found else [] if last_only else found
+    got = windows.varying(df.withColumn("one", F.lit(1)), ["v", "one"], ["v"], [], ["v"], longest, horizon, shortest, first, last_only)
+    assert sorted((r.station_id, r.prediction_idx, r.encoder_length, r.encoder, r.target) for r in got.collect()) == sorted(want)
+    with pytest.raises(ValueError, match="encoders"):
+        windows.varying(df, ["v"], [], [], ["v"], 2, 1, shortest=3)
+
+
+def test_split_windows_reach_back(spark):
+    """Six rows back and three ahead over 30 hourly rows a station: the splits' windows, with and without shorter encoders."""
+    rows = [(s, i, START + datetime.timedelta(hours=i), float(i), "train" if i < 15 else "val" if i < 22 else "test") for s in "ab" for i in range(30)]
+    df = spark.createDataFrame(rows, "station_id string, time_idx long, datetime timestamp, v double, split string")
+    b = bundle.Bundle(df, df, None, ("v",), (), (), ("v",), 6, 3)
+    assert [bundle.split_windows(b, x).count() for x in bundle.SPLITS] == [2 * (15 - 8), 2 * (7 - 2), 2 * (8 - 2)]
+    assert bundle.split_windows(b, "train", shortest=1).count() == 2 * (15 - 3)
+    last = bundle.split_windows(b, "test", last_only=True).collect()
+    assert sorted((r.station_id, r.prediction_idx, r.encoder_length) for r in last) == [("a", 27, 6), ("b", 27, 6)]

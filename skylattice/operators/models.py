@@ -80,6 +80,8 @@ class Ridge:
         return cls(np.array(d["weights"]), np.array(d["bias"]), d["horizon"])
 
 
+#: Values of a tile: sums travel, and are added, in tiles.
+TILE = 8192
 #: Columns of a block of the normal equations, and bytes of them that a task holds in one pass over the windows.
 BLOCK, HELD = 256, 32 << 20
 #: Bytes of normal equations that are solved on the driver. Wider ones stay where they are and are solved by products with them.
@@ -134,7 +136,7 @@ def normal_blocks(flat: DataFrame, n: int, m: int) -> DataFrame:
                         part = z[:, starts[i] : ends[i]].T @ z[:, starts[j] : ends[j]]
                         held[i, j] = held[i, j] + part if (i, j) in held else part
             for (i, j), part in held.items():
-                step = max(1, 8192 // part.shape[1])
+                step = max(1, TILE // part.shape[1])
                 for r in range(0, len(part), step):
                     row = [i, j, r, part[r : r + step].ravel()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [*[pa.int32()] * 3, pa.list_(pa.float64())], strict=True)], names=["i", "j", "r", "part"])
@@ -189,8 +191,8 @@ def products(blocks: DataFrame, n: int, m: int, by: np.ndarray | None) -> np.nda
                     if i.as_py() != j.as_py():
                         out[c : c + wide] += part.T @ v[a : a + len(part)]
         if out is not None:
-            at = range(0, out.size, 8192)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([out.ravel()[k : k + 8192] for k in at], pa.list_(pa.float64()))], names=["tile", "part"])
+            at = range(0, out.size, TILE)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array([out.ravel()[k : k + TILE] for k in at], pa.list_(pa.float64()))], names=["tile", "part"])
 
     sums = blocks.mapInArrow(run, "tile long, part array<double>").groupBy("tile").agg(Summarizer.sum(array_to_vector("part")).alias("part"))
     out = np.concatenate([r.part.toArray() for r in sums.orderBy("tile").collect()]).reshape(size)

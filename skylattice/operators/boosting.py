@@ -10,7 +10,6 @@ tree has its leaves.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .durable import cut
 from .network import complete, matrix
 from .windows import flattened
 
@@ -309,17 +309,6 @@ def scored(state: DataFrame, trees: dict[int, dict], edges: list[np.ndarray], ou
     return state.mapInArrow(run, STATE)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut from its lineage in the folder that executors share; where none is set, a local one in local mode, else an error."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="shared-"))
-    return df.checkpoint()
-
-
 def fit_leaves(
     windows: DataFrame,
     trees: int = 100,

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .boosting import Trees, cut, fit_leaves
+from .boosting import Trees, fit_leaves
+from .durable import cut
 from .network import Network, fit_network, settings_of
 from .windows import flattened, persistence
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skylattice.functions.timefns import align
 from skylattice.schema import require
 
+from .durable import cut
+
 KEYS = ["datetime", "lat", "lon"]
 
 
@@ -28,11 +30,11 @@ def at_stations(grid: DataFrame, stations: DataFrame, mode: str = "nearest") ->
     values = [c for c in grid.columns if c not in KEYS]
     points = stations.select(F.col("station_id").cast("string").alias("station_id"), F.col("lat").cast("double").alias("s_lat"), F.col("lon").cast("double").alias("s_lon"))
     points = points.where("s_lat is not null and s_lon is not null")
-    times = lattices(grid)
+    times = cut(lattices(grid))  # the grid is read for this, for the lattices' points, and for its values: three times
     n_stations, (n_times, n_lattices) = _up_to_limit(points), times.agg(F.count("*"), F.count_distinct("lattice")).first()
     points = _dimension(points, n_stations)
     first = times.groupBy("lattice").agg(F.min("datetime").alias("datetime"))
-    lattice = grid.select(*KEYS).join(first, "datetime").select("lattice", "lat", "lon").distinct()
+    lattice = cut(grid.select(*KEYS).join(first, "datetime").select("lattice", "lat", "lon").distinct())
     places = _nearest(lattice, points)
     if mode == "bilinear":
         places = places.unionByName(_corners(lattice, points))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import add_columns, cut, dropped, small_batches, text_of, written
-from .links import linked
+from .links import components, linked
 
 #: Slots of a fingerprint, emitted characters each covers, and the seed of walks and samples.
 SLOTS, SPAN, SEED = 128, 4, 11
@@ -279,6 +279,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 #: Slots of a band, and the least share of equal slots of near texts.
 BAND, NEAR = 3, 0.5
 BANDS = SLOTS // BAND
+#: Bands whose buckets are looked up at once.
+PASS = 7
+#: Hexadecimal columns, which are moved as the bytes they stand for.
+HEXED = ("edited_sha256", "fingerprint", "edited_fingerprint")
 
 
 def _alike(prints: list[np.ndarray], side: np.ndarray | None, label: np.ndarray | None) -> list[tuple[int, int]]:
@@ -311,11 +315,15 @@ def classed(prints: DataFrame) -> DataFrame:
     Texts whose fingerprints agree in at least NEAR of their slots are in one class. Bands of BAND slots,
     which sample the embedded strings at the same places, make the candidates: a pair at the threshold
     shares none of the 42 bands, and is missed, with probability (1 - 0.5^3)^42, about 4 in 1,000, and one
-    at 0.7 with 4 in 100 million. Every pair of a band is verified on whole fingerprints. Equal
-    fingerprints are one node from the start, however many; empty texts link to no other text. Null ids
-    are kept, in a class whose least id is null only if all its ids are; an empty table gives no row.
+    at 0.7 with 4 in 100 million. Every pair of a band is verified on whole fingerprints, or in one class
+    already: the first PASS bands are linked first, and of the others only the buckets that still hold
+    several classes. Buckets are looked up PASS bands at a time, so that what lies in shuffle files doesn't
+    grow with the bands. Equal fingerprints are one node from the start, however many; empty texts link to
+    no other text. Null ids are kept, in a class whose least id is null only if all its ids are; an empty
+    table gives no row.
     """
-    rows = prints.withColumn("__node", F.xxhash64(F.col("n_chars") > 0, "fingerprint"))
+    packed = [c for c in HEXED if c in prints.columns]
+    rows = prints.withColumns({c: F.unhex(c) for c in packed}).withColumn("__node", F.xxhash64(F.col("n_chars") > 0, "fingerprint"))
     nodes = rows.groupBy(F.col("__node").alias("node")).agg(F.min("doc_id").alias("first"), F.max("n_chars").alias("n"), F.any_value("fingerprint").alias("text"))
     nodes = written(nodes, "nodes", free=True)
     scratch = [nodes]
@@ -324,18 +332,32 @@ def classed(prints: DataFrame) -> DataFrame:
         scratch.append(written(df, "links", free=True))
         return scratch[-1]
 
-    digits = 4 * BAND
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substr("text", i * digits + 1, F.lit(digits))))
-    labels = linked(
-        nodes.where("n > 0").select("node", bands.alias("keys"), F.lit(1).cast("long").alias("size")),
-        lambda places: kept(nodes.select("node", F.unhex("text").alias("text")).join(places, "node")),
-        lambda x: np.frombuffer(x, np.uint16),
-        _alike,
-        kept,
-    )
+    full = nodes.where("n > 0").select("node", "text")
+    width = 2 * BAND
+    bands = [F.xxhash64(F.lit(i), F.substring("text", i * width + 1, width)) for i in range(BANDS)]
+
+    def joined(shared: DataFrame) -> DataFrame:
+        members = shared.select("node", F.array("bucket").alias("keys"), F.lit(1).cast("long").alias("size"))
+        return linked(members, lambda places: full.join(places, "node"), lambda x: np.frombuffer(x, np.uint16), _alike, kept)
+
+    labels = joined(kept(_mixed_buckets(full, bands[:PASS], None)))
+    rest = [kept(_mixed_buckets(full, bands[i : i + PASS], labels)) for i in range(PASS, BANDS, PASS)]
+    more = joined(functools.reduce(DataFrame.unionByName, rest))
+    labels = components(labels.unionByName(more).toDF("a", "b"))
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = named.groupBy("label").agg(F.min("first").alias("class_id"))
     named = cut(named.join(heads, "label").select(F.col("node").alias("__node"), "class_id"))
     for x in scratch:
         dropped(x)
-    return rows.join(named, "__node").drop("__node")
+    return rows.join(named, "__node").drop("__node").withColumns({c: F.lower(F.hex(c)) for c in packed})
+
+
+def _mixed_buckets(nodes: DataFrame, bands: list[Column], labels: DataFrame | None) -> DataFrame:
+    """(node, bucket) of the members of buckets that hold nodes of several classes; without `labels` each node is one."""
+    keyed = nodes.select("node", F.array(*bands).alias("keys"))
+    if labels is not None:
+        keyed = keyed.join(labels, "node", "left")
+    label = F.coalesce("label", "node") if labels is not None else F.col("node")
+    member = keyed.select("node", label.alias("label"), F.explode("keys").alias("bucket"))
+    mixed = member.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    return member.join(mixed.select("bucket"), "bucket").select("node", "bucket")

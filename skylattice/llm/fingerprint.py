@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import add_columns, cut, dropped, small_batches, text_of, written
-from .links import components, linked
+from .links import linked
 
 #: Slots of a fingerprint, emitted characters each covers, and the seed of walks and samples.
 SLOTS, SPAN, SEED = 128, 4, 11
@@ -280,7 +280,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 BAND, NEAR = 3, 0.5
 BANDS = SLOTS // BAND
 #: Bands whose buckets are looked up at once.
-PASS = 7
+PASS = 14
 #: Hexadecimal columns, which are moved as the bytes they stand for.
 HEXED = ("edited_sha256", "fingerprint", "edited_fingerprint")
 
@@ -316,9 +316,9 @@ def classed(prints: DataFrame) -> DataFrame:
     which sample the embedded strings at the same places, make the candidates: a pair at the threshold
     shares none of the 42 bands, and is missed, with probability (1 - 0.5^3)^42, about 4 in 1,000, and one
     at 0.7 with 4 in 100 million. Every pair of a band is verified on whole fingerprints, or in one class
-    already: the first PASS bands are linked first, and of the others only the buckets that still hold
-    several classes. Buckets are looked up PASS bands at a time, so that what lies in shuffle files doesn't
-    grow with the bands. Equal fingerprints are one node from the start, however many; empty texts link to
+    already: the blocks of the first PASS bands are linked first, and then, of all bands, the buckets that
+    still hold several classes. Buckets are looked up PASS bands at a time, so that what lies in shuffle
+    files doesn't grow with the bands. Equal fingerprints are one node from the start, however many; empty texts link to
     no other text. Null ids are kept, in a class whose least id is null only if all its ids are; an empty
     table gives no row.
     """
@@ -336,14 +336,13 @@ def classed(prints: DataFrame) -> DataFrame:
     width = 2 * BAND
     bands = [F.xxhash64(F.lit(i), F.substring("text", i * width + 1, width)) for i in range(BANDS)]
 
-    def joined(shared: DataFrame) -> DataFrame:
+    def joined(shared: DataFrame, **how: object) -> DataFrame:
         members = shared.select("node", F.array("bucket").alias("keys"), F.lit(1).cast("long").alias("size"))
-        return linked(members, lambda places: full.join(places, "node"), lambda x: np.frombuffer(x, np.uint16), _alike, kept)
+        return linked(members, lambda places: full.join(places, "node"), lambda x: np.frombuffer(x, np.uint16), _alike, kept, **how)
 
-    labels = joined(kept(_mixed_buckets(full, bands[:PASS], None)))
-    rest = [kept(_mixed_buckets(full, bands[i : i + PASS], labels)) for i in range(PASS, BANDS, PASS)]
-    more = joined(functools.reduce(DataFrame.unionByName, rest))
-    labels = components(labels.unionByName(more).toDF("a", "b"))
+    labels = joined(kept(_mixed_buckets(full, bands[:PASS], None)), across=False)
+    found = [kept(_mixed_buckets(full, bands[i : i + PASS], labels)) for i in range(0, BANDS, PASS)]
+    labels = joined(functools.reduce(DataFrame.unionByName, found), start=labels)
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = named.groupBy("label").agg(F.min("first").alias("class_id"))
     named = cut(named.join(heads, "label").select(F.col("node").alias("__node"), "class_id"))

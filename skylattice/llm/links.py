@@ -62,14 +62,19 @@ def _blocks(n: Column, size: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(size / BLOCK_SIZE)).cast("int")
 
 
-def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], bag: Callable, decide: Decide, kept: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def linked(
+    nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], bag: Callable, decide: Decide, kept: Callable[[DataFrame], DataFrame] = cut,
+    start: DataFrame | None = None, across: bool = True,
+) -> DataFrame:
     """(node, label) of the nodes that links join.
 
     `nodes` is (node, keys, size), one row a node, where `keys` names its buckets, a bounded number.
     `texts_of` gives (node, text, places) for a table of (node, places), each node once or more. Any two
     texts that meet in some bucket have been compared by `decide` on what `bag` makes of them, or were
     in one class already, so the classes are those of all links within buckets. `kept` materialises the
-    table of buckets.
+    table of buckets. `start` is (node, label) of classes known before, which the result contains. Without
+    `across`, texts of different blocks of a bucket aren't compared, for a caller who looks again at
+    the buckets that stay mixed.
     """
     member = nodes.select("node", "size", F.explode("keys").alias("bucket"))
     content = [F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y")]
@@ -82,9 +87,11 @@ def linked(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], bag: Ca
     texts = texts_of(held)
     placed = texts.select("node", "text", F.lit(0).cast("long").alias("label"), F.lit(0).alias("side"), F.inline("places"))
     edges = cut(_decided(placed, bag, decide, False))
+    if start is not None:
+        edges = edges.unionByName(start.select(F.col("label").alias("a"), F.col("node").alias("b")))
     labels = components(edges)
     large = buckets.where("k > 1")
-    if large.isEmpty():
+    if not across or large.isEmpty():
         return labels
     now = member.join(large.select("bucket"), "bucket").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     tiles = _tiles(cut(now))

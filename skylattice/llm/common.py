@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -48,6 +49,17 @@ def cut(df: DataFrame) -> DataFrame:
 FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Actions inside, checkpoints too, delete their shuffle files when they end."""
+    before = spark.conf.get(FREE, "false")
+    spark.conf.set(FREE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE, before)
+
+
 def written(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Materialise as compressed Parquet in the shared folder; `free` deletes the shuffle files that made it at once."""
     spark = df.sparkSession

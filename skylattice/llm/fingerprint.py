@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import add_columns, cut, dropped, small_batches, text_of, written
+from .common import add_columns, cut, dropped, freeing, small_batches, text_of, written
 from .links import linked
 
 #: Slots of a fingerprint, emitted characters each covers, and the seed of walks and samples.
@@ -340,12 +340,13 @@ def classed(prints: DataFrame) -> DataFrame:
         members = shared.select("node", F.array("bucket").alias("keys"), F.lit(1).cast("long").alias("size"))
         return linked(members, lambda places: full.join(places, "node"), lambda x: np.frombuffer(x, np.uint16), _alike, kept, **how)
 
-    labels = joined(kept(_mixed_buckets(full, bands[:PASS], None)), across=False)
-    found = [kept(_mixed_buckets(full, bands[i : i + PASS], labels)) for i in range(0, BANDS, PASS)]
-    labels = joined(functools.reduce(DataFrame.unionByName, found), start=labels)
-    named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = named.groupBy("label").agg(F.min("first").alias("class_id"))
-    named = cut(named.join(heads, "label").select(F.col("node").alias("__node"), "class_id"))
+    with freeing(prints.sparkSession):
+        labels = joined(kept(_mixed_buckets(full, bands[:PASS], None)), across=False)
+        found = [kept(_mixed_buckets(full, bands[i : i + PASS], labels)) for i in range(0, BANDS, PASS)]
+        labels = joined(functools.reduce(DataFrame.unionByName, found), start=labels)
+        named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        heads = named.groupBy("label").agg(F.min("first").alias("class_id"))
+        named = cut(named.join(heads, "label").select(F.col("node").alias("__node"), "class_id"))
     for x in scratch:
         dropped(x)
     return rows.join(named, "__node").drop("__node").withColumns({c: F.lower(F.hex(c)) for c in packed})

@@ -221,8 +221,8 @@ def counted(state: DataFrame, routes: dict[int, list], nodes: dict[int, list[int
     return parts.groupBy("output", "node", "block").agg(vector_to_array(Summarizer.sum(array_to_vector("part"))).alias("part"))
 
 
-def best_splits(sums: DataFrame, bins: int, least_rows: int, penalty: float) -> DataFrame:
-    """output, node, gain, feature, bin, n, g (on the left), rows, total: each node's best split, the first feature and bin of equal ones; gain is null where none is allowed."""
+def best_splits(sums: DataFrame, bins: int, least_rows: int, penalty: float, least_gain: float = 0.0) -> DataFrame:
+    """output, node, gain, feature, bin, n, g (on the left), rows, total: each node's best split, the first feature and bin of equal ones; gain is null where none is allowed or all gain no more than `least_gain`."""
     names = {"output": pa.int32(), "node": pa.int32(), "gain": pa.float64(), "feature": pa.int32(), "bin": pa.int32(), "n": pa.float64(), "g": pa.float64(), "rows": pa.float64(), "total": pa.float64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def best_splits(sums: DataFrame, bins: int, least_rows: int, penalty: float) ->
                 with np.errstate(divide="ignore", invalid="ignore"):
                     gain = np.where(allowed, left_g**2 / (left_n + penalty) + right_g**2 / (right_n + penalty) - total**2 / (rows + penalty), -np.inf)
                 k = int(gain.argmax()) if gain.size else -1
-                if k >= 0 and gain.flat[k] > 0:
+                if k >= 0 and gain.flat[k] > least_gain:
                     out.append((o, node, gain.flat[k], block * BLOCK + k // (bins - 1), k % (bins - 1), left_n.flat[k], left_g.flat[k], rows, total))
                 else:
                     out.append((o, node, None, None, None, None, None, rows, total))
@@ -250,7 +250,7 @@ def best_splits(sums: DataFrame, bins: int, least_rows: int, penalty: float) ->
     return found.groupBy("output", "node").agg(F.max(first).alias("x")).select("output", "node", "x.gain", (-F.col("x.f")).alias("feature"), (-F.col("x.b")).alias("bin"), "x.n", "x.g", "x.rows", "x.total")
 
 
-def grow(state: DataFrame, wanted: Sequence[int], features: int, bins: int, outputs: int, leaves: int, least_rows: int, penalty: float) -> dict[int, Growing]:
+def grow(state: DataFrame, wanted: Sequence[int], features: int, bins: int, outputs: int, leaves: int, least_rows: int, penalty: float, least_gain: float = 0.0) -> dict[int, Growing]:
     """The next tree of each wanted output."""
     trees = {o: Growing() for o in wanted}
     held: list[DataFrame] = []
@@ -267,7 +267,7 @@ def grow(state: DataFrame, wanted: Sequence[int], features: int, bins: int, outp
             each = F.explode(F.array(F.struct("node", "part"), F.struct(F.col("sibling").alias("node"), less.alias("part"))))
             sums = both.select("output", "block", each.alias("x")).select("output", "x.node", "block", "x.part")
         held.append(cut(sums.select("output", "node", "block", "part")))  # short lineage: what hangs on a pass is read again by the next
-        for r in best_splits(held[-1], bins, least_rows, penalty).collect():
+        for r in best_splits(held[-1], bins, least_rows, penalty, least_gain).collect():
             t = trees[r.output]
             if r.node == 0:
                 t.rows[0], t.sum[0] = r.rows, r.total
@@ -317,13 +317,15 @@ def fit_leaves(
     bins: int = 63,
     least_rows: int = 20,
     penalty: float = 0.0,
+    least_gain: float = 0.0,
     edges: Sequence[Sequence[float]] | None = None,
     start: Trees | None = None,
 ) -> Trees:
     """Boosted trees of up to `leaves` leaves, `trees` for each step and target; least squares.
 
     Windows with a null value are passed over. Features are cut into `bins` bins (at most 256) by quantiles, or at `edges`, a
-    list for each feature. `least_rows` is what a leaf must hold, `penalty` what is added to its rows. Of equal splits the
+    list for each feature. `least_rows` is what a leaf must hold, `penalty` what is added to its rows; a split must
+    gain more than `least_gain`. Of equal splits the
     first feature and lowest border win. `start` (M9) is a saved model to which trees are added. No subset of rows or
     features is drawn. What one task holds in a pass is bounded by taking outputs in groups.
     """
@@ -354,7 +356,7 @@ def fit_leaves(
         for number in range(trees):
             made = {}
             for k in range(0, outputs, group):
-                grown = grow(states[-1], range(k, min(k + group, outputs)), shape.n, bins, outputs, leaves, least_rows, penalty)
+                grown = grow(states[-1], range(k, min(k + group, outputs)), shape.n, bins, outputs, leaves, least_rows, penalty, least_gain)
                 made.update({o: t.tree(edges, rate, penalty) for o, t in grown.items()})
             for o, t in made.items():
                 done[o].append(t)

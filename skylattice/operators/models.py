@@ -280,12 +280,12 @@ REGISTRY: dict[str, Callable] = {
 ALIASES = {"lightgbm": "boosted_leaves", "tft": "network"}
 BACKENDS = {"auto", "pytorch_forecasting", "fallback_torch"}
 #: Fixed: names that configs give settings of the boosted trees, and what they mean here.
-LEAF_SETTINGS = {"n_estimators": "trees", "num_leaves": "leaves", "learning_rate": "rate", "max_bin": "bins", "min_child_samples": "least_rows", "reg_lambda": "penalty"}
+LEAF_SETTINGS = {"n_estimators": "trees", "num_leaves": "leaves", "learning_rate": "rate", "max_bin": "bins", "min_child_samples": "least_rows", "reg_lambda": "penalty", "min_split_gain": "least_gain"}
 
 
 def leaf_settings(settings: dict) -> dict:
     """The keywords of `fit_leaves` among a model's settings, by either name; those under `params` count as well."""
-    kinds = {"trees": int, "leaves": int, "rate": float, "bins": int, "least_rows": int, "penalty": float}
+    kinds = {"trees": int, "leaves": int, "rate": float, "bins": int, "least_rows": int, "penalty": float, "least_gain": float}
     named = {LEAF_SETTINGS.get(k, k): v for k, v in {**settings, **settings.get("params", {})}.items()}
     return {k: kind(named[k]) for k, kind in kinds.items() if k in named} | ({"edges": settings["edges"]} if "edges" in settings else {})
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .durable import cut
+from .durable import cut, dealt
 from .network import complete, matrix
 from .windows import flattened
 
@@ -329,12 +329,13 @@ def fit_leaves(
     first feature and lowest border win. `start` (M9) is a saved model to which trees are added. No subset of rows or
     features is drawn. What one task holds in a pass is bounded by taking outputs in groups.
     """
-    rows = complete(windows, 1, 0).select("features", "y", "h").persist()
+    rows = complete(windows, 1, 0).select("features", "y", "h")
     states: list[DataFrame] = []  # since the last cut
     try:
         shape = rows.select(F.size("features").alias("n"), F.size("y").alias("m"), "h").first()
         if shape is None:
             raise ValueError("no training windows")
+        rows = dealt(rows, shape.n)
         edges = [np.asarray(e, np.float64) for e in edges] if edges is not None else borders(rows, bins)
         bins = max(len(e) for e in edges) + 1
         if bins > 256:
@@ -371,7 +372,7 @@ def fit_leaves(
                     states = [after]
         return Trees(tuple(map(tuple, done)), tuple(mean), shape.h)
     finally:
-        for x in [rows, *states]:
+        for x in states:
             x.unpersist()
 
 

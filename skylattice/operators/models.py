@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, fit_leaves
-from .durable import cut
+from .durable import cut, dealt
 from .network import Network, fit_network, settings_of
 from .windows import flattened, persistence
 
@@ -256,15 +256,13 @@ def fit_boosted(windows: DataFrame, trees: int = 100, depth: int = 4, rate: floa
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor
 
-    df = flattened(windows).select(array_to_vector("features").alias("features"), F.flatten("target").alias("y"), F.size("target").alias("h")).persist()
-    try:
-        head = df.select(F.size("y"), "h").first()
-        if head is None:
-            raise ValueError("no training windows")
-        models = [GBTRegressor(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(df.select("features", F.col("y")[i].alias("label"))) for i in range(head[0])]
-        return Boosted(models, head[1])
-    finally:
-        df.unpersist()
+    rows = flattened(windows).select(array_to_vector("features").alias("features"), F.flatten("target").alias("y"), F.size("target").alias("h"), F.size("features").alias("n"))
+    head = rows.select(F.size("y"), "h", "n").first()
+    if head is None:
+        raise ValueError("no training windows")
+    df = dealt(rows, head[2])
+    models = [GBTRegressor(labelCol="label", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed).fit(df.select("features", F.col("y")[i].alias("label"))) for i in range(head[0])]
+    return Boosted(models, head[1])
 
 
 #: M7: model type -> how it is made from training windows, settings and column names.

@@ -361,10 +361,17 @@ def decode(df: DataFrame, column: str = "token_ids", keep: list[str] | None = No
 
 def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: what `encode` and then `decode` give."""
-    ids = encode(docs.select("doc_id", text_col), text_col, ["doc_id"], path)
-    ids = ids.select("doc_id", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256"))
-    back = decode(ids, "token_ids", ["doc_id", "n_tokens", "ids_sha256"], path)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    file = vocabulary_file(docs.sparkSession, path)
+    new = T.StructType([T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(texts: list) -> tuple:  # one worker a task does both, so that a task holds the vocabulary once
+        v = vocabulary(file.value)
+        ids = [v.encode(x or "") for x in texts]
+        return lists_of(ids), [v.decode(x) for x in ids]
+
+    both = add_columns(docs.select("doc_id", text_col), text_col, new, run, ["doc_id"])
+    ids_sha256 = F.sha2(F.array_join("token_ids", " "), 256).alias("ids_sha256")
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), ids_sha256, F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def tokens(texts: Iterator[str], path: str) -> Iterator[list[int]]:

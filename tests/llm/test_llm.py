@@ -726,3 +726,9 @@ def test_pipeline_is_its_stages_by_brute_force(spark, tokenizer):
     for r in out:
         assert r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids[r.doc_id])).encode()).hexdigest()
     assert max(Counter(r.doc_id for r in out).values()) <= 2
+
+
+def test_digests_take_one_worker_a_task(docs):
+    """Encoding and decoding are one pass, so a task holds the vocabulary and its remembered words once."""
+    plan = bpe.digests(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1

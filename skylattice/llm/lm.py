@@ -1,12 +1,19 @@
 """LM scoring by a hierarchical Pitman-Yor bigram model, trained and applied without a broadcast model.
 
 Texts become chunks of local word numbers, written once. Words are counted and numbered over all of them
-first: their shares are the parent's probabilities when contexts are seated. Each chunk sends the bigrams it holds,
-whether to learn from or to score, to the bucket of their context; there the context's restaurant is
+first: their shares are the parent's probabilities when contexts are seated first. Each chunk sends the bigrams it
+holds, whether to learn from or to score, to the bucket of their context; there the context's restaurant is
 seated by Gibbs, and what each bigram's customers and each context's tables weigh goes back to the
 chunk. The tables a word has in all contexts are its customers in the restaurant that all contexts share
 as parent; words are dealt the same way. A chunk then has all it needs to add up its texts.
 
+With `burn` the sweeps are a Markov chain over both levels, whose law is the exact posterior of all tables. Given a gamma
+variable of shape strength / d + tables, a restaurant's dishes are independent of one another: a sweep draws it from
+the tables of the sweep before, then all dishes. Given the parent's probabilities contexts are independent, too; so
+these are drawn as well (the parent is a normalised stable process: each word weighs a gamma variable for its customers
+and a tempered stable one for the shared base), go to the contexts, and the contexts' tables come back as customers.
+Between sweeps a context keeps its number of tables alone, so only words with a dish of several customers travel.
+
 Draws come from hashes of what they decide, and all that a restaurant needs besides its own customers
 are sums over the corpus, so scores don't depend on chunks, buckets or partitions.
 """
@@ -28,7 +35,9 @@ from .bagminhash import U64, mixed, uniform
 from .common import bucketed, dropped, small_batches, text_of, written
 
 #: Characters of text in a chunk, tokens a bucket is meant for, and Gibbs sweeps that are averaged.
-CHUNK_CHARS, BUCKET_TOKENS, SWEEPS = 8 << 20, 2 << 20, 3
+CHUNK_CHARS, BUCKET_TOKENS, SWEEPS = 8 << 20, 1 << 20, 3
+#: Sweeps of the chain before those that are averaged.
+BURN = 1
 #: Customers of a dish up to which the weights of its numbers of tables come from their recursion.
 EXACT = 512
 STRENGTH, DISCOUNT = 1.0, 0.75
@@ -227,26 +236,25 @@ def _at_saddle(c: int, t: np.ndarray) -> np.ndarray:
     return t * np.log(f) - c * np.log(x) - 0.5 * np.log(2 * np.pi * spread)
 
 
-def _law(c: int, t: np.ndarray, rest: float, share: float) -> np.ndarray:
-    start = STRENGTH / DISCOUNT + rest
-    return _ways_of_many(c, t) + log_gamma(start + t) + t * np.log(share * DISCOUNT)
-
+def _drawn_of_many(c: int, weight: Callable[[np.ndarray], np.ndarray], u: np.ndarray) -> np.ndarray:
+    """Tables of a dish of many customers, for each of the uniform numbers `u`: the law where it isn't negligible.
 
-def _drawn_of_many(c: int, rest: float, share: float, u: np.ndarray) -> np.ndarray:
-    """Tables of a dish of many customers, for each of the uniform numbers `u`: the law where it isn't negligible."""
+    `weight`: log of what t tables weigh beside their Stirling number.
+    """
+    law_of = lambda t: _ways_of_many(c, t) + weight(t)
     grid = np.unique(np.rint(np.geomspace(1, c - 1, 256)))
-    law = _law(c, grid, rest, share)
+    law = law_of(grid)
     near = np.flatnonzero(law > law.max() - 40)
     t = np.arange(grid[max(near[0] - 1, 0)], grid[min(near[-1] + 1, len(grid) - 1)] + 1)
-    law = _law(c, t, rest, share)
+    law = law_of(t)
     total = np.cumsum(np.exp(law - law.max()))
     return t[np.minimum(np.searchsorted(total, u * total[-1]), len(t) - 1)].astype(np.int64)
 
 
 def seated(count: np.ndarray, others: np.ndarray, share: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Tables of each dish, summed over SWEEPS Gibbs sweeps; every customer is seated.
+    """Tables of each dish at the first seating, summed over SWEEPS independent draws; every customer is seated. No chain: see `chained`.
 
-    A sweep takes all customers of a dish out and seats them again, given `others`, the restaurant's tables
+    A draw takes all customers of a dish out and seats them again, given `others`, the restaurant's tables
     of other dishes: t tables have probability in proportion to S(c, t) times the weights with which they
     were opened, (strength + d * (others + i)) * share for i = 1 .. t - 1. Up to EXACT customers S is made
     by its recursion, beyond it is an integral (`_ways_of_many`).
@@ -262,7 +270,8 @@ def seated(count: np.ndarray, others: np.ndarray, share: np.ndarray, key: np.nda
     for c, i, j in zip(values.tolist(), first, [*first[1:], len(order)], strict=True):
         if c > EXACT:
             for k in order[i:j].tolist():
-                out[k] = _drawn_of_many(c, float(others[k]), float(share[k]), u[:, k]).sum()
+                start, rate = STRENGTH / DISCOUNT + float(others[k]), np.log(float(share[k]) * DISCOUNT)
+                out[k] = _drawn_of_many(c, lambda t, start=start, rate=rate: log_gamma(start + t) + t * rate, u[:, k]).sum()
             continue
         law, t, step = ways()[c, :c], np.arange(1, c), max(1, (1 << 19) // c)
         for a in range(i, j, step):
@@ -274,9 +283,89 @@ def seated(count: np.ndarray, others: np.ndarray, share: np.ndarray, key: np.nda
     return out
 
 
-def context_bucket(rows: list[tuple[int, bytes]], bucket: int, starts: np.ndarray) -> Iterator[tuple[str, int, int, bytes]]:
-    """Restaurants of one bucket: ("bigrams", chunk, bucket, customers' and contexts' weights), ("words", word bucket, -, tables)
-    and ("rooms", -, -, split contexts and their tables here). `starts`: first word number of each word bucket."""
+def drawn(count: np.ndarray, rate: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Tables of each dish, where t tables have probability in proportion to S(c, t) exp(t * rate)."""
+    out = (count > 0).astype(np.int64)
+    order = np.argsort(count, kind="stable")
+    order = order[np.searchsorted(count[order], 2) :]
+    if not len(order):
+        return out
+    values, first = np.unique(count[order], return_index=True)
+    u = uniform(mixed(key))
+    for c, i, j in zip(values.tolist(), first, [*first[1:], len(order)], strict=True):
+        if c > EXACT:
+            for k in order[i:j].tolist():
+                out[k] = _drawn_of_many(c, lambda t, r=float(rate[k]): t * r, u[k : k + 1])[0]
+            continue
+        law, t, step = ways()[c, :c], np.arange(1, c + 1), max(1, (1 << 19) // c)
+        for a in range(i, j, step):
+            own = order[a : min(j, a + step)]
+            at = rate[own, None] * t + law
+            at = np.cumsum(np.exp(at - at.max(axis=1, keepdims=True)), axis=1)
+            out[own] = 1 + (at[:, :-1] < (u[own] * at[:, -1])[:, None]).sum(axis=1)
+    return out
+
+
+def keys(x: np.ndarray, y: np.ndarray | int, sweep: int, use: int) -> np.ndarray:
+    """Hashes of what a draw decides: two numbers, the sweep, and what the draw is for."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed(mixed(x.astype(U64) + U64(1)) * GOLD + np.asarray(y).astype(U64)) + U64(sweep << 8 | use) * GOLD)
+
+
+def gammas(shape: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """A gamma variable of each shape above 0, by Marsaglia and Tsang's rejection from hashes."""
+    low = shape < 1
+    d = np.where(low, shape + 1, shape) - 1 / 3
+    out, left, k = np.empty(len(shape)), np.arange(len(shape)), 0
+    while len(left):
+        with np.errstate(over="ignore"):
+            a, b, e = (uniform(mixed(key[left] + U64(k + i) * GOLD)) for i in (1, 2, 3))
+        x = np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b)
+        v = np.maximum(1 + x / np.sqrt(9 * d[left]), 0) ** 3
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ok = (v > 0) & (np.log(e) < x * x / 2 + d[left] * (1 - v + np.log(v)))
+        out[left[ok]] = (d[left] * v)[ok]
+        left, k = left[~ok], k + 3
+    out[low] *= uniform(mixed(~key[low])) ** (1 / shape[low])
+    return out
+
+
+def tempered(mass: float, key: np.ndarray) -> np.ndarray:
+    """Tempered stable variables: E exp(-s X) = exp(-mass ((1 + s)^d - 1)), as sums of pieces of mass up to 1.
+
+    A piece is a stable variable by Kanter's formula, kept with probability exp(-x).
+    """
+    d, pieces, out = DISCOUNT, max(1, int(np.ceil(mass))), np.zeros(len(key))
+    for piece in range(pieces):
+        left, k = np.arange(len(key)), 0
+        while len(left):
+            with np.errstate(over="ignore"):
+                a, b, e = (uniform(mixed(mixed(key[left] + U64(piece) * GOLD) + U64(k + i) * GOLD)) for i in (1, 2, 3))
+            a *= np.pi
+            x = (mass / pieces) ** (1 / d) * np.sin(d * a) / np.sin(a) ** (1 / d) * (np.sin((1 - d) * a) / -np.log(b)) ** ((1 - d) / d)
+            ok = e < np.exp(-x)
+            out[left[ok]] += x[ok]
+            left, k = left[~ok], k + 3
+    return out
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    return b"".join(x for a in arrays for x in (np.array([ord(a.dtype.char), a.nbytes]).tobytes(), a.tobytes()))
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, size = np.frombuffer(data, np.int64, 2, at).tolist()
+        dtype = np.dtype(chr(kind))
+        out.append(np.frombuffer(data, dtype, size // dtype.itemsize, at + 16))
+        at += 16 + size
+    return out
+
+
+def merged(rows: list[tuple[int, bytes]]) -> tuple:
+    """Of what chunks sent to a bucket: each bigram's dish, each chunk's number of bigrams and first row of each context; and of each
+    dish, by context and word: context, word, share, known dishes, customers."""
     parts = [opened(data) for _, data in rows]
     u, known, word, share, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
     sizes, heads = [len(p[0]) for p in parts], [p[5] for p in parts]
@@ -287,29 +376,153 @@ def context_bucket(rows: list[tuple[int, bytes]], bucket: int, starts: np.ndarra
     dish = np.empty(len(order), np.int64)
     dish[order] = np.cumsum(new) - 1
     first = order[new]
-    del order, new
-    _, of_room, room = np.unique(u[first], return_index=True, return_inverse=True)
-    customers = np.bincount(dish, count).astype(np.int64)
-    parent = 2.0 ** (-share[first].astype(float) / 2048)
+    return dish, sizes, heads, u[first], word[first], share[first], known[first], np.bincount(dish, count).astype(np.int64)
+
+
+def by_bucket(numbers: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+    """(word bucket, first, end) of sorted word numbers."""
+    b, first = np.unique(np.searchsorted(starts, numbers, "right") - 1, return_index=True)
+    return list(zip(b.tolist(), first.tolist(), [*first[1:].tolist(), len(numbers)][: len(b)], strict=True))
+
+
+def chained(state: bytes, tables: np.ndarray, log_p: np.ndarray, sweep: int) -> tuple[np.ndarray, np.ndarray]:
+    """A sweep of a bucket's contexts: tables of each dish of several customers, and of each context.
+
+    `tables` are each context's of the sweep before; t tables weigh S(c, t) p^t, and all T of a context
+    d^T Gamma(strength / d + T), which is the mean of (d g)^T over a gamma variable g.
+    """
+    rooms, _, single, room, place, count, words = unpacked(state)
+    g = gammas(STRENGTH / DISCOUNT + tables, keys(rooms, 0, sweep, 1))
+    t = drawn(count, np.log(DISCOUNT * g)[room] + log_p[place], keys(rooms[room], words[place], sweep, 2))
+    return t, single + np.bincount(room, t, len(rooms)).astype(np.int64)
+
+
+def sent_up(bucket: int, state: bytes, t: np.ndarray, tables: np.ndarray, starts: np.ndarray, singles: dict[int, list] | None = None) -> Iterator[tuple[str, int, int, bytes, int]]:
+    """After a sweep: ("up", word bucket, bucket, tables of the words), ("rooms", split contexts and their tables here), ("sums", tables)."""
+    rooms, split, _, _, place, _, words = unpacked(state)
+    of_word = np.bincount(place, t, len(words)).astype(np.int64)
+    spans = {b: (i, j) for b, i, j in by_bucket(words, starts)}
+    for b in sorted({*spans, *(singles or ())}):
+        i, j = spans.get(b, (0, 0))
+        more = [(words[i:j] - starts[b]).astype(np.int32), *singles.get(b, [np.zeros(0, np.int32)] * 2)] if singles is not None else []
+        yield "up", b, bucket, packed(of_word[i:j].astype(np.uint32) if of_word[i:j].max(initial=0) < 1 << 32 else of_word[i:j], *more), 0
+    yield "rooms", bucket, -1, rooms[split].tobytes() + tables[split].tobytes(), 0
+    yield "sums", bucket, -1, b"", int(tables.sum())
+
+
+def restaurants(rows: list[tuple[int, bytes]], bucket: int, starts: np.ndarray, kept: bool) -> Iterator[tuple[str, int, int, bytes, int]]:
+    """What the chain keeps of a bucket, and its first sweep: from one table a dish, by the words' shares of the corpus."""
+    dish, sizes, heads, u, word, share, known, customers = merged(rows)
+    rooms, at, room = np.unique(u, return_index=True, return_inverse=True)
+    known, many, one = known[at], np.flatnonzero(customers > 1), customers == 1
+    code, number, a = np.minimum(np.where(customers > 1, 255, customers), 255).astype(np.uint8), np.cumsum(customers > 1) - 1, 0
+    for (chunk, _), size, head in zip(rows, sizes, heads, strict=True):
+        own = dish[a : a + size]
+        a += size
+        yield "asks", bucket, chunk, packed(code[own], number[own][code[own] == 255].astype(np.int32), room[own[head]].astype(np.int32)), 0
+    words, place = np.unique(word[many], return_inverse=True)
+    state = packed(rooms, known > 0, np.bincount(room, one, len(rooms)).astype(np.int64), room[many].astype(np.int32), place.astype(np.int32), customers[many], words)
+    yield "seats", bucket, -1, state, 0
+    log_p = np.zeros(len(words))
+    log_p[place] = share[many] * (-np.log(2) / 2048)
+    t, tables = chained(state, np.where(known > 0, known - 1, np.bincount(room, customers > 0, len(rooms))).astype(np.int64), log_p, 0)
+    w, n = np.unique(word[one], return_counts=True)
+    singles = {b: [(w[i:j] - starts[b]).astype(np.int32), n[i:j].astype(np.int32)] for b, i, j in by_bucket(w, starts)}
+    yield from sent_up(bucket, state, t, tables, starts, singles)
+    yield "tables", bucket, -1, packed(tables, customers[many], t if kept else 0 * t, *[tables][: int(kept)]), 0
+
+
+def parent_of(rows: list[tuple[str, int, bytes]], size: int, start: int, sweep: int, rate: float, kept: bool) -> tuple[bytes, int]:
+    """Seats one bucket of words in the parent: its state, and its tables. `rows`: (kind, context bucket, payload), the contexts' tables and the state before.
+
+    The state is customers that never change, context buckets, how many words each has here and their places; the customers and
+    tables of this sweep; and each kept sweep's customers less d for each table.
+    """
+    ups = [(k, unpacked(p)) for kind, k, p in sorted(r for r in rows if r[0] == "up")]
+    before = [unpacked(p) for kind, _, p in rows if kind == "parent"]
+    if before:
+        base, buckets, lengths, places, _, _, *values = before[0]
+    else:
+        base, values = np.zeros(size, np.int64), []
+        for _, (_, _, w, n) in ups:
+            base[w] += n
+        buckets, lengths = np.array([k for k, _ in ups], np.int64), np.array([len(x[1]) for _, x in ups], np.int64)
+        places = np.concatenate([x[1] for _, x in ups])
+    c = base + np.bincount(places, np.concatenate([np.zeros(0), *(x[0] for _, x in ups)]), size).astype(np.int64)
+    t = drawn(c, np.full(size, rate), keys(start + np.arange(size), 0, sweep, 3))
+    values = [*values, *[(c - DISCOUNT * t).astype(np.float32)][: int(kept)]]
+    return packed(base, buckets, lengths, places, c, t, *values), int(t.sum())
+
+
+def weights_of(state: bytes, start: int, sweep: int, mass: float) -> tuple[list[tuple[int, bytes]], float]:
+    """What each word of a bucket weighs in the parent, drawn given its customers and tables: for each context bucket, and the sum."""
+    _, buckets, lengths, places, c, t, *_ = unpacked(state)
+    seen = np.flatnonzero(c)
+    number = start + seen
+    weight = np.zeros(len(c), np.float32)
+    weight[seen] = gammas(c[seen] - DISCOUNT * t[seen], keys(number, 0, sweep, 4)) + tempered(mass, keys(number, 0, sweep, 5))
+    return [(k, own.tobytes()) for k, own in zip(buckets.tolist(), np.split(weight[places], np.cumsum(lengths)[:-1]), strict=True) if len(own)], float(weight.sum(dtype=np.float64))
+
+
+class Parent:
+    """Of the chain's parent what no single word decides, drawn in turn: `mass` of an atom of the base, `rate` of its tables, `total` of the weights.
+
+    Weights are jumps of a stable process with exp(-x), run for a gamma time; a gamma variable with as many degrees as the parent has
+    customers stands for the power of the jumps' sum, and given it words are independent. One more than it is `exp(log_scale)`.
+    """
+
+    def __init__(self, n_words: int) -> None:
+        self.n_words, self.mass, self.log_scale, self.total = n_words, 1.0, 0.0, 0.0
+
+    def one(self, shape: float, sweep: int, use: int) -> float:
+        return float(gammas(np.array([shape]), keys(np.array([0]), 1, sweep, use))[0])
+
+    def rate(self, customers: int, sweep: int) -> float:
+        """Log of what a table of the parent weighs, once its customers are counted."""
+        if self.total and customers:
+            before, self.log_scale = self.log_scale, float(np.log1p(self.one(customers, sweep, 6) / self.total))
+            self.mass *= float(np.exp(DISCOUNT * (self.log_scale - before)))
+        return float(np.log(DISCOUNT * self.mass))
+
+    def seat(self, tables: int, sweep: int) -> None:
+        """Draws the time again, once the parent's tables are counted."""
+        time = self.one(STRENGTH / DISCOUNT + tables, sweep, 7)
+        self.mass = time / (self.n_words + 1)
+        if not self.total:
+            self.log_scale = max(float(np.log(time * DISCOUNT / STRENGTH)) / DISCOUNT, 0.0)
+
+    def weigh(self, weights: float, sweep: int) -> float:
+        """Sum of all weights: those of the words and that of the unknown one."""
+        every = float(np.float32(weights + tempered(self.mass, keys(np.array([self.n_words]), 2, sweep, 8))[0]))  # the order of a sum shall not show
+        self.total = every / float(np.exp(self.log_scale))
+        return every
+
+
+def context_bucket(rows: list[tuple[int, bytes]], bucket: int, starts: np.ndarray) -> Iterator[tuple[str, int, int, bytes]]:
+    """Restaurants of one bucket: ("bigrams", chunk, bucket, customers' and contexts' weights), ("words", word bucket, -, tables)
+    and ("rooms", -, -, split contexts and their tables here). `starts`: first word number of each word bucket."""
+    dish, sizes, heads, u, word, share, known, customers = merged(rows)
+    _, of_room, room = np.unique(u, return_index=True, return_inverse=True)
+    parent = 2.0 ** (-share.astype(float) / 2048)
     with np.errstate(over="ignore"):
-        key = mixed(mixed(u[first].astype(U64) + U64(1)) * GOLD + word[first].astype(U64))
-    spread = known[first][of_room] > 0
-    dishes = np.where(spread, known[first][of_room] - 1, np.bincount(room, customers > 0)).astype(np.int64)
+        key = mixed(mixed(u.astype(U64) + U64(1)) * GOLD + word.astype(U64))
+    spread = known[of_room] > 0
+    dishes = np.where(spread, known[of_room] - 1, np.bincount(room, customers > 0)).astype(np.int64)
     # Every dish starts at one table; these are the others' tables in all sweeps.
     total = seated(customers, np.maximum(dishes[room] - 1, 0), parent, key)
     weight = customers - DISCOUNT * total / SWEEPS
     tables = np.bincount(room, total).astype(np.int64)
     if spread.any():  # of a split context this is one part; the parts are added up before they are used
-        yield "rooms", -1, -1, u[first][of_room[spread]].tobytes() + tables[spread].tobytes()
+        yield "rooms", -1, -1, u[of_room[spread]].tobytes() + tables[spread].tobytes()
     context = (DISCOUNT * tables / SWEEPS).astype(np.float32)  # strength is added once, by the chunk
     code = np.where(customers > 1, 255, customers)
     a = 0
     for (chunk, _), size, head in zip(rows, sizes, heads, strict=True):
-        own, at = dish[a : a + size], a + head
+        own = dish[a : a + size]
         a += size
-        split = u[at][known[at] > 0]  # the chunk looks these contexts' sums up by number
+        split = u[own[head]][known[own[head]] > 0]  # the chunk looks these contexts' sums up by number
         yield "bigrams", chunk, bucket, context[room[own[head]]].tobytes() + few_bytes(code[own], weight[own]) + split.tobytes()
-    w, at = np.unique(word[first], return_inverse=True)
+    w, at = np.unique(word, return_inverse=True)
     t = np.bincount(at, total).astype(np.int64)
     w, t = w[t > 0], t[t > 0]
     there = np.searchsorted(starts, w, "right") - 1
@@ -352,14 +565,16 @@ def _rows(rows: list[tuple]) -> pa.Table:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_of: int = 10) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_of: int = 10, burn: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text.
 
     Learns from all texts but those whose crc32(doc_id as text) mod `held_of` is 0, and scores all. A text
     is its words and one end; `score` is the sum of log10 P(word | word before), with
     P(w | u) = (c - d t + (strength + d T) P(w)) / (strength + C) in the restaurant of u, and P(w) alike
-    in the parent's, over equal shares for all known words and an unknown one. t and T are means over
-    Gibbs sweeps, so the predictive probabilities are averaged. In sweeps, P(w) is the
+    in the parent's, over equal shares for all known words and an unknown one.
+
+    With `burn` SWEEPS sweeps of the Gibbs chain follow `burn` others, and P(w | u) is the mean of their predictive
+    probabilities. Without it no chain is run: t and T are means over SWEEPS first seatings, where P(w) is the
     word's share of the corpus, and each dish sees the other dishes at one table each.
 
     Frequent contexts are split over buckets by word; sums over the parts are gathered where the whole
@@ -447,16 +662,20 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = np.zeros(buckets + 1, np.int64)
     for r in counted.where("kind = 'sums'").select("bucket", "chunk").collect():
         starts[r.bucket + 1] = r.chunk
+    sizes = starts[1:].tolist()
     starts = np.cumsum(starts)[:-1]
 
+    # Predictions that a chunk averages: of each kept sweep of the chain, or one of mean tables.
+    means = 1 if burn is None else SWEEPS
+
     def word_info(c: Chunk, table: pa.Table, last: bool) -> tuple[np.ndarray, np.ndarray]:
         """Of each word of a chunk: its count, and its weight in the parent (`last`) or its number."""
-        count, value = np.zeros(len(c.hashes), np.int64), np.zeros(len(c.hashes), float if last else np.int64)
+        count, value = np.zeros(len(c.hashes), np.int64), np.zeros((means, len(c.hashes))) if last else np.zeros(len(c.hashes), np.int64)
         got = {b: p for k, b, p in zip(*(table.column(x).to_pylist() for x in ("kind", "bucket", "payload")), strict=True) if k == "counts"}
         for b, i, j in c.bounds(c.word_bucket):
             own = c.word_order[i:j]
             count[own] = numbers(got[b], j - i, 6, 0)
-            value[own] = np.frombuffer(got[b], np.float32, j - i, 6 * (j - i)) if last else starts[b] + numbers(got[b], j - i, 4, 6 * (j - i))
+            value[..., own] = np.frombuffer(got[b], np.float32, means * (j - i), 6 * (j - i)).reshape(means, -1) if last else starts[b] + numbers(got[b], j - i, 4, 6 * (j - i))
         return count, value
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -476,40 +695,158 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append((kind, b, a, data, 0, 0, 0.0, 0.0) if kind != "words" else (kind, a, -1, data, 0, 0, 0.0, 0.0))
         return _rows(out)
 
+    def summed(df: DataFrame) -> dict[int, int]:
+        """What all tables of each split context weigh, by its number: at most 8 * buckets parts."""
+        whole: dict[int, int] = {}
+        for r in df.where("kind = 'rooms'").select("payload").collect():
+            n = len(r.payload) // 16
+            for u, x in zip(*np.frombuffer(r.payload, np.int64).reshape(2, n).tolist(), strict=True):
+                whole[u] = whole.get(u, 0) + x
+        return whole
+
+    def parts_of(group: pa.Table) -> tuple[int, list[tuple[str, int, bytes]]]:
+        return group.column("bucket")[0].as_py(), list(zip(group.column("kind").to_pylist(), group.column("chunk").to_pylist(), (x.as_buffer() for x in group.column("payload")), strict=True))
+
+    def rows_of(found: Iterator[tuple[str, int, int, bytes, int]]) -> pa.Table:
+        return _rows([(*x, 0, 0.0, 0.0) for x in found])
+
+    def first_sweep(group: pa.Table) -> pa.Table:
+        bucket, rows = parts_of(group)
+        return rows_of(restaurants(sorted((k, p) for _, k, p in rows), bucket, starts, burn == 0))
+
+    def parents(sweep: int, rate: float, kept: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(group: pa.Table) -> pa.Table:
+            bucket, rows = parts_of(group)
+            state, n = parent_of(rows, sizes[bucket], int(starts[bucket]), sweep, rate, kept)
+            return rows_of([("parent", bucket, -1, state, 0), ("sums", bucket, -1, b"", n)])
+
+        return run
+
+    def weigh(sweep: int, mass: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    out, total = weights_of(row["payload"], int(starts[row["bucket"]]), sweep, mass)
+                    yield from _rows([("down", k, row["bucket"], data, 0, 0, 0.0, 0.0) for k, data in out] + [("sums", row["bucket"], -1, b"", 0, 0, total, 0.0)]).to_batches()
+
+        return run
+
+    def children(sweep: int, total: float, whole: dict[int, int], kept: bool) -> Callable[[pa.Table], pa.Table]:
+        def run(group: pa.Table) -> pa.Table:
+            bucket, rows = parts_of(group)
+            state, old = (next((p for kind, _, p in rows if kind == x), None) for x in ("seats", "tables"))
+            if state is None:
+                return _rows([])
+            tables, customers, sums, *values = unpacked(old)
+            rooms, split, *_ = unpacked(state)
+            if split.any():
+                tables = tables.copy()
+                tables[split] = [whole[u] for u in rooms[split].tolist()]
+            weight = np.frombuffer(b"".join(p for _, _, p in sorted(r for r in rows if r[0] == "down")), np.float32)
+            t, tables = chained(state, tables, np.log(weight / total), sweep)
+            carried = packed(tables, customers, sums + t * kept, *values, *[tables][: int(kept)])
+            return rows_of([*sent_up(bucket, state, t, tables, starts), ("tables", bucket, -1, carried, 0)])
+
+        return run
+
+    def run_chain(sent: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, list[int]], list[int], list[int]]:
+        """Answers to the chunks, the parent's state, and of each kept sweep: tables of split contexts, customers and tables of the parent."""
+        base = written(sent.groupBy("bucket").applyInArrow(first_sweep, SENT), "restaurants", free=True)
+        tables, parent, wholes, customers, spread = base, None, [], [], []
+        state = Parent(n_words)
+        for sweep in range(burn + SWEEPS):
+            last, kept = sweep + 1 == burn + SWEEPS, sweep >= burn
+            whole, n = summed(tables), tables.where("kind = 'sums'").agg(F.sum("n")).first()[0] or 0
+            ups = tables.where("kind = 'up'")
+            if parent is not None:
+                ups = ups.unionByName(parent.where("kind = 'parent'"))
+            old, parent = parent, written(ups.groupBy("bucket").applyInArrow(parents(sweep, state.rate(n, sweep), kept), SENT), "parent", free=True)
+            n_tables = parent.where("kind = 'sums'").agg(F.sum("n")).first()[0] or 0
+            if old is not None:
+                dropped(old)
+            if kept:
+                wholes.append(whole)
+                customers.append(n)
+                spread.append(n_tables)
+            if last:
+                break
+            state.seat(n_tables, sweep)
+            down = parent.where("kind = 'parent'").mapInArrow(weigh(sweep, state.mass), SENT)
+            every = state.weigh(down.agg(F.sum("customers")).first()[0] or 0.0, sweep)
+            moved = base.where("kind = 'seats'").unionByName(down.where("kind = 'down'")).unionByName(tables.where("kind = 'tables'"))
+            old, tables = tables, written(moved.groupBy("bucket").applyInArrow(children(sweep + 1, every, whole, sweep + 1 >= burn), SENT), "tables", free=True)
+            if old is not base:
+                dropped(old)
+        # Chunks are answered in four groups a bucket, each of which gets the bucket's state.
+        part = lambda df: df.withColumn("v", F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))))
+        asks = base.where("kind = 'asks'").withColumn("v", F.pmod(F.xxhash64("chunk"), F.lit(4)))
+        back = asks.unionByName(part(tables.where("kind = 'tables'").unionByName(base.where("kind = 'seats'")))).groupBy("bucket", "v").applyInArrow(answers, SENT)
+        return back, parent, {u: [w[u] for w in wholes] for u in whole}, customers, spread
+
+    def answers(group: pa.Table) -> pa.Table:
+        bucket, rows = parts_of(group)
+        state, old = (next((p for kind, _, p in rows if kind == x), None) for x in ("seats", "tables"))
+        if state is None:
+            return _rows([])
+        rooms, split, *_ = unpacked(state)
+        _, customers, sums, *values = unpacked(old)
+        weight = (customers - DISCOUNT * sums / SWEEPS).astype(np.float32)
+        out = []
+        for kind, chunk, payload in rows:
+            if kind == "asks":
+                code, many, room = unpacked(payload)
+                contexts = b"".join((DISCOUNT * x[room]).astype(np.float32).tobytes() for x in values)
+                out.append(("bigrams", bucket, chunk, contexts + code.tobytes() + weight[many].tobytes() + rooms[room][split[room]].tobytes(), 0))
+        return rows_of(out)
+
+    def last_words(group: pa.Table) -> pa.Table:
+        """Of each chunk's words: counts, and what their customers weigh in the parent in each kept sweep."""
+        bucket, rows = parts_of(group)
+        counts = sorted((k, p) for kind, k, p in rows if kind == "counts")
+        state = next((unpacked(p)[6:] for kind, _, p in rows if kind == "parent"), None)
+        if not counts:
+            return _rows([])
+        values = np.stack(state) if state else np.zeros((SWEEPS, sizes[bucket]), np.float32)
+        out, _, _ = word_bucket(counts, [], 0)
+        return rows_of([("counts", bucket, chunk, p[: 6 * (len(p) // 10)] + values[:, numbers(p, len(p) // 10, 4, 6 * (len(p) // 10))].tobytes(), 0) for chunk, p in out])
+
     sent = made.groupBy("chunk").cogroup(counted.where("kind = 'counts'").groupBy("chunk")).applyInArrow(send, SENT)
-    back = written(sent.groupBy("bucket").applyInArrow(seat, SENT), "bigrams")
+    if burn is None:
+        back = written(sent.groupBy("bucket").applyInArrow(seat, SENT), "bigrams")
+        whole = {u: [x / SWEEPS] for u, x in summed(back).items()}
+        words = written(asked.unionByName(back.where("kind = 'words'")).groupBy("bucket").applyInArrow(seat_words(n_words), SENT), "words")
+        customers, spread = ([x] for x in sums_of(words)[2:])
+    else:
+        back, parent, whole, customers, tables = run_chain(sent)
+        words = asked.unionByName(parent.where("kind = 'parent'")).groupBy("bucket").applyInArrow(last_words, SENT)
+        spread = [DISCOUNT * x for x in tables]
     dropped(counted)
 
-    # What all tables of each split context weigh: at most 8 * buckets parts.
-    whole: dict[int, int] = {}  # by the context's number
-    for r in back.where("kind = 'rooms'").select("payload").collect():
-        n = len(r.payload) // 16
-        for u, x in zip(*np.frombuffer(r.payload, np.int64).reshape(2, n).tolist(), strict=True):
-            whole[u] = whole.get(u, 0) + x
-    words = written(asked.unionByName(back.where("kind = 'words'")).groupBy("bucket").applyInArrow(seat_words(n_words), SENT), "words")
-    _, _, customers, spread = sums_of(words)
-
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
         if not rows:
             return scores_of([])
         c = Chunk(rows[0], buckets, hot)
-        weight, rooms = np.zeros(len(c.u), np.float64), np.zeros(len(c.hashes))
+        weight, rooms = np.zeros(len(c.u), np.float64), np.zeros((means, len(c.hashes)))
         got = {b: p for k, b, p in zip(*(right.column(x).to_pylist() for x in ("kind", "bucket", "payload")), strict=True) if k == "bigrams"}
         for b, i, j in c.bounds(c.bucket):
             u = c.u[i:j][np.sort(np.unique(c.u[i:j], return_index=True)[1])]
-            rooms[u] = np.frombuffer(got[b], np.float32, len(u))
-            code = np.frombuffer(got[b], np.uint8, j - i, 4 * len(u))
+            rooms[:, u] = np.frombuffer(got[b], np.float32, means * len(u)).reshape(means, -1)
+            code = np.frombuffer(got[b], np.uint8, j - i, 4 * means * len(u))
             weight[i:j] = (1 - DISCOUNT) * (code == 1)
-            many, at = code == 255, 4 * len(u) + j - i
+            many, at = code == 255, 4 * means * len(u) + j - i
             weight[i:j][many] = np.frombuffer(got[b][at : at + 4 * many.sum()], np.float32)
             # Of a split context this chunk may have met some parts only.
             split = u[c.split[u] > 1]
-            rooms[split] = [np.float32(DISCOUNT * whole[k] / SWEEPS) for k in np.frombuffer(got[b][at + 4 * many.sum() :], np.int64).tolist()]
+            for k, x in zip(split.tolist(), np.frombuffer(got[b][at + 4 * many.sum() :], np.int64).tolist(), strict=True):
+                rooms[:, k] = np.float32(DISCOUNT * np.array(whole[x]))
         count, value = word_info(c, right, True)
-        p = (value + (STRENGTH + spread) / (n_words + 1)) / (STRENGTH + customers)
+        parent = 0
+        for room, of_word, n, x in zip(rooms, value, customers, spread, strict=True):
+            p = (of_word + (STRENGTH + x) / (n_words + 1)) / (STRENGTH + n)
+            parent = parent + (STRENGTH + room[c.u]) * p[c.w] / means
         log_pair = np.empty(len(c.u))
-        log_pair[c.order] = np.log10((weight + (STRENGTH + rooms[c.u]) * p[c.w]) / (STRENGTH + count[c.u]))
+        log_pair[c.order] = np.log10((weight + parent) / (STRENGTH + count[c.u]))
         log_base = np.log10((count + 0.1) / (n_train + 0.1 * (n_words + 1)))
         ends = np.cumsum(c.lengths)
         starts = ends - c.lengths

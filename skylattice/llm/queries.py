@@ -175,7 +175,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered()
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), burn=lm.BURN)
 
 
 #: Nodes by their whole lists of turns. crc32 of a decimal number is folded byte by byte over its table.

@@ -581,6 +581,96 @@ def test_lm_probabilities_sum_to_one_and_follow_the_formula(spark):
     assert sum(p("go", w) for w in [*c, "unseen"]) == pytest.approx(1)
 
 
+def franchise(counts: dict, n_words: int, sweeps: int) -> np.ndarray:
+    """Mean tables of each dish, then of the parent's words, by sweeps in which each customer leaves the franchise and comes back."""
+    r, d, s = random.Random(5), lm.DISCOUNT, lm.STRENGTH
+    rooms, parent = {k: [] for k in counts}, {w: [] for _, w in counts}
+
+    def out(at):
+        k = r.choices(range(len(at)), at)[0]
+        at[k] -= 1
+        if at[k]:
+            return False
+        del at[k]
+        return True
+
+    def back(at, new):
+        k = r.choices(range(len(at) + 1), [*(x - d for x in at), new])[0]
+        at[k : k + 1] = [at[k] + 1] if k < len(at) else [1]
+        return k + 1 == len(at) and at[k] == 1
+
+    total = np.zeros(len(counts) + len(parent))
+    for sweep in range(sweeps):
+        for (u, w), c in counts.items():
+            for _ in range(c):
+                if sweep and out(rooms[u, w]):
+                    out(parent[w])
+                base = (s + d * sum(map(len, parent.values()))) / (n_words + 1)
+                p = (sum(parent[w]) - d * len(parent[w]) + base) / (s + sum(map(sum, parent.values())))
+                if back(rooms[u, w], (s + d * sum(len(x) for (v, _), x in rooms.items() if v == u)) * p):
+                    back(parent[w], base)
+        if sweep >= sweeps // 10:
+            total += [len(x) for x in (*rooms.values(), *parent.values())]
+    return total / (sweeps - sweeps // 10)
+
+
+def test_lm_chain_has_the_law_of_seating_one_by_one():
+    """The chain over both levels, from sweep to sweep, against customers of a franchise seated one by one."""
+    counts = {(0, 0): 9, (0, 1): 2, (0, 2): 1, (1, 0): 4, (1, 1): 14, (2, 2): 3, (2, 3): 1, (3, 0): 8}
+    many, one, starts = [k for k in counts if counts[k] > 1], [k for k in counts if counts[k] == 1], np.array([0, 2])
+    words = np.array(sorted({w for _, w in many}))
+    state = lm.packed(
+        np.arange(4), np.zeros(4, bool), np.bincount([u for u, _ in one], minlength=4), np.array([u for u, _ in many], np.int32),
+        np.searchsorted(words, [w for _, w in many]).astype(np.int32), np.array([counts[k] for k in many]), words,
+    )
+    w, n = np.unique([w for _, w in one], return_counts=True)
+    singles = {b: [(w[i:j] - starts[b]).astype(np.int32), n[i:j].astype(np.int32)] for b, i, j in lm.by_bucket(w, starts)}
+    tables, log_p, parent, before = np.array([3, 2, 2, 1]), np.log(np.full(len(words), 0.2)), lm.Parent(4), {}
+    total, sweeps = np.zeros(len(counts) + 4), 2500
+    for sweep in range(sweeps):
+        t, tables = lm.chained(state, tables, log_p, sweep)
+        ups = list(lm.sent_up(0, state, t, tables, starts, None if sweep else singles))
+        rate, n_tables, customers = parent.rate(next(x[4] for x in ups if x[0] == "sums"), sweep), 0, []
+        for b in (0, 1):
+            rows = [(kind, k, p) for kind, at, k, p, _ in ups if kind == "up" and at == b] + ([("parent", -1, before[b])] if b in before else [])
+            before[b], x = lm.parent_of(rows, 2, 2 * b, sweep, rate, False)
+            n_tables += x
+            customers += lm.unpacked(before[b])[5].tolist()
+        parent.seat(n_tables, sweep)
+        sent = [lm.weights_of(before[b], 2 * b, sweep, parent.mass) for b in (0, 1)]
+        every = parent.weigh(sum(x for _, x in sent), sweep)
+        log_p = np.log(np.concatenate([np.frombuffer(p, np.float32) for x, _ in sent for _, p in x]) / every)
+        if sweep >= 100:
+            of = dict(zip(many, t.tolist()))
+            total += [of.get(k, 1) for k in counts] + customers
+    got, want = total / (sweeps - 100), franchise(counts, 4, 8000)
+    assert got == pytest.approx(want, rel=0.05)
+    assert want[0] > 1.3 and want[len(counts)] > 1.2  # not one table each
+
+
+def test_lm_chain_carries_tables_and_does_not_depend_on_partitions(spark, monkeypatch):
+    r = random.Random(15)
+    rows = [(i, " ".join(x for _ in range(r.randint(1, 40)) for x in ("hot", r.choice(WORDS)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    asked = spark.createDataFrame([*[(i, t) for i, t in rows if i not in held], *((i, f"hot {w}") for i, w in zip(held, [*sorted(set(WORDS)), "unseen"]))], "doc_id long, text string")
+    assert {x.doc_id for x in lm.score_texts(asked, burn=0).collect()} == {x.doc_id for x in asked.collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for shuffles, parts, chars in (("4", 1, 8 << 20), ("17", 3, 500)):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            monkeypatch.setattr(lm, "CHUNK_CHARS", chars)
+            found.append({x.doc_id: x.score for x in lm.score_texts(df.repartition(parts), burn=2).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[1] == pytest.approx(found[0], abs=1e-6)
+    first = {x.doc_id: x.score for x in lm.score_texts(df).collect()}
+    assert found[0] != first and sum(found[0].values()) == pytest.approx(sum(first.values()), rel=0.02)
+    none = lm.score_texts(spark.createDataFrame([(held[0], "only held out")], "doc_id long, text string"), burn=1).collect()
+    assert [x.score for x in none] == [0.0] and lm.score_texts(df.limit(0), burn=1).count() == 0
+
+
 CHAT = "conv_id long, turn long, role string, text string, extra int"
 
 

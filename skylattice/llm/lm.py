@@ -21,7 +21,6 @@ are sums over the corpus, so scores don't depend on chunks, buckets or partition
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -54,8 +53,13 @@ class _Numbers(dict):
 CHUNK = "chunk long, doc_ids array<long>, train array<boolean>, lengths binary, tokens binary, vocabulary binary, n long"
 
 
+def stored(tokens: np.ndarray) -> bytes:
+    return len(tokens).to_bytes(8, "little") + pa.compress(turned(tokens.astype(np.int32)), "zstd", asbytes=True)
+
+
 def tokens_of(row: dict) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(row["tokens"]), np.int32)
+    n = int.from_bytes(row["tokens"][:8], "little")
+    return returned(pa.decompress(memoryview(row["tokens"])[8:], 4 * n, "zstd"), np.int32)
 
 
 def chunks(docs: DataFrame, held: str) -> DataFrame:
@@ -73,13 +77,14 @@ def chunks(docs: DataFrame, held: str) -> DataFrame:
         def flush() -> pa.RecordBatch:
             vocabulary = np.array([END_HASH, *(xxhash.xxh64_intdigest(w) for w in list(numbers)[1:])], U64)
             lengths = np.array([len(p) for p in parts], np.int32)
-            row = [[part << 24 | no], [ids], [train], [lengths.tobytes()], [zlib.compress(np.concatenate(parts).tobytes(), 1)], [vocabulary.tobytes()], [int(lengths.sum())]]
+            row = [[part << 24 | no], [ids], [train], [lengths.tobytes()], [stored(np.concatenate(parts))], [vocabulary.tobytes()], [int(lengths.sum())]]
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
         for batch in batches:
             for i, text, out in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = text.encode("utf-8", "surrogatepass").lower().split()
-                parts.append(np.array([*map(numbers.__getitem__, words), 0], np.int32))
+                words.append(b" ")  # the end
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 ids.append(i)
                 train.append(not out)
                 chars += len(text)
@@ -111,7 +116,11 @@ class Chunk:
             split[i] = hot[int(self.hashes[i])]
         part = mixed(self.hashes[w]) % split[u].astype(U64)
         bucket = ((mixed(self.hashes[u] + U64(5)) + part) % U64(buckets)).astype(np.int64)
-        order = np.lexsort((self.hashes[w], self.hashes[u], bucket))  # hashes rise with the words' numbers
+        rank = np.unique(self.hashes, return_inverse=True)[1]  # hashes rise with the words' numbers
+        if buckets * size * size < 1 << 63:
+            order = np.argsort((bucket * size + rank[u]) * size + rank[w], kind="stable")
+        else:
+            order = np.lexsort((rank[w], rank[u], bucket))
         self.order, self.split = order, split
         self.u, self.w, self.count, self.bucket = u[order], w[order], count[order], bucket[order]
         self.word_order, self.word_bucket = by_place(self.hashes, buckets)
@@ -153,6 +162,25 @@ def numbers(data: bytes, n: int, k: int, at: int) -> np.ndarray:
     return out.view(np.int64).ravel()
 
 
+def turned(x: np.ndarray) -> bytes:
+    """The numbers' bytes, first the first of each: as `planes`, for any type."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
+def returned(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
+
+
+def steps(x: np.ndarray) -> bytes:
+    """Numbers that mostly rise by little, as differences (mod 2^32)."""
+    return turned(np.diff(x.astype(np.uint32), prepend=np.uint32(0)))
+
+
+def summed_up(data: bytes) -> np.ndarray:
+    return np.cumsum(returned(data, np.uint32), dtype=np.uint32).astype(np.int64)
+
+
 def few_bytes(code: np.ndarray, value: np.ndarray) -> bytes:
     """A byte of each `code`, which says all below 255; of the others `value` in four bytes each."""
     return code.astype(np.uint8).tobytes() + value[code == 255].astype(np.float32).tobytes()
@@ -204,12 +232,16 @@ def _ways_of_many(c: int, t: np.ndarray) -> np.ndarray:
     return np.concatenate([_around_cut(c, t[few]), _at_saddle(c, t[~few])]) - t * np.log(DISCOUNT) - log_gamma(t + 1.0)
 
 
-def _around_cut(c: int, t: np.ndarray) -> np.ndarray:
+@functools.lru_cache(maxsize=1)
+def _contour() -> tuple[np.ndarray, np.ndarray]:
     m = 24
     theta = np.arange(1, m) * np.pi / m
     cot = 1 / np.tan(theta)
-    s = np.concatenate([[1 + 0j], theta * (cot + 1j)]) * 2 * m / 5
-    turn = np.concatenate([[0.5 + 0j], 1 + 1j * (theta + (theta * cot - 1) * cot)])
+    return np.concatenate([[1 + 0j], theta * (cot + 1j)]) * 2 * m / 5, np.concatenate([[0.5 + 0j], 1 + 1j * (theta + (theta * cot - 1) * cot)])
+
+
+def _around_cut(c: int, t: np.ndarray) -> np.ndarray:
+    s, turn = _contour()
     one = turn * np.exp(-(c + 1) * np.log1p(-s / c))
     # The constant 1 of (1 - (s / c)^d)^t has no share in the integral.
     rest = np.expm1(t[:, None] * np.log1p(-((s / c) ** DISCOUNT)))
@@ -251,6 +283,46 @@ def _drawn_of_many(c: int, weight: Callable[[np.ndarray], np.ndarray], u: np.nda
     return t[np.minimum(np.searchsorted(total, u * total[-1]), len(t) - 1)].astype(np.int64)
 
 
+def _law_of_each(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """`_ways_of_many` of dishes of many customers each: row i is of c[i] customers at the tables t[i]."""
+    rows, columns = np.nonzero(t <= 2 * c[:, None] ** DISCOUNT)
+    out, z = np.empty(t.shape), _contour()
+    with np.errstate(divide="ignore"):
+        turn = np.log1p(-((z[0] / c[:, None]) ** DISCOUNT))[rows]
+    weight = (z[1] * np.exp(-(c[:, None] + 1) * np.log1p(-z[0] / c[:, None])))[rows]
+    real, angle = t[rows, columns, None] * turn.real, t[rows, columns, None] * turn.imag
+    part = np.expm1(real) * np.cos(angle) - 2 * np.sin(angle / 2) ** 2  # real part of exp - 1
+    found = (part * weight.real - np.exp(real) * np.sin(angle) * weight.imag).sum(axis=1)
+    out[rows, columns] = np.log(np.maximum(found * 2 / 5 / c[rows], 1e-300))
+    rows, columns = np.nonzero(t > 2 * c[:, None] ** DISCOUNT)
+    if len(rows):
+        out[rows, columns] = _at_saddle(c[rows], t[rows, columns])
+    return out - t * np.log(DISCOUNT) - log_gamma(t + 1.0)
+
+
+def _drawn_of_each(c: np.ndarray, rate: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Tables of dishes of many customers each, where t tables weigh S(c, t) exp(t * rate): the laws where they aren't negligible.
+
+    A law has one peak, so what is not negligible lies between the points of ever finer grids that are next to what is not.
+    """
+    rows, low, high = np.arange(len(c)), np.ones(len(c)), c - 1.0
+    law_of = lambda t: _law_of_each(c, t) + t * rate[:, None]
+    for k in range(3):
+        part = np.linspace(0, 1, 16)
+        t = np.rint(low[:, None] * (high / low)[:, None] ** part if not k else low[:, None] + (high - low)[:, None] * part)
+        law = law_of(t)
+        near = law > law.max(axis=1, keepdims=True) - 40
+        first, last = near.argmax(axis=1), near.shape[1] - 1 - near[:, ::-1].argmax(axis=1)
+        low, high = t[rows, np.maximum(first - 1, 0)], t[rows, np.minimum(last + 1, t.shape[1] - 1)]
+    out, step = np.empty(len(c), np.int64), 1 << 10
+    for i in range(len(c)):  # one law at a time, in pieces
+        t = np.arange(low[i], high[i] + 1)
+        law = np.concatenate([_law_of_each(c[i : i + 1], t[None, k : k + step])[0] for k in range(0, len(t), step)]) + t * rate[i]
+        total = np.cumsum(np.exp(law - law.max()))
+        out[i] = t[min(int(np.searchsorted(total, u[i] * total[-1])), len(t) - 1)]
+    return out
+
+
 def seated(count: np.ndarray, others: np.ndarray, share: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Tables of each dish at the first seating, summed over SWEEPS independent draws; every customer is seated. No chain: see `chained`.
 
@@ -292,11 +364,13 @@ def drawn(count: np.ndarray, rate: np.ndarray, key: np.ndarray) -> np.ndarray:
         return out
     values, first = np.unique(count[order], return_index=True)
     u = uniform(mixed(key))
+    few = int(np.searchsorted(count[order], EXACT, "right"))
+    for i in range(few, len(order), 64):
+        own = order[i : i + 64]
+        out[own] = _drawn_of_each(count[own].astype(float), rate[own], u[own])
     for c, i, j in zip(values.tolist(), first, [*first[1:], len(order)], strict=True):
         if c > EXACT:
-            for k in order[i:j].tolist():
-                out[k] = _drawn_of_many(c, lambda t, r=float(rate[k]): t * r, u[k : k + 1])[0]
-            continue
+            break
         law, t, step = ways()[c, :c], np.arange(1, c + 1), max(1, (1 << 19) // c)
         for a in range(i, j, step):
             own = order[a : min(j, a + step)]
@@ -349,7 +423,8 @@ def tempered(mass: float, key: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray | bytes) -> bytes:
+    arrays = tuple(np.frombuffer(a, np.uint8) if isinstance(a, bytes) else a for a in arrays)
     return b"".join(x for a in arrays for x in (np.array([ord(a.dtype.char), a.nbytes]).tobytes(), a.tobytes()))
 
 
@@ -370,7 +445,10 @@ def merged(rows: list[tuple[int, bytes]]) -> tuple:
     u, known, word, share, count = (np.concatenate([p[i] for p in parts]) for i in range(5))
     sizes, heads = [len(p[0]) for p in parts], [p[5] for p in parts]
     del parts
-    order = np.lexsort((word, u))
+    if max(u.max(initial=0), word.max(initial=0)) < 1 << 31:
+        order = np.argsort(u << 32 | word, kind="stable")  # of sorted runs
+    else:
+        order = np.lexsort((word, u))
     new = np.ones(len(order), bool)
     new[1:] = (u[order][1:] != u[order][:-1]) | (word[order][1:] != word[order][:-1])
     dish = np.empty(len(order), np.int64)
@@ -419,7 +497,7 @@ def restaurants(rows: list[tuple[int, bytes]], bucket: int, starts: np.ndarray,
     for (chunk, _), size, head in zip(rows, sizes, heads, strict=True):
         own = dish[a : a + size]
         a += size
-        yield "asks", bucket, chunk, packed(code[own], number[own][code[own] == 255].astype(np.int32), room[own[head]].astype(np.int32)), 0
+        yield "asks", bucket, chunk, packed(code[own], steps(number[own][code[own] == 255]), steps(room[own[head]])), 0
     words, place = np.unique(word[many], return_inverse=True)
     state = packed(rooms, known > 0, np.bincount(room, one, len(rooms)).astype(np.int64), room[many].astype(np.int32), place.astype(np.int32), customers[many], words)
     yield "seats", bucket, -1, state, 0
@@ -656,7 +734,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return tuple(x or 0 for x in words.where("kind = 'sums'").agg(F.sum("n"), F.sum("v"), F.sum("customers"), F.sum("spread")).first())
 
     asked = made.mapInArrow(send_words, SENT)
-    counted = written(asked.groupBy("bucket").applyInArrow(seat_words(0), SENT), "counts")
+    counted = written(asked.groupBy("bucket").applyInArrow(seat_words(0), SENT), "counts", free=True)
     n_train, n_words, *_ = sums_of(counted)
     # First word number of each bucket; words are numbered in the order of their hashes.
     starts = np.zeros(buckets + 1, np.int64)
@@ -675,7 +753,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b, i, j in c.bounds(c.word_bucket):
             own = c.word_order[i:j]
             count[own] = numbers(got[b], j - i, 6, 0)
-            value[..., own] = np.frombuffer(got[b], np.float32, means * (j - i), 6 * (j - i)).reshape(means, -1) if last else starts[b] + numbers(got[b], j - i, 4, 6 * (j - i))
+            if last and burn is not None:
+                value[:, own] = [returned(x, np.float32) for x in np.split(np.frombuffer(got[b], np.uint8, -1, 6 * (j - i)), means)]
+                continue
+            value[..., own] = np.frombuffer(got[b], np.float32, j - i, 6 * (j - i)) if last else starts[b] + numbers(got[b], j - i, 4, 6 * (j - i))
         return count, value
 
     def send(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -731,7 +812,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
         return run
 
-    def children(sweep: int, total: float, whole: dict[int, int], kept: bool) -> Callable[[pa.Table], pa.Table]:
+    def children(sweep: int, total: float, whole: dict[int, int], kept: bool, last: bool) -> Callable[[pa.Table], pa.Table]:
         def run(group: pa.Table) -> pa.Table:
             bucket, rows = parts_of(group)
             state, old = (next((p for kind, _, p in rows if kind == x), None) for x in ("seats", "tables"))
@@ -744,8 +825,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 tables[split] = [whole[u] for u in rooms[split].tolist()]
             weight = np.frombuffer(b"".join(p for _, _, p in sorted(r for r in rows if r[0] == "down")), np.float32)
             t, tables = chained(state, tables, np.log(weight / total), sweep)
-            carried = packed(tables, customers, sums + t * kept, *values, *[tables][: int(kept)])
-            return rows_of([*sent_up(bucket, state, t, tables, starts), ("tables", bucket, -1, carried, 0)])
+            sums, values = sums + t * kept, [*values, *[tables][: int(kept)]]
+            if last:  # what the chunks are answered from, and nothing else
+                weight = (customers - DISCOUNT * sums / SWEEPS).astype(np.float32)
+                carried = packed(rooms[split], split, turned(weight), *(planes(x, 5) for x in values))
+            else:
+                carried = packed(tables, customers, sums, *values)
+            return rows_of([*sent_up(bucket, state, t, tables, starts), ("told" if last else "tables", bucket, -1, carried, 0)])
 
         return run
 
@@ -771,44 +857,47 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if last:
                 break
             state.seat(n_tables, sweep)
-            down = parent.where("kind = 'parent'").mapInArrow(weigh(sweep, state.mass), SENT)
+            down = written(parent.where("kind = 'parent'").mapInArrow(weigh(sweep, state.mass), SENT), "weights")
             every = state.weigh(down.agg(F.sum("customers")).first()[0] or 0.0, sweep)
             moved = base.where("kind = 'seats'").unionByName(down.where("kind = 'down'")).unionByName(tables.where("kind = 'tables'"))
-            old, tables = tables, written(moved.groupBy("bucket").applyInArrow(children(sweep + 1, every, whole, sweep + 1 >= burn), SENT), "tables", free=True)
+            old, tables = tables, written(moved.groupBy("bucket").applyInArrow(children(sweep + 1, every, whole, sweep + 1 >= burn, sweep + 2 == burn + SWEEPS), SENT), "tables", free=True)
+            dropped(down)
             if old is not base:
                 dropped(old)
-        # Chunks are answered in four groups a bucket, each of which gets the bucket's state.
-        part = lambda df: df.withColumn("v", F.explode(F.array(*(F.lit(i).cast("long") for i in range(4)))))
-        asks = base.where("kind = 'asks'").withColumn("v", F.pmod(F.xxhash64("chunk"), F.lit(4)))
-        back = asks.unionByName(part(tables.where("kind = 'tables'").unionByName(base.where("kind = 'seats'")))).groupBy("bucket", "v").applyInArrow(answers, SENT)
+        asks = written(base.where("kind = 'asks'"), "asks")
+        dropped(base)
+        back = asks.unionByName(tables.where("kind = 'told'")).groupBy("bucket").applyInArrow(answers, SENT)
         return back, parent, {u: [w[u] for w in wholes] for u in whole}, customers, spread
 
     def answers(group: pa.Table) -> pa.Table:
         bucket, rows = parts_of(group)
-        state, old = (next((p for kind, _, p in rows if kind == x), None) for x in ("seats", "tables"))
-        if state is None:
+        told = next((p for kind, _, p in rows if kind == "told"), None)
+        if told is None:
             return _rows([])
-        rooms, split, *_ = unpacked(state)
-        _, customers, sums, *values = unpacked(old)
-        weight = (customers - DISCOUNT * sums / SWEEPS).astype(np.float32)
+        split_rooms, split, weight, *values = unpacked(told)
+        weight, values = returned(weight, np.float32), [numbers(x, len(split), 5, 0) for x in values]
+        rooms = np.zeros(len(split), np.int64)
+        rooms[split] = split_rooms
         out = []
         for kind, chunk, payload in rows:
             if kind == "asks":
-                code, many, room = unpacked(payload)
-                contexts = b"".join((DISCOUNT * x[room]).astype(np.float32).tobytes() for x in values)
-                out.append(("bigrams", bucket, chunk, contexts + code.tobytes() + weight[many].tobytes() + rooms[room][split[room]].tobytes(), 0))
+                code, *steps_of = unpacked(payload)
+                many, room = map(summed_up, steps_of)
+                contexts = [planes(x[room], 5) for x in values]
+                out.append(("bigrams", bucket, chunk, packed(code, turned(weight[many]), rooms[room][split[room]], *contexts), 0))
         return rows_of(out)
 
     def last_words(group: pa.Table) -> pa.Table:
         """Of each chunk's words: counts, and what their customers weigh in the parent in each kept sweep."""
         bucket, rows = parts_of(group)
-        counts = sorted((k, p) for kind, k, p in rows if kind == "counts")
         state = next((unpacked(p)[6:] for kind, _, p in rows if kind == "parent"), None)
-        if not counts:
-            return _rows([])
         values = np.stack(state) if state else np.zeros((SWEEPS, sizes[bucket]), np.float32)
-        out, _, _ = word_bucket(counts, [], 0)
-        return rows_of([("counts", bucket, chunk, p[: 6 * (len(p) // 10)] + values[:, numbers(p, len(p) // 10, 4, 6 * (len(p) // 10))].tobytes(), 0) for chunk, p in out])
+        out = []
+        for kind, chunk, p in rows:
+            if kind == "counts":
+                n = len(p) // 10
+                out.append(("counts", bucket, chunk, bytes(p[: 6 * n]) + b"".join(turned(x) for x in values[:, numbers(p, n, 4, 6 * n)]), 0))
+        return rows_of(out)
 
     sent = made.groupBy("chunk").cogroup(counted.where("kind = 'counts'").groupBy("chunk")).applyInArrow(send, SENT)
     if burn is None:
@@ -816,11 +905,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         whole = {u: [x / SWEEPS] for u, x in summed(back).items()}
         words = written(asked.unionByName(back.where("kind = 'words'")).groupBy("bucket").applyInArrow(seat_words(n_words), SENT), "words")
         customers, spread = ([x] for x in sums_of(words)[2:])
+        dropped(counted)
     else:
         back, parent, whole, customers, tables = run_chain(sent)
-        words = asked.unionByName(parent.where("kind = 'parent'")).groupBy("bucket").applyInArrow(last_words, SENT)
+        words = counted.where("kind = 'counts'").unionByName(parent.where("kind = 'parent'")).groupBy("bucket").applyInArrow(last_words, SENT)
         spread = [DISCOUNT * x for x in tables]
-    dropped(counted)
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = left.to_pylist()
@@ -831,14 +920,21 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         got = {b: p for k, b, p in zip(*(right.column(x).to_pylist() for x in ("kind", "bucket", "payload")), strict=True) if k == "bigrams"}
         for b, i, j in c.bounds(c.bucket):
             u = c.u[i:j][np.sort(np.unique(c.u[i:j], return_index=True)[1])]
-            rooms[:, u] = np.frombuffer(got[b], np.float32, means * len(u)).reshape(means, -1)
-            code = np.frombuffer(got[b], np.uint8, j - i, 4 * means * len(u))
+            if burn is None:
+                rooms[:, u] = np.frombuffer(got[b], np.float32, len(u))
+                code = np.frombuffer(got[b], np.uint8, j - i, 4 * len(u))
+                at = 4 * len(u) + j - i
+                of_many = np.frombuffer(got[b], np.float32, int((code == 255).sum()), at)
+                split_rooms = np.frombuffer(got[b], np.int64, -1, at + 4 * len(of_many))
+            else:
+                code, of_many, split_rooms, *contexts = unpacked(got[b])
+                of_many = returned(of_many, np.float32)
+                rooms[:, u] = [(DISCOUNT * numbers(x, len(u), 5, 0)).astype(np.float32) for x in contexts]
             weight[i:j] = (1 - DISCOUNT) * (code == 1)
-            many, at = code == 255, 4 * means * len(u) + j - i
-            weight[i:j][many] = np.frombuffer(got[b][at : at + 4 * many.sum()], np.float32)
+            weight[i:j][code == 255] = of_many
             # Of a split context this chunk may have met some parts only.
             split = u[c.split[u] > 1]
-            for k, x in zip(split.tolist(), np.frombuffer(got[b][at + 4 * many.sum() :], np.int64).tolist(), strict=True):
+            for k, x in zip(split.tolist(), split_rooms.tolist(), strict=True):
                 rooms[:, k] = np.float32(DISCOUNT * np.array(whole[x]))
         count, value = word_info(c, right, True)
         parent = 0

@@ -671,6 +671,34 @@ def test_lm_chain_carries_tables_and_does_not_depend_on_partitions(spark, monkey
     assert [x.score for x in none] == [0.0] and lm.score_texts(df.limit(0), burn=1).count() == 0
 
 
+def test_lm_draws_dishes_of_many_customers_together_as_one_by_one():
+    r = np.random.default_rng(3)
+    c = np.concatenate([r.integers(lm.EXACT + 1, 4000, 100), [20_000, 300_000]])
+    for rate in (-5.0, 0.0, 4.0, 12.0):
+        u = r.random(len(c))
+        one_by_one = [lm._drawn_of_many(int(n), lambda t: t * rate, np.array([x]))[0] for n, x in zip(c, u)]
+        assert lm._drawn_of_each(c.astype(float), np.full(len(c), rate), u).tolist() == one_by_one
+
+
+def test_lm_chain_keeps_no_restaurants_and_sends_them_once(spark, monkeypatch):
+    """What the chunks are answered from is sent to the answers once, without what only sweeps need."""
+    r = random.Random(16)
+    df = spark.createDataFrame([(i, " ".join(r.choice(WORDS) + str(r.randint(0, 40)) for _ in range(300))) for i in range(300)], "doc_id long, text string")
+    made, gone, write, drop = {}, [], lm.written, lm.dropped
+
+    def kept(out, name, **more):
+        out = write(out, name, **more)
+        made[name] = {x.kind: x.n for x in out.groupBy("kind").agg(F.sum(F.length("payload")).alias("n")).collect()}
+        made.setdefault("paths", {})[out.inputFiles()[0].rpartition("/")[0]] = name
+        return out
+
+    monkeypatch.setattr(lm, "written", kept)
+    monkeypatch.setattr(lm, "dropped", lambda out: (gone.extend(made["paths"][x] for x in {x.rpartition("/")[0] for x in out.inputFiles()}), drop(out)))
+    assert lm.score_texts(df, burn=1).count() == 300
+    assert gone.count("restaurants") == 1 and gone.count("weights") == 3 and "counts" not in gone
+    assert "tables" not in made["tables"] and made["tables"]["told"] < (made["restaurants"]["seats"] + made["restaurants"]["tables"]) / 2
+
+
 CHAT = "conv_id long, turn long, role string, text string, extra int"
 
 

@@ -86,7 +86,7 @@ def spans(letters: str) -> str:
 def words_of(text: Column, spark: SparkSession) -> Column:
     """The words of a text, as the vocabulary's pattern cuts it; null is empty."""
     letter, number = classes(spark)
-    pattern = rf"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    pattern = rf"'(?:s|t|re|ve|m|ll|d)| ?{letter}+| ?{number}+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
 
 
@@ -165,11 +165,13 @@ def fold(t: Column, letters: Column, steps: Column) -> Column:
         return F.struct(letters.alias("letters"), near.alias("near"), least(near).alias("best"))
 
     def step(s: Column, _: Column) -> Column:
+        letters, near, best = s["letters"], s["near"], s["best"]
+
         def merged(at: Column) -> Column:
-            changed = lambda after: F.overlay(F.overlay(s["near"], made(t, after, at - 1), at - 1, F.lit(2)), made(t, after, at), at, F.lit(1))
-            return then(F.overlay(s["letters"], s["best"], at, F.lit(2)), s, lambda after: then(changed(after), s, lambda near: state(after, near)))
+            changed = lambda after: F.overlay(near, F.concat(made(t, after, at - 1), made(t, after, at)), at - 1, F.lit(3))
+            return then(F.overlay(letters, best, at, F.lit(2)), s, lambda after: then(changed(after), s, lambda near: state(after, near)))
 
-        return F.when(s["best"] == NONE, s).otherwise(then(F.instr(s["near"], s["best"]), s, merged))
+        return F.when(best == NONE, s).otherwise(then(F.instr(near, best), s, merged))
 
     padded = F.concat(F.lit(PAD), letters, F.lit(PAD))
     start = let(padded, lambda x: let(neighbours(t, x), lambda near: state(x, near)))
@@ -289,11 +291,12 @@ def with_scalar(df: DataFrame, tables: dict[str, DataFrame], body: Callable[[Col
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: what `encode` gives and `decode` makes of it."""
-    ids = letters_of(docs.select("doc_id", "text"), "text", "letters", path).select("doc_id", "letters")
+    # The letters are used twice here, so the optimiser leaves them a projection of their own; in one with the scalar, each row would hold a copy of that (1 MB).
+    ids = letters_of(docs.select("doc_id", "text"), "text", "letters", path).select("doc_id", "letters", F.length("letters").cast("long").alias("n_tokens"))
 
     def both(x: Column) -> Column:
         sums = lambda tokens: F.struct(F.sha2(little_endian(tokens), 256).alias("ids"), F.sha2(pieces(x["t"], tokens, F.ascii), 256).alias("decoded"))
         return let(tokens_of(F.col("letters")), sums)
 
     done = with_scalar(ids, {"t": token_table(docs.sparkSession, path)}, both, "digests")
-    return done.select("doc_id", F.length("letters").cast("long").alias("n_tokens"), F.col("digests.ids").alias("ids_sha256"), F.col("digests.decoded").alias("decoded_sha256"))
+    return done.select("doc_id", "n_tokens", F.col("digests.ids").alias("ids_sha256"), F.col("digests.decoded").alias("decoded_sha256"))

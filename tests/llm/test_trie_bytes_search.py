@@ -141,6 +141,12 @@ def test_bytes_plan_has_no_copy_of_the_tables(spark):
     assert "AS __scalars" not in plan
 
 
+def test_bytes_digests_hold_no_copy_of_the_tokens(spark):
+    """The letters are used twice, which once kept them and the scalar of the tokens in one projection."""
+    plan = bytebpe.digests(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS __scalars" not in plan
+
+
 def plain_search(docs, queries, k):
     terms = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
     bags = [(d, Counter(terms(x))) for d, x in docs if terms(x)]

@@ -25,8 +25,10 @@ from .common import cut
 SLOTS = 1 << 18
 #: Most words that are folded once, and the longest of them in bytes: bounds what goes to every task (some 40 MB).
 WORDS, WORD_BYTES = 1 << 19, 48
+#: The most frequent of those have a table of their own that stays in a core's cache, and the lists it is dealt into.
+HOT, HOT_SLOTS = 1 << 12, 1 << 13
 #: Rows that the frequent words are counted in, about. They only save work: a word that is not among them is folded in its row.
-COUNTED_ROWS = 20_000
+COUNTED_ROWS = 40_000
 #: Longer words are cut where no token has the two bytes together, and what stays longer merges a pair at all its places at once.
 SHORT = 64
 #: What a pair that makes no token makes, above all letters; and what stands before and behind a word.
@@ -101,44 +103,56 @@ def vocabulary_table(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(pa.table({"t": pa.array([row], pa.struct([("byte", pa.list_(pa.string())), ("inside", pa.list_(pa.bool_()))]))}))
 
 
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """What is merged last when a token's own bytes are merged; other than two where that doesn't make the token."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        best, i = min((ranks.get(a + b, 1 << 30), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best == 1 << 30:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts
+
+
 def rank_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The rank map: two tokens' letters, and the letter of what they make. A token's letter is the character whose code is its rank."""
+    """The rank map: two tokens' letters, and the letter of what they make. A token's letter is the character whose code is its rank.
+
+    Of the pairs that spell a token only the last of its own merges can arise: until a merge joins them to what is outside,
+    bytes in a word are merged as if they stood alone.
+    """
     ranks = ranks_of(path)
     if max(ranks.values()) >= 0xD800:
         raise ValueError("vocabularies of up to 55,296 tokens")
     pairs = {}
     for token, rank in ranks.items():
-        for k in range(1, len(token)):
-            a, b = ranks.get(token[:k]), ranks.get(token[k:])
-            if a is not None and b is not None:
-                pairs[chr(a) + chr(b)] = chr(rank)
+        if len(halves := last_pair(token, ranks)) == 2:
+            pairs["".join(chr(ranks[x]) for x in halves)] = chr(rank)
     return word_table(spark.createDataFrame(pa.table({"word": list(pairs), "letters": list(pairs.values())})))
 
 
 def token_table(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """One row `t`: the bytes of each token."""
+    """One row `t`: the bytes of each token, as strings, which are read without a copy; a cast leaves the bytes as they are."""
     ranks = ranks_of(path)
     shown: list[bytes] = [b""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
         shown[rank] = token
-    return spark.createDataFrame(pa.table({"t": pa.array([shown], pa.list_(pa.binary()))}))
+    return spark.createDataFrame(pa.table({"t": pa.array([shown], pa.list_(pa.binary()))})).select(F.col("t").cast("array<string>").alias("t"))
 
 
-def word_table(words: DataFrame) -> DataFrame:
-    """One row `t`: (distinct word, letters) dealt by hash into an array of maps. For tables of a proven bound only."""
-    slots = words.groupBy(slot_of(F.col("word")).alias("slot")).agg(F.collect_list(F.struct("word", "letters")).alias("in_slot"))
-    every = words.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    none = F.array().cast("array<struct<word:string,letters:string>>")
-    rows = every.agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("in_slot", none).alias("in_slot")))).alias("rows"))
+def word_table(words: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """One row `t`: (distinct word, letters) dealt by hash into an array of maps, null where nothing is: a lookup ends there, and only bits are read. For tables of a proven bound only."""
+    dealt = words.groupBy(slot_of(F.col("word"), slots).alias("slot")).agg(F.collect_list(F.struct("word", "letters")).alias("in_slot"))
+    every = words.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(dealt, "slot", "left")
+    rows = every.agg(F.array_sort(F.collect_list(F.struct("slot", "in_slot"))).alias("rows"))
     return rows.select(F.transform("rows", lambda x: F.map_from_entries(x["in_slot"])).alias("t"))
 
 
-def slot_of(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(F.lit(SLOTS - 1))
+def slot_of(word: Column, slots: int = SLOTS) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(slots - 1))
 
 
-def found(table: Column, word: Column) -> Column:
-    return F.element_at(F.get(table, slot_of(word)), word)
+def found(table: Column, word: Column, slots: int = SLOTS) -> Column:
+    return F.element_at(F.get(table, slot_of(word, slots)), word)
 
 
 def made(t: Column, letters: Column, at: Column) -> Column:
@@ -169,7 +183,9 @@ def fold(t: Column, letters: Column, steps: Column) -> Column:
 
         def merged(at: Column) -> Column:
             changed = lambda after: F.overlay(near, F.concat(made(t, after, at - 1), made(t, after, at)), at - 1, F.lit(3))
-            return then(F.overlay(letters, best, at, F.lit(2)), s, lambda after: then(changed(after), s, lambda near: state(after, near)))
+            after = F.array(F.overlay(letters, best, at, F.lit(2)))
+            fresh = lambda _, x: F.struct(x.alias("letters"), changed(x).alias("near"), best.alias("best"))
+            return F.aggregate(after, s, fresh, lambda x: state(x["letters"], x["near"]))
 
         return F.when(best == NONE, s).otherwise(then(F.instr(near, best), s, merged))
 
@@ -222,7 +238,10 @@ def encode_word(t: Column, word: Column) -> Column:
 
 
 def known_words(df: DataFrame, column: str, path: str | None = None, words: int = WORDS, counted: int | None = COUNTED_ROWS) -> DataFrame:
-    """(word, letters) of every token that is a text, and of the `words` most frequent other words of about `counted` rows (None: of all), each folded once."""
+    """(word, letters, n) of every token that is a text, and of the `words` most frequent other words of about `counted` rows (None: of all), each folded once.
+
+    The number of partitions is given, since Spark would else fold all words in one task beside the tokens' greater join. n: how often those rows have the word; null if never.
+    """
     spark = df.sparkSession
     texts = {}
     for token, rank in ranks_of(path).items():
@@ -234,18 +253,23 @@ def known_words(df: DataFrame, column: str, path: str | None = None, words: int
     if counted is not None and (n := df.count()) > counted:
         df = df.sample(counted / n, 7)
     seen = df.select(F.explode(words_of(df[column], spark)).alias("word")).where(F.octet_length("word") <= WORD_BYTES)
-    seen = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(tokens, "word", "left_anti").orderBy(F.desc("n"), "word").limit(words)
+    seen = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    others = seen.join(tokens, "word", "left_anti").orderBy(F.desc("n"), "word").limit(words)
     tables = {"vocabulary": vocabulary_table(spark, path), "ranks": rank_table(spark, path)}
-    return tokens.unionByName(with_scalar(seen.select("word").repartition("word"), tables, lambda t: encode_word(t, F.col("word")), "letters"))
+    return tokens.join(seen, "word", "left").unionByName(with_scalar(others.repartition(max(1, words >> 14), "word"), tables, lambda t: encode_word(t, F.col("word")), "letters"))
 
 
 def letters_of(df: DataFrame, column: str, name: str, path: str | None = None, words: int = WORDS, counted: int | None = COUNTED_ROWS) -> DataFrame:
     """`df` with `name`: a letter for each token of the whole text, whose code is the token's id."""
     spark = df.sparkSession
     known = cut(known_words(df, column, path, words, counted))
-    tables = {"vocabulary": vocabulary_table(spark, path), "ranks": rank_table(spark, path), "known": word_table(known)}
-    text = F.col(f"`{column}`")
-    return with_scalar(df, tables, lambda t: F.array_join(F.transform(words_of(text, spark), lambda w: F.coalesce(found(t["known"], w), encode_word(t, w))), ""), name)
+    hot = known.orderBy(F.desc_nulls_last("n"), "word").limit(HOT)
+    tables = {"vocabulary": vocabulary_table(spark, path), "ranks": rank_table(spark, path), "known": word_table(known), "hot": word_table(hot, HOT_SLOTS)}
+
+    def encoded(t: Column, word: Column) -> Column:
+        return F.coalesce(found(t["hot"], word, HOT_SLOTS), found(t["known"], word), encode_word(t, word))
+
+    return with_scalar(df, tables, lambda t: F.array_join(F.transform(words_of(F.col(f"`{column}`"), spark), lambda w: encoded(t, w)), ""), name)
 
 
 def tokens_of(letters: Column) -> Column:
@@ -269,8 +293,8 @@ def decode(df: DataFrame, column: str = "token_ids", path: str | None = None) ->
 
 
 def pieces(tokens: Column, of: Column, id_of: Callable[[Column], Column] = lambda i: i) -> Column:
-    """The tokens' bytes in one binary, for ids or what `id_of` makes ids of. Strings are joined, since only they have a join in linear time; a cast leaves their bytes as they are."""
-    return F.array_join(F.transform(of, lambda i: F.get(tokens, id_of(i)).cast("string")), "").cast("binary")
+    """The tokens' bytes in one binary, for ids or what `id_of` makes ids of. Strings are joined, since only they have a join in linear time."""
+    return F.array_join(F.transform(of, lambda i: F.get(tokens, id_of(i))), "").cast("binary")
 
 
 def little_endian(tokens: Column) -> Column:

@@ -135,6 +135,38 @@ def test_bytes_without_known_words(spark, library):
     assert bytebpe.decode(spark.createDataFrame([(None,)], "token_ids array<int>")).first().decoded == b""
 
 
+def test_bytes_rank_map_has_one_pair_a_token(spark):
+    """Every pair that spells a token stood there once, and an empty map in each empty list."""
+    sizes = bytebpe.rank_table(spark).select(F.explode("t").alias("m")).agg(F.sum(F.size("m")).alias("n"), F.count_if(F.size("m") == 0).alias("empty"), F.count_if(F.col("m").isNull()).alias("none")).first()
+    assert sizes.n <= len(bytebpe.ranks_of()) - 256 and sizes.empty == 0 and sizes.none > 0
+
+
+def test_bytes_frequent_words_are_counted(spark):
+    """The tokens' counts choose what has a small table of its own."""
+    df = spark.createDataFrame([(1, "the" + " the" * 9 + " xyzzyx" * 5), (2, None)], "doc_id long, text string")
+    known = {r.word: r for r in bytebpe.known_words(df, "text").where("n > 0").collect()}
+    assert {k: r.n for k, r in known.items()} == {" the": 9, " xyzzyx": 5, "the": 1}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bytes_of_untrained_ranks(spark, tmp_path, seed):
+    """Ranks in any order, among them tokens that no merges make: pairs besides a token's last own one must not be missed."""
+    import public_tokenizers as P
+    import tiktoken
+
+    rng = random.Random(seed)
+    tokens = list({"".join(rng.choices("abc", k=rng.randint(2, 6))).encode() for _ in range(80)})
+    rng.shuffle(tokens)
+    ranks = {x: i for i, x in enumerate([bytes([i]) for i in range(256)] + tokens)}
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(k) + b" %d\n" % v for k, v in ranks.items()))
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [" ".join("".join(rng.choices("abc", k=rng.randint(1, 40))) for _ in range(6)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for words in (0, 100):
+        for r in bytebpe.encode(df, path=str(tmp_path / "ranks"), words=words).collect():
+            assert r.token_ids == own.encode_ordinary(r.text)
+
+
 def test_bytes_plan_has_no_copy_of_the_tables(spark):
     """The scalars are bound where they are used; a projection of their own would copy them into every row."""
     plan = bytebpe.encode(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
